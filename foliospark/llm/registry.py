@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import jaccard, mixing, sharding
 
 QUERIES = {
+    "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op7_mixing": mixing.op7_mixing,
     "op9_sharding": sharding.op9_sharding,
 }
