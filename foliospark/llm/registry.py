@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, sharding
+from . import decontamination, jaccard, mixing, sharding
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op7_mixing": mixing.op7_mixing,
     "op9_sharding": sharding.op9_sharding,
 }
