@@ -28,7 +28,9 @@ from .components import components
 from .shingles import WordHashes, mix, shingles
 
 #: Groups up to this size are expanded into pairs; members of larger ones are linked to LEADERS of them.
-SMALL = 8
+SMALL = 64
+#: Groups up to this size are expanded many at a time.
+TINY = 8
 LEADERS = 3
 #: Segmentations tried on large groups of several components before their remaining pairs are expanded.
 LEVELS = 4
@@ -152,15 +154,24 @@ def _groups(last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key0, head = None, (np.empty(0, np.int64), np.empty(0, np.int64))  # the open group: all of a small one, the leaders of a large one
         size0 = 0
-        for batch in [*[], *batches]:
+        for batch in batches:
             if not batch.num_rows:
                 continue
             k, v, c = (batch.column(i).to_numpy() for i in range(3))
             starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
             ends = np.append(starts[1:], len(k))
             pa_, pb, hk, hv = [], [], [], []
-            # Most groups have one member: only the first, the last and those of several are looked at.
-            some = np.flatnonzero((ends - starts > 1) | (starts == 0) | (ends == len(k)))
+            # A batch's first and last group may go on in other batches; tiny ones between are expanded by size.
+            size = ends - starts
+            edge = (starts == 0) | (ends == len(k))
+            for n in range(2, TINY + 1):
+                of = starts[(size == n) & ~edge]
+                for i in range(n if len(of) else 0):
+                    for j in range(i + 1, n):
+                        x, y = v[of + i], v[of + j]
+                        good = (c[of + i] != c[of + j]) & ((x & y & 1) == 0) & ((x ^ y) > 1)
+                        pa_.append(x[good] & ~1), pb.append(y[good] & ~1)
+            some = np.flatnonzero((size > TINY) | edge)
             for i in some:
                 s, e, key = starts[i], ends[i], k[starts[i]]
                 vs, cs = v[s:e], c[s:e]
@@ -294,20 +305,27 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         texts = ws.save(rows.select("row", "text").join(ends, "row", "left_semi").dropDuplicates(["row"]), f"texts-{level}")
         both = close.join(texts.select(F.col("row").alias("ra"), F.col("text").alias("ta")), "ra").join(texts.select(F.col("row").alias("rb"), F.col("text").alias("tb")), "rb")
         fresh = ws.save(both.select("a", "b", "ta", "tb").mapInArrow(_verified(width, threshold), "a long, b long"), f"links-{level}")
-        links = fresh if links is None else links.unionAll(fresh)
-        roots = components(links, ws, f"roots-{level}")
+        if level == 1 or not fresh.isEmpty():
+            links = fresh if links is None else links.unionAll(fresh)
+            roots = components(links, ws, f"roots-{level}")
         ws.drop(f"pairs-{level}", f"close-{level}", f"texts-{level}")
         large = found.where("key is not null").select("key", F.col("a").alias("v")).distinct()
         if level == LEVELS or large.isEmpty():
             break
-        large = large.join(roots, "v", "left").select("key", "v", F.coalesce("root", "v").alias("c"))
-        open_ = large.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-        large = ws.save(large.join(open_, "key").groupBy("v", "c").agg(F.collect_list("key").alias("keys")), f"large-{level}")
-        if large.isEmpty():
-            break
-        again = large.join(nodes.select(F.col("sid").alias("v"), "row"), "v").join(rows.select("row", "text"), "row").dropDuplicates(["v"])
+        large = ws.save(large.join(roots, "v", "left").select("key", "v", F.coalesce("root", "v").alias("c")), f"large-{level}")
+        # Where one component holds nearly all of a group, the few others are compared with all; else the group is dealt again.
+        parts = large.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"), (F.sum("count") - F.max("count")).alias("others"))
+        parts = ws.save(parts.where("others > 0"), f"parts-{level}")
+        few = large.join(parts.where(F.col("others") <= SMALL), "key")
+        odd = few.where("c <> main").select("key", F.col("v").alias("o"), F.col("c").alias("oc"))
+        extra = few.join(odd, "key").where("c <> oc").select(F.least("v", "o").alias("a"), F.greatest("v", "o").alias("b"))
+        many = ws.save(large.join(parts.where(F.col("others") > SMALL).select("key"), "key").groupBy("v", "c").agg(F.collect_list("key").alias("keys")), f"many-{level}")
+        extra = extra.select(F.lit(None).cast("long").alias("key"), "a", "b").distinct()
+        again = many.join(nodes.select(F.col("sid").alias("v"), "row"), "v").join(rows.select("row", "text"), "row").dropDuplicates(["v"])
         again = again.select("v", "c", "keys", "text").mapInArrow(_again(width, threshold, level), "key long, v long, c long")
-        found = ws.save(_grouped(again, level + 1 == LEVELS), f"found-{level + 1}")
+        found = ws.save(extra if many.isEmpty() else extra.unionAll(_grouped(again, level + 1 == LEVELS)), f"found-{level + 1}")
+        if found.isEmpty():
+            break
     of = docs.groupBy("sid").agg(F.min("id").alias("least")).where("sid is not null")
     of = of.join(roots.withColumnRenamed("v", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     names = of.groupBy("root").agg(F.min("least").alias("component_id"))
