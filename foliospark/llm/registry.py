@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, mixing, sharding
+from . import decontamination, jaccard, mixing, sharding, toxicity
 
 QUERIES = {
+    "op10_toxicity": toxicity.op10_toxicity,
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op3_decontamination": decontamination.op3_decontamination,
     "op7_mixing": mixing.op7_mixing,
