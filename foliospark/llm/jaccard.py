@@ -7,9 +7,10 @@ slack for empty ones; two that are similar enough then share a whole nonempty se
 pruned by size and by the Hamming distance of bit-parity sketches (a lower bound of the symmetric difference), and
 what is left is verified on the texts. No pair at or above the threshold is missed.
 
-Segments shared by many documents aren't expanded into all pairs: their members are linked to a few leaders, and only
-where that leaves several components are they dealt again by another, independent segmentation, until the groups are
-small."""
+Segments shared by many documents aren't expanded into all pairs: their members are linked to a few leaders. Where
+that leaves several components, the few members outside the main one are compared with all; groups of many components
+(documents that share boilerplate) are dealt again by their rarest shingles, as many of them as similar sets can't all
+differ in, and what is still large by another, independent segmentation."""
 
 from __future__ import annotations
 
@@ -32,8 +33,10 @@ SMALL = 64
 #: Groups up to this size are expanded many at a time.
 TINY = 8
 LEADERS = 3
-#: Segmentations tried on large groups of several components before their remaining pairs are expanded.
-LEVELS = 4
+#: Ways of dealing tried on large groups of several components before their remaining pairs are expanded.
+LEVELS = 3
+#: Members outside a large group's main component that are compared with all of it, by level, in units of SMALL.
+FEW = (1, 16)
 _LOW = np.uint64(1)
 
 
@@ -145,7 +148,7 @@ def _sketches(width: int, threshold: Fraction):
 GROUPS = "key long, a long, b long"
 
 
-def _groups(last: bool):
+def _groups(last: bool, small: int):
     """From (key, v, c) sorted by key: candidate pairs (null key), and for large groups (key, member, null).
 
     v is a set's id, its lowest bit set if it came from the band below; two such are compared in their own band.
@@ -164,14 +167,14 @@ def _groups(last: bool):
             # A batch's first and last group may go on in other batches; tiny ones between are expanded by size.
             size = ends - starts
             edge = (starts == 0) | (ends == len(k))
-            for n in range(2, TINY + 1):
+            for n in range(2, min(TINY, small) + 1):
                 of = starts[(size == n) & ~edge]
                 for i in range(n if len(of) else 0):
                     for j in range(i + 1, n):
                         x, y = v[of + i], v[of + j]
                         good = (c[of + i] != c[of + j]) & ((x & y & 1) == 0) & ((x ^ y) > 1)
                         pa_.append(x[good] & ~1), pb.append(y[good] & ~1)
-            some = np.flatnonzero((size > TINY) | edge)
+            some = np.flatnonzero((size > min(TINY, small)) | edge)
             for i in some:
                 s, e, key = starts[i], ends[i], k[starts[i]]
                 vs, cs = v[s:e], c[s:e]
@@ -189,20 +192,20 @@ def _groups(last: bool):
                     continue
                 total = size0 + len(vs)
                 all_v, all_c = np.concatenate((old_v, vs)), np.concatenate((old_c, cs))
-                if total <= SMALL or last:
+                if total <= small or last:
                     x, y = np.triu_indices(len(all_v), 1)
                     fresh = y >= len(old_v)
                     x, y = x[fresh], y[fresh]
                     head = (all_v, all_c)
                 else:
-                    if size0 <= SMALL:  # it grows large just now
+                    if size0 <= small:  # it grows large just now
                         hk.append(np.full(len(old_v), key)), hv.append(old_v & ~1)
                     hk.append(np.full(len(vs), key)), hv.append(vs & ~1)
                     x, y = np.meshgrid(np.arange(min(LEADERS, len(all_v))), np.arange(len(old_v), len(all_v)))
                     x, y = x.ravel(), y.ravel()
                     fresh = x < y
                     x, y = x[fresh], y[fresh]
-                    head = (all_v[:SMALL], all_c[:SMALL])
+                    head = (all_v[:LEADERS], all_c[:LEADERS])
                 size0 = total
                 good = (all_c[x] != all_c[y]) & ((all_v[x] & all_v[y] & 1) == 0)
                 pa_.append(all_v[x[good]] & ~1), pb.append(all_v[y[good]] & ~1)
@@ -238,18 +241,17 @@ def _verified(width: int, threshold: Fraction):
         hashes = WordHashes()
         held: dict[int, np.ndarray] = {}
 
-        def of(key: int, text: str) -> np.ndarray:
+        def of(key: int, text: pa.StringScalar) -> np.ndarray:
             if key not in held:
                 if len(held) > 64:
                     held.pop(next(iter(held)))
-                held[key] = shingles(text, width, hashes)
+                held[key] = shingles(text.as_py(), width, hashes)
             return held[key]
 
         for batch in batches:
-            a, b, ta, tb = (batch.column(k).to_pylist() for k in range(4))
             keep = []
-            for x, y, s, t in zip(a, b, ta, tb, strict=True):
-                u, v = of(x, s), of(y, t)
+            for x, y, s, t in zip(*(batch.column(k) for k in range(4)), strict=True):
+                u, v = of(x.as_py(), s), of(y.as_py(), t)
                 both = len(u) + len(v) - len(np.union1d(u, v))
                 keep.append(q * both >= p * (len(u) + len(v) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -276,12 +278,32 @@ def _again(width: int, threshold: Fraction, level: int):
     return run
 
 
-def _grouped(keys: DataFrame, last: bool) -> DataFrame:
+def _tokens(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for sid, comp, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                u = shingles(text, width, hashes)
+                yield pa.RecordBatch.from_arrays([_signed(u), pa.array(np.full(len(u), sid)), pa.array(np.full(len(u), comp))], ["key", "v", "c"])
+
+    return run
+
+
+def _rarest(tokens: DataFrame, threshold: Fraction) -> DataFrame:
+    """Each set's rarest shingles: so many that a set which lacks them all is below the threshold."""
+    often = tokens.groupBy("key").count()
+    sets = tokens.join(often, "key").groupBy("v", "c").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("all"))
+    n = F.size("all")
+    most = n - F.floor((n * threshold.numerator + threshold.denominator - 1) / threshold.denominator) + 1
+    return sets.select(F.explode(F.slice("all", 1, F.greatest(most, F.lit(1)).cast("int"))).alias("x"), "v", "c").select("x.key", "v", "c")
+
+
+def _grouped(keys: DataFrame, last: bool, small: int) -> DataFrame:
     """Members of a group meet in one task, which streams them; their order, and so the leaders, differ from key to key."""
-    return keys.repartition("key").sortWithinPartitions("key", F.col("v").bitwiseXOR(F.col("key"))).select("key", "v", "c").mapInArrow(_groups(last), GROUPS)
+    return keys.repartition("key").sortWithinPartitions("key", F.col("v").bitwiseXOR(F.col("key"))).select("key", "v", "c").mapInArrow(_groups(last, small), GROUPS)
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, threshold: Fraction = Fraction(85, 100)) -> DataFrame:
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, threshold: Fraction = Fraction(85, 100), small: int = SMALL) -> DataFrame:
     """(id, n_shingles long, component_id) for every row of df: n_shingles is the size of its set of `width`-word
     shingles, component_id the least id that links reach; rows link when the Jaccard similarity of their sets is at
     least `threshold`.
@@ -295,7 +317,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = ws.save(rows.mapInArrow(_sketches(width, threshold), DOCS), "docs")
     nodes = ws.save(docs.where("sketch is not null").groupBy("sid").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     keys = docs.select(F.explode("own").alias("key"), F.col("sid").alias("v")).unionAll(docs.select(F.explode("up"), F.col("sid").bitwiseOR(F.lit(1))))
-    found = ws.save(_grouped(keys.withColumn("c", F.col("v").bitwiseAND(F.lit(-2))), False), "found-1")
+    found = ws.save(_grouped(keys.withColumn("c", F.col("v").bitwiseAND(F.lit(-2))), False, small), "found-1")
     links = roots = None
     for level in range(1, LEVELS + 1):
         pairs = ws.save(found.where("key is null").select("a", "b").distinct(), f"pairs-{level}")
@@ -316,14 +338,17 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         # Where one component holds nearly all of a group, the few others are compared with all; else the group is dealt again.
         parts = large.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"), (F.sum("count") - F.max("count")).alias("others"))
         parts = ws.save(parts.where("others > 0"), f"parts-{level}")
-        few = large.join(parts.where(F.col("others") <= SMALL), "key")
+        few = large.join(parts.where(F.col("others") <= FEW[level - 1] * small), "key")
         odd = few.where("c <> main").select("key", F.col("v").alias("o"), F.col("c").alias("oc"))
         extra = few.join(odd, "key").where("c <> oc").select(F.least("v", "o").alias("a"), F.greatest("v", "o").alias("b"))
-        many = ws.save(large.join(parts.where(F.col("others") > SMALL).select("key"), "key").groupBy("v", "c").agg(F.collect_list("key").alias("keys")), f"many-{level}")
+        many = ws.save(large.join(parts.where(F.col("others") > FEW[level - 1] * small).select("key"), "key").groupBy("v", "c").agg(F.collect_list("key").alias("keys")), f"many-{level}")
         extra = extra.select(F.lit(None).cast("long").alias("key"), "a", "b").distinct()
         again = many.join(nodes.select(F.col("sid").alias("v"), "row"), "v").join(rows.select("row", "text"), "row").dropDuplicates(["v"])
-        again = again.select("v", "c", "keys", "text").mapInArrow(_again(width, threshold, level), "key long, v long, c long")
-        found = ws.save(extra if many.isEmpty() else extra.unionAll(_grouped(again, level + 1 == LEVELS)), f"found-{level + 1}")
+        if level == 1:
+            again = _rarest(again.select("v", "c", "text").mapInArrow(_tokens(width), "key long, v long, c long"), threshold)
+        else:
+            again = again.select("v", "c", "keys", "text").mapInArrow(_again(width, threshold, level), "key long, v long, c long")
+        found = ws.save(extra if many.isEmpty() else extra.unionAll(_grouped(again, level + 1 == LEVELS, small)), f"found-{level + 1}")
         if found.isEmpty():
             break
     of = docs.groupBy("sid").agg(F.min("id").alias("least")).where("sid is not null")
