@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, mixing, sharding, toxicity
+from . import decontamination, jaccard, mixing, sharding, tokens, toxicity
 
 QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op3_decontamination": decontamination.op3_decontamination,
     "op7_mixing": mixing.op7_mixing,
+    "op8_token_planes": tokens.op8_token_planes,
     "op9_sharding": sharding.op9_sharding,
 }
 ORACLES: dict[str, str] = {}
