@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, jaccard, mixing, sharding, tokens, toxicity
+from . import chat, decontamination, jaccard, mixing, quality, sharding, tokens, toxicity
 
 QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op3_decontamination": decontamination.op3_decontamination,
+    "op5_quality": quality.op5_quality,
     "op6_chat": chat.op6_chat,
     "op7_mixing": mixing.op7_mixing,
     "op8_token_planes": tokens.op8_token_planes,
