@@ -7,10 +7,11 @@ slack for empty ones; two that are similar enough then share a whole nonempty se
 pruned by size and by the Hamming distance of bit-parity sketches (a lower bound of the symmetric difference), and
 what is left is verified on the texts. No pair at or above the threshold is missed.
 
-Segments shared by many documents aren't expanded into all pairs: their members are linked to a few leaders. Where
-that leaves several components, the few members outside the main one are compared with all; groups of many components
-(documents that share boilerplate) are dealt again by their rarest shingles, as many of them as similar sets can't all
-differ in, and what is still large by another, independent segmentation."""
+Segments shared by many documents aren't expanded into all pairs: their members are linked to a leader first. Where
+that leaves several components, sketches decide in the group which members of different components may be similar,
+and only those pairs are written. Groups too large for that (documents that share boilerplate) are dealt again by
+their rarest shingles, as many of them as similar sets can't all differ in, and what is still too large by another,
+independent segmentation."""
 
 from __future__ import annotations
 
@@ -24,20 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, checked_broadcast
 from .components import components
 from .shingles import WordHashes, mix, shingles
 
 #: Groups up to this size are expanded into pairs; members of larger ones are linked to LEADERS of them.
-SMALL = 64
-#: Groups up to this size are expanded many at a time.
-TINY = 8
-LEADERS = 3
-#: Ways of dealing tried on large groups of several components before their remaining pairs are expanded.
-LEVELS = 3
-#: Members outside a large group's main component that are compared with all of it, by level, in units of SMALL.
-FEW = (1, 16)
-_LOW = np.uint64(1)
+SMALL, LEADERS = 8, 1
+#: Members of a group of several components whose sketches are compared in one task.
+BIG = 4096
+#: Words of sketches that are compared at once.
+AT_ONCE = 1 << 21
 
 
 class Bands:
@@ -148,7 +145,7 @@ def _sketches(width: int, threshold: Fraction):
 GROUPS = "key long, a long, b long"
 
 
-def _groups(last: bool, small: int):
+def _groups(small: int):
     """From (key, v, c) sorted by key: candidate pairs (null key), and for large groups (key, member, null).
 
     v is a set's id, its lowest bit set if it came from the band below; two such are compared in their own band.
@@ -167,14 +164,14 @@ def _groups(last: bool, small: int):
             # A batch's first and last group may go on in other batches; tiny ones between are expanded by size.
             size = ends - starts
             edge = (starts == 0) | (ends == len(k))
-            for n in range(2, min(TINY, small) + 1):
+            for n in range(2, small + 1):
                 of = starts[(size == n) & ~edge]
                 for i in range(n if len(of) else 0):
                     for j in range(i + 1, n):
                         x, y = v[of + i], v[of + j]
                         good = (c[of + i] != c[of + j]) & ((x & y & 1) == 0) & ((x ^ y) > 1)
                         pa_.append(x[good] & ~1), pb.append(y[good] & ~1)
-            some = np.flatnonzero((size > min(TINY, small)) | edge)
+            some = np.flatnonzero((size > small) | edge)
             for i in some:
                 s, e, key = starts[i], ends[i], k[starts[i]]
                 vs, cs = v[s:e], c[s:e]
@@ -192,7 +189,7 @@ def _groups(last: bool, small: int):
                     continue
                 total = size0 + len(vs)
                 all_v, all_c = np.concatenate((old_v, vs)), np.concatenate((old_c, cs))
-                if total <= small or last:
+                if total <= small:
                     x, y = np.triu_indices(len(all_v), 1)
                     fresh = y >= len(old_v)
                     x, y = x[fresh], y[fresh]
@@ -229,11 +226,86 @@ def _close(threshold: Fraction):
             for i, good in enumerate(keep):
                 if good:
                     keep[i] = hamming(sa[i], sb[i]) * (p + q) <= (q - p) * (int(na[i]) + int(nb[i]))
-            yield batch.select(["a", "b", "ra", "rb"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _compare(threshold: Fraction, most: int | None):
+    """From (key, v, c, n, sketch) sorted by key: pairs (null key) of different components that sizes and sketches leave
+    in reach of the threshold; (key, v, null) for the members of groups of over `most`."""
+    p, q = threshold.numerator, threshold.denominator
+
+    def pairs(v: np.ndarray, c: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        width = min(map(len, sketches)) // 8
+        x = np.empty((len(v), width), np.uint64)
+        for i, raw in enumerate(sketches):
+            row = np.frombuffer(raw, np.uint64)
+            while len(row) > width:
+                row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+            x[i] = row
+        ids, count = np.unique(c, return_counts=True)
+        main = c == ids[count.argmax()]
+        order = np.concatenate((np.flatnonzero(~main), np.flatnonzero(main)))
+        v, c, n, x, odd = v[order], c[order], n[order], x[order], int((~main).sum())
+        out_a, out_b = [], []
+        step = max(1, AT_ONCE // (len(v) * width))
+        for at in range(0, odd, step):
+            i = np.arange(at, min(odd, at + step))
+            far = np.bitwise_count(x[i, None, :] ^ x[None, at:, :]).sum(2, dtype=np.int64)
+            ni, nj = n[i, None], n[None, at:]
+            good = (far * (p + q) <= (q - p) * (ni + nj)) & (q * np.minimum(ni, nj) >= p * np.maximum(ni, nj)) & (c[i, None] != c[None, at:]) & (i[:, None] < np.arange(at, len(v))[None, :])
+            a, b = np.nonzero(good)
+            out_a.append(v[i[a]]), out_b.append(v[at + b])
+        return np.concatenate(out_a), np.concatenate(out_b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, total = None, [], 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            v, c, n = (np.concatenate([h[k] for h in held]) for k in range(3))
+            sketches = [y for h in held for y in h[3]]
+            _, first = np.unique(v, return_index=True)
+            v, c, n, sketches = v[first], c[first], n[first], [sketches[k] for k in first]
+            if len(v) > 1 and (c != c[0]).any():
+                a, b = pairs(v, c, n, sketches)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["key", "a", "b"])
+
+        def large(k: int, v: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k)), pa.array(v), pa.nulls(len(v), pa.int64())], ["key", "a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, v, c, n = (batch.column(i).to_numpy() for i in range(4))
+            starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            ends = np.append(starts[1:], len(k))
+            for s, e in zip(starts, ends, strict=True):
+                if k[s] != key:
+                    if total > 1 and held:
+                        yield from close()
+                    key, held, total = k[s], [], 0
+                elif e - s == 1 and not total:
+                    continue
+                total += e - s
+                if most is not None and total > most:
+                    for h in held:
+                        yield large(key, h[0])
+                    held = []
+                    yield large(key, v[s:e])
+                else:
+                    held.append((v[s:e], c[s:e], n[s:e], batch.column(4).slice(s, e - s).to_pylist()))
+        if total > 1 and held:
+            yield from close()
 
     return run
 
 
+def _compared(members: DataFrame, nodes: DataFrame, threshold: Fraction, most: int | None) -> DataFrame:
+    rows = members.join(nodes.select(F.col("sid").alias("v"), "n", "sketch"), "v")
+    return rows.repartition("key").sortWithinPartitions("key").select("key", "v", "c", "n", "sketch").mapInArrow(_compare(threshold, most), GROUPS)
+
+
 def _verified(width: int, threshold: Fraction):
     p, q = threshold.numerator, threshold.denominator
 
@@ -259,7 +331,7 @@ def _verified(width: int, threshold: Fraction):
     return run
 
 
-def _again(width: int, threshold: Fraction, level: int):
+def _again(width: int, threshold: Fraction):
     """New keys for the members of large groups: the old key with a segment of another segmentation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,10 +339,10 @@ def _again(width: int, threshold: Fraction, level: int):
         for batch in batches:
             for sid, comp, keys, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 u = shingles(text, width, hashes)
-                u = np.sort(mix(u + np.uint64(level)))
+                u = np.sort(mix(u + np.uint64(1)))
                 of = np.array(keys, np.int64).view(np.uint64)
                 for up, b in enumerate(bands.of(len(u))):
-                    new = segment_keys(u, *bands.segments(b), b + 100 * level)
+                    new = segment_keys(u, *bands.segments(b), b + 1000)
                     for at in range(0, len(of), max(1, 500_000 // len(new))):
                         k = mix(of[at : at + max(1, 500_000 // len(new)), None] ^ new[None, :]).ravel()
                         yield pa.RecordBatch.from_arrays([_signed(k), pa.array(np.full(len(k), sid | up)), pa.array(np.full(len(k), comp))], ["key", "v", "c"])
@@ -298,12 +370,48 @@ def _rarest(tokens: DataFrame, threshold: Fraction) -> DataFrame:
     return sets.select(F.explode(F.slice("all", 1, F.greatest(most, F.lit(1)).cast("int"))).alias("x"), "v", "c").select("x.key", "v", "c")
 
 
-def _grouped(keys: DataFrame, last: bool, small: int) -> DataFrame:
+def _grouped(keys: DataFrame, small: int) -> DataFrame:
     """Members of a group meet in one task, which streams them; their order, and so the leaders, differ from key to key."""
-    return keys.repartition("key").sortWithinPartitions("key", F.col("v").bitwiseXOR(F.col("key"))).select("key", "v", "c").mapInArrow(_groups(last, small), GROUPS)
+    return keys.repartition("key").sortWithinPartitions("key", F.col("v").bitwiseXOR(F.col("key"))).select("key", "v", "c").mapInArrow(_groups(small), GROUPS)
+
+
+def _links(rows: DataFrame, nodes: DataFrame, near: DataFrame, ws: Scratch, name: str, width: int, threshold: Fraction) -> DataFrame:
+    """The pairs of `near` that the texts confirm."""
+    at = nodes.select(F.col("sid").alias("v"), "row")
+    ends = ws.save(near.select(F.col("a").alias("v")).unionAll(near.select("b")).distinct().join(at, "v"), f"ends-{name}")
+    texts = rows.select("row", "text").join(checked_broadcast(ends), "row").dropDuplicates(["v"])
+    texts = ws.save(texts.select("v", "text"), f"texts-{name}")
+    both = near.join(texts.select(F.col("v").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b")
+    out = ws.save(both.select("a", "b", "ta", "tb").mapInArrow(_verified(width, threshold), "a long, b long"), f"links-{name}")
+    ws.drop(f"ends-{name}", f"texts-{name}")
+    return out
+
+
+def _rest(rows: DataFrame, nodes: DataFrame, large: DataFrame, roots: DataFrame, ws: Scratch, width: int, threshold: Fraction, big: int) -> DataFrame:
+    """Pairs of different components in large groups that sketches leave in reach of the threshold."""
+    members = large.join(roots, "v", "left").select("key", "v", F.coalesce("root", "v").alias("c"))
+    open_ = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    members = ws.save(members.join(open_, "key"), "members-1")
+    found = ws.save(_compared(members, nodes, threshold, big), "compared-1")
+    near = found.where("key is null").select("a", "b")
+    for level in (2, 3):
+        wide = found.where("key is not null").groupBy(F.col("a").alias("v")).agg(F.collect_set("key").alias("keys"))
+        wide = ws.save(wide.join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("c"), "keys"), f"wide-{level}")
+        if wide.isEmpty():
+            break
+        whose = checked_broadcast(ws.save(wide.select("v", "c").join(nodes.select(F.col("sid").alias("v"), "row"), "v"), f"whose-{level}"))
+        texts = rows.select("row", "text").join(whose, "row").dropDuplicates(["v"])
+        if level == 2:
+            keys = _rarest(texts.select("v", "c", "text").mapInArrow(_tokens(width), "key long, v long, c long"), threshold)
+        else:
+            keys = texts.join(wide.select("v", "keys"), "v").select("v", "c", "keys", "text").mapInArrow(_again(width, threshold), "key long, v long, c long")
+            keys = keys.withColumn("v", F.col("v").bitwiseAND(F.lit(-2)))
+        found = ws.save(_compared(keys, nodes, threshold, big if level == 2 else None), f"compared-{level}")
+        near = near.unionAll(found.where("key is null").select("a", "b"))
+    return ws.save(near.distinct(), "near-rest")
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, threshold: Fraction = Fraction(85, 100), small: int = SMALL) -> DataFrame:
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, threshold: Fraction = Fraction(85, 100), small: int = SMALL, big: int = BIG) -> DataFrame:
     """(id, n_shingles long, component_id) for every row of df: n_shingles is the size of its set of `width`-word
     shingles, component_id the least id that links reach; rows link when the Jaccard similarity of their sets is at
     least `threshold`.
@@ -317,40 +425,19 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = ws.save(rows.mapInArrow(_sketches(width, threshold), DOCS), "docs")
     nodes = ws.save(docs.where("sketch is not null").groupBy("sid").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     keys = docs.select(F.explode("own").alias("key"), F.col("sid").alias("v")).unionAll(docs.select(F.explode("up"), F.col("sid").bitwiseOR(F.lit(1))))
-    found = ws.save(_grouped(keys.withColumn("c", F.col("v").bitwiseAND(F.lit(-2))), False, small), "found-1")
-    links = roots = None
-    for level in range(1, LEVELS + 1):
-        pairs = ws.save(found.where("key is null").select("a", "b").distinct(), f"pairs-{level}")
-        side = lambda x: nodes.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("row").alias(f"r{x}"))
-        close = ws.save(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_close(threshold), "a long, b long, ra long, rb long"), f"close-{level}")
-        ends = close.select(F.col("ra").alias("row")).unionAll(close.select("rb")).distinct()
-        texts = ws.save(rows.select("row", "text").join(ends, "row", "left_semi").dropDuplicates(["row"]), f"texts-{level}")
-        both = close.join(texts.select(F.col("row").alias("ra"), F.col("text").alias("ta")), "ra").join(texts.select(F.col("row").alias("rb"), F.col("text").alias("tb")), "rb")
-        fresh = ws.save(both.select("a", "b", "ta", "tb").mapInArrow(_verified(width, threshold), "a long, b long"), f"links-{level}")
-        if level == 1 or not fresh.isEmpty():
-            links = fresh if links is None else links.unionAll(fresh)
-            roots = components(links, ws, f"roots-{level}")
-        ws.drop(f"pairs-{level}", f"close-{level}", f"texts-{level}")
-        large = found.where("key is not null").select("key", F.col("a").alias("v")).distinct()
-        if level == LEVELS or large.isEmpty():
-            break
-        large = ws.save(large.join(roots, "v", "left").select("key", "v", F.coalesce("root", "v").alias("c")), f"large-{level}")
-        # Where one component holds nearly all of a group, the few others are compared with all; else the group is dealt again.
-        parts = large.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"), (F.sum("count") - F.max("count")).alias("others"))
-        parts = ws.save(parts.where("others > 0"), f"parts-{level}")
-        few = large.join(parts.where(F.col("others") <= FEW[level - 1] * small), "key")
-        odd = few.where("c <> main").select("key", F.col("v").alias("o"), F.col("c").alias("oc"))
-        extra = few.join(odd, "key").where("c <> oc").select(F.least("v", "o").alias("a"), F.greatest("v", "o").alias("b"))
-        many = ws.save(large.join(parts.where(F.col("others") > FEW[level - 1] * small).select("key"), "key").groupBy("v", "c").agg(F.collect_list("key").alias("keys")), f"many-{level}")
-        extra = extra.select(F.lit(None).cast("long").alias("key"), "a", "b").distinct()
-        again = many.join(nodes.select(F.col("sid").alias("v"), "row"), "v").join(rows.select("row", "text"), "row").dropDuplicates(["v"])
-        if level == 1:
-            again = _rarest(again.select("v", "c", "text").mapInArrow(_tokens(width), "key long, v long, c long"), threshold)
-        else:
-            again = again.select("v", "c", "keys", "text").mapInArrow(_again(width, threshold, level), "key long, v long, c long")
-        found = ws.save(extra if many.isEmpty() else extra.unionAll(_grouped(again, level + 1 == LEVELS, small)), f"found-{level + 1}")
-        if found.isEmpty():
-            break
+    found = ws.save(_grouped(keys.withColumn("c", F.col("v").bitwiseAND(F.lit(-2))), small), "found")
+    pairs = ws.save(found.where("key is null").select("a", "b").distinct(), "pairs")
+    side = lambda x: nodes.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    near = ws.save(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_close(threshold), "a long, b long"), "near")
+    links = _links(rows, nodes, near, ws, "first", width, threshold)
+    roots = components(links, ws, "roots-first")
+    large = ws.save(found.where("key is not null").select("key", F.col("a").alias("v")).distinct(), "large")
+    ws.drop("pairs", "near", "found")
+    if not large.isEmpty():
+        rest = _rest(rows, nodes, large, roots, ws, width, threshold, big)
+        fresh = _links(rows, nodes, rest, ws, "rest", width, threshold)
+        if not fresh.isEmpty():
+            roots = components(links.unionAll(fresh), ws, "roots-rest")
     of = docs.groupBy("sid").agg(F.min("id").alias("least")).where("sid is not null")
     of = of.join(roots.withColumnRenamed("v", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     names = of.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, checked_broadcast
 from .components import components
 from .jaccard import SMALL, _grouped
 from .shingles import mix
@@ -153,13 +153,13 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("row"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     seen = ws.save(rows.mapInArrow(_occurrences, "id long, row long, at long, line long"), "seen")
     first = ws.save(seen.groupBy("line").agg(F.min(F.struct("id", "at", "row")).alias("first")), "first")
-    found = ws.save(_grouped(rows.select("text").mapInArrow(_keys, "key long, v long, c long"), False, small), "found")
+    found = ws.save(_grouped(rows.select("text").mapInArrow(_keys, "key long, v long, c long"), small), "found")
     links = None
     for turn in ("leaders", "rest"):
         pairs = ws.save(found.where("key is null").select("a", "b").distinct(), f"pairs-{turn}")
         ends = pairs.select(F.col("a").alias("line")).unionAll(pairs.select("b")).distinct()
-        wanted = first.join(ends, "line").groupBy("first.row").agg(F.collect_list("first.at").alias("ats"))
-        texts = ws.save(rows.join(wanted, "row").select("text", "ats").mapInArrow(_pick, "line long, x string").dropDuplicates(["line"]), f"texts-{turn}")
+        wanted = ws.save(first.join(ends, "line").select("first.row", "first.at").groupBy("row").agg(F.collect_list("at").alias("ats")), f"wanted-{turn}")
+        texts = ws.save(rows.join(checked_broadcast(wanted), "row").select("text", "ats").mapInArrow(_pick, "line long, x string").dropDuplicates(["line"]), f"texts-{turn}")
         both = pairs.join(texts.select(F.col("line").alias("a"), F.col("x").alias("xa")), "a").join(texts.select(F.col("line").alias("b"), F.col("x").alias("xb")), "b")
         fresh = ws.save(both.sortWithinPartitions("a").select("a", "b", "xa", "xb").mapInArrow(_similar(threshold), "a long, b long"), f"links-{turn}")
         if links is None or not fresh.isEmpty():
