@@ -449,3 +449,16 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's classes of all documents: 4-word shingles, Jaccard similarity of 0.85 or more."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: Fraction = Fraction(80, 100)) -> DataFrame:
+    """df with one row of each component of jaccard_components: the one with the least id; rows without shingles or
+    with a null id stay. Of rows repeated in id and text one stays. All columns are kept."""
+    ws = Scratch(df.sparkSession, "groups")
+    classes = ws.save(jaccard_components(df, id_col, text_col, width, threshold).where(f"`{id_col}` is not null").select(F.col(f"`{id_col}`").alias("id"), "component_id"), "classes")
+    gone = checked_broadcast(ws.save(classes.where("id <> component_id").select("id").distinct(), "gone"))
+    out = df.join(gone, df[f"`{id_col}`"].cast("long") == gone["id"], "left_anti")
+    if classes.groupBy("id").count().where("count > 1").isEmpty():
+        return out
+    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.uuid())
+    return out.withColumn("_key", key).dropDuplicates(["_key", text_col]).drop("_key")

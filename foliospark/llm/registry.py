@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, jaccard, lines, mixing, quality, sharding, tokens, toxicity
+from . import chat, decontamination, jaccard, licenses, lines, mixing, quality, sharding, tokens, toxicity
 
 QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_decontamination": decontamination.op3_decontamination,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_quality": quality.op5_quality,
     "op6_chat": chat.op6_chat,
     "op7_mixing": mixing.op7_mixing,
