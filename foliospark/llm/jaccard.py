@@ -232,11 +232,12 @@ def _close(threshold: Fraction):
 
 
 def _compare(threshold: Fraction, most: int | None):
-    """From (key, v, c, n, sketch) sorted by key: pairs (null key) of different components that sizes and sketches leave
-    in reach of the threshold; (key, v, null) for the members of groups of over `most`."""
+    """From (key, v, c, n, sketch, keys) sorted by key: pairs (null key) of different components that sizes and sketches
+    leave in reach of the threshold; (key, v, null) for the members of groups of over `most`. Where `keys` lists a
+    member's groups, a pair is written in the first group that both are in, not again in the others."""
     p, q = threshold.numerator, threshold.denominator
 
-    def pairs(v: np.ndarray, c: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(key: int, v: np.ndarray, c: np.ndarray, n: np.ndarray, sketches: list[bytes], keys: list[list[int] | None]) -> tuple[np.ndarray, np.ndarray]:
         width = min(map(len, sketches)) // 8
         x = np.empty((len(v), width), np.uint64)
         for i, raw in enumerate(sketches):
@@ -248,6 +249,7 @@ def _compare(threshold: Fraction, most: int | None):
         main = c == ids[count.argmax()]
         order = np.concatenate((np.flatnonzero(~main), np.flatnonzero(main)))
         v, c, n, x, odd = v[order], c[order], n[order], x[order], int((~main).sum())
+        own = [set(keys[k] or ()) for k in order.tolist()]
         out_a, out_b = [], []
         step = max(1, AT_ONCE // (len(v) * width))
         for at in range(0, odd, step):
@@ -256,7 +258,11 @@ def _compare(threshold: Fraction, most: int | None):
             ni, nj = n[i, None], n[None, at:]
             good = (far * (p + q) <= (q - p) * (ni + nj)) & (q * np.minimum(ni, nj) >= p * np.maximum(ni, nj)) & (c[i, None] != c[None, at:]) & (i[:, None] < np.arange(at, len(v))[None, :])
             a, b = np.nonzero(good)
-            out_a.append(v[i[a]]), out_b.append(v[at + b])
+            a, b = i[a], at + b
+            if keys[0] is not None:
+                first = [min(own[x] & own[y]) == key for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                a, b = a[first], b[first]
+            out_a.append(v[a]), out_b.append(v[b])
         return np.concatenate(out_a), np.concatenate(out_b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,11 +270,11 @@ def _compare(threshold: Fraction, most: int | None):
 
         def close() -> Iterator[pa.RecordBatch]:
             v, c, n = (np.concatenate([h[k] for h in held]) for k in range(3))
-            sketches = [y for h in held for y in h[3]]
+            sketches, keys = ([y for h in held for y in h[k]] for k in (3, 4))
             _, first = np.unique(v, return_index=True)
-            v, c, n, sketches = v[first], c[first], n[first], [sketches[k] for k in first]
+            v, c, n, sketches, keys = v[first], c[first], n[first], [sketches[k] for k in first], [keys[k] for k in first]
             if len(v) > 1 and (c != c[0]).any():
-                a, b = pairs(v, c, n, sketches)
+                a, b = pairs(int(key), v, c, n, sketches, keys)
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["key", "a", "b"])
 
         def large(k: int, v: np.ndarray) -> pa.RecordBatch:
@@ -294,7 +300,7 @@ def _compare(threshold: Fraction, most: int | None):
                     held = []
                     yield large(key, v[s:e])
                 else:
-                    held.append((v[s:e], c[s:e], n[s:e], batch.column(4).slice(s, e - s).to_pylist()))
+                    held.append((v[s:e], c[s:e], n[s:e], *(batch.column(x).slice(s, e - s).to_pylist() for x in (4, 5))))
         if total > 1 and held:
             yield from close()
 
@@ -303,7 +309,7 @@ def _compare(threshold: Fraction, most: int | None):
 
 def _compared(members: DataFrame, nodes: DataFrame, threshold: Fraction, most: int | None) -> DataFrame:
     rows = members.join(nodes.select(F.col("sid").alias("v"), "n", "sketch"), "v")
-    return rows.repartition("key").sortWithinPartitions("key").select("key", "v", "c", "n", "sketch").mapInArrow(_compare(threshold, most), GROUPS)
+    return rows.repartition("key").sortWithinPartitions("key").select("key", "v", "c", "n", "sketch", "keys").mapInArrow(_compare(threshold, most), GROUPS)
 
 
 def _verified(width: int, threshold: Fraction):
@@ -392,6 +398,7 @@ def _rest(rows: DataFrame, nodes: DataFrame, large: DataFrame, roots: DataFrame,
     members = large.join(roots, "v", "left").select("key", "v", F.coalesce("root", "v").alias("c"))
     open_ = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
     members = ws.save(members.join(open_, "key"), "members-1")
+    members = members.join(members.groupBy("v").agg(F.collect_set("key").alias("keys")), "v")
     found = ws.save(_compared(members, nodes, threshold, big), "compared-1")
     near = found.where("key is null").select("a", "b")
     for level in (2, 3):
@@ -406,6 +413,7 @@ def _rest(rows: DataFrame, nodes: DataFrame, large: DataFrame, roots: DataFrame,
         else:
             keys = texts.join(wide.select("v", "keys"), "v").select("v", "c", "keys", "text").mapInArrow(_again(width, threshold), "key long, v long, c long")
             keys = keys.withColumn("v", F.col("v").bitwiseAND(F.lit(-2)))
+        keys = keys.withColumn("keys", F.lit(None).cast("array<long>"))
         found = ws.save(_compared(keys, nodes, threshold, big if level == 2 else None), f"compared-{level}")
         near = near.unionAll(found.where("key is null").select("a", "b"))
     return ws.save(near.distinct(), "near-rest")

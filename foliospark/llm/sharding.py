@@ -70,7 +70,10 @@ def shard_rows(df: DataFrame, shards: int = 24, seed: int = 17, shard_col: str =
     table = spark.createDataFrame(matrix, f"`{block}` long, `{coarse}` array<long>, `{cuts}` array<long>")
     offsets = F.array(*[F.lit(x).cast("long") for x in starts]) if len(starts) <= 64 else None
     dealt = keyed.withColumn(block, F.floor(fine / width).cast("long"))
-    dealt = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(block).orderBy(F.xxhash64(F.lit(seed + 1), key), key)))
+    # Repeated rows have one hash; their numbers in the block tell them apart, so that they are dealt out as well.
+    dealt = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(block).orderBy(key)))
+    dealt = dealt.withColumn(key, F.xxhash64(F.lit(seed + 1), key, rank))
+    dealt = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(block).orderBy(key)))
     dealt = dealt.join(F.broadcast(table), block)  # MAX_CELLS numbers at most
     group = F.size(F.filter(coarse, lambda c: c < F.col(rank)))
     rest = F.filter(F.slice(cuts, group * STEP + 1, STEP), lambda c: c < F.col(rank))
