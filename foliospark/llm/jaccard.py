@@ -145,6 +145,21 @@ def _sketches(width: int, threshold: Fraction):
 GROUPS = "key long, a long, b long"
 
 
+def _merged(batches: Iterator[pa.RecordBatch], width: int, rows: int = 1 << 17) -> Iterator[list[np.ndarray]]:
+    """The first columns of batches, put together to about `rows` rows."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append([batch.column(i).to_numpy() for i in range(width)])
+            n += batch.num_rows
+        if n >= rows:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, n = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def _groups(small: int):
     """From (key, v, c) sorted by key: candidate pairs (null key), and for large groups (key, member, null).
 
@@ -154,10 +169,8 @@ def _groups(small: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key0, head = None, (np.empty(0, np.int64), np.empty(0, np.int64))  # the open group: all of a small one, the leaders of a large one
         size0 = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k, v, c = (batch.column(i).to_numpy() for i in range(3))
+        for columns in _merged(batches, 3):
+            k, v, c = columns
             starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
             ends = np.append(starts[1:], len(k))
             pa_, pb, hk, hv = [], [], [], []
@@ -307,7 +320,7 @@ def _compare(threshold: Fraction, most: int | None):
     return run
 
 
-def _compared(members: DataFrame, nodes: DataFrame, threshold: Fraction, most: int | None) -> DataFrame:
+def compared(members: DataFrame, nodes: DataFrame, threshold: Fraction, most: int | None) -> DataFrame:
     rows = members.join(nodes.select(F.col("sid").alias("v"), "n", "sketch"), "v")
     return rows.repartition("key").sortWithinPartitions("key").select("key", "v", "c", "n", "sketch", "keys").mapInArrow(_compare(threshold, most), GROUPS)
 
@@ -376,9 +389,9 @@ def _rarest(tokens: DataFrame, threshold: Fraction) -> DataFrame:
     return sets.select(F.explode(F.slice("all", 1, F.greatest(most, F.lit(1)).cast("int"))).alias("x"), "v", "c").select("x.key", "v", "c")
 
 
-def _grouped(keys: DataFrame, small: int) -> DataFrame:
-    """Members of a group meet in one task, which streams them; their order, and so the leaders, differ from key to key."""
-    return keys.repartition("key").sortWithinPartitions("key", F.col("v").bitwiseXOR(F.col("key"))).select("key", "v", "c").mapInArrow(_groups(small), GROUPS)
+def grouped(keys: DataFrame, small: int) -> DataFrame:
+    """Candidates of (key, v) rows; every v is a component of its own. Members of a group meet in one task, which streams them; their order, and so the leaders, differ from key to key."""
+    return keys.repartition("key").sortWithinPartitions("key", F.col("v").bitwiseXOR(F.col("key"))).select("key", "v", F.col("v").bitwiseAND(F.lit(-2)).alias("c")).mapInArrow(_groups(small), GROUPS)
 
 
 def _links(rows: DataFrame, nodes: DataFrame, near: DataFrame, ws: Scratch, name: str, width: int, threshold: Fraction) -> DataFrame:
@@ -393,13 +406,24 @@ def _links(rows: DataFrame, nodes: DataFrame, near: DataFrame, ws: Scratch, name
     return out
 
 
-def _rest(rows: DataFrame, nodes: DataFrame, large: DataFrame, roots: DataFrame, ws: Scratch, width: int, threshold: Fraction, big: int) -> DataFrame:
-    """Pairs of different components in large groups that sketches leave in reach of the threshold."""
+def near_pairs(pairs: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches of nodes (sid, n, sketch) leave in reach of the threshold."""
+    side = lambda x: nodes.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_close(threshold), "a long, b long")
+
+
+def open_members(large: DataFrame, roots: DataFrame, ws: Scratch) -> DataFrame:
+    """(key, v, c, keys): the members of large groups (key, v) of several components, with all their groups."""
     members = large.join(roots, "v", "left").select("key", "v", F.coalesce("root", "v").alias("c"))
     open_ = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    members = ws.save(members.join(open_, "key"), "members-1")
-    members = members.join(members.groupBy("v").agg(F.collect_set("key").alias("keys")), "v")
-    found = ws.save(_compared(members, nodes, threshold, big), "compared-1")
+    members = ws.save(members.join(open_, "key"), "members")
+    return members.join(members.groupBy("v").agg(F.collect_set("key").alias("keys")), "v")
+
+
+def _rest(rows: DataFrame, nodes: DataFrame, large: DataFrame, roots: DataFrame, ws: Scratch, width: int, threshold: Fraction, big: int) -> DataFrame:
+    """Pairs of different components in large groups that sketches leave in reach of the threshold."""
+    members = open_members(large, roots, ws)
+    found = ws.save(compared(members, nodes, threshold, big), "compared-1")
     near = found.where("key is null").select("a", "b")
     for level in (2, 3):
         wide = found.where("key is not null").groupBy(F.col("a").alias("v")).agg(F.collect_set("key").alias("keys"))
@@ -414,7 +438,7 @@ def _rest(rows: DataFrame, nodes: DataFrame, large: DataFrame, roots: DataFrame,
             keys = texts.join(wide.select("v", "keys"), "v").select("v", "c", "keys", "text").mapInArrow(_again(width, threshold), "key long, v long, c long")
             keys = keys.withColumn("v", F.col("v").bitwiseAND(F.lit(-2)))
         keys = keys.withColumn("keys", F.lit(None).cast("array<long>"))
-        found = ws.save(_compared(keys, nodes, threshold, big if level == 2 else None), f"compared-{level}")
+        found = ws.save(compared(keys, nodes, threshold, big if level == 2 else None), f"compared-{level}")
         near = near.unionAll(found.where("key is null").select("a", "b"))
     return ws.save(near.distinct(), "near-rest")
 
@@ -433,10 +457,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = ws.save(rows.mapInArrow(_sketches(width, threshold), DOCS), "docs")
     nodes = ws.save(docs.where("sketch is not null").groupBy("sid").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     keys = docs.select(F.explode("own").alias("key"), F.col("sid").alias("v")).unionAll(docs.select(F.explode("up"), F.col("sid").bitwiseOR(F.lit(1))))
-    found = ws.save(_grouped(keys.withColumn("c", F.col("v").bitwiseAND(F.lit(-2))), small), "found")
-    pairs = ws.save(found.where("key is null").select("a", "b").distinct(), "pairs")
-    side = lambda x: nodes.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    near = ws.save(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_close(threshold), "a long, b long"), "near")
+    found = ws.save(grouped(keys, small), "found")
+    near = ws.save(near_pairs(ws.save(found.where("key is null").select("a", "b").distinct(), "pairs"), nodes, threshold), "near")
     links = _links(rows, nodes, near, ws, "first", width, threshold)
     roots = components(links, ws, "roots-first")
     large = ws.save(found.where("key is not null").select("key", F.col("a").alias("v")).distinct(), "large")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, checked_broadcast
 from .components import components
-from .jaccard import SMALL, _grouped
+from .jaccard import bit_sketch, compared, grouped, near_pairs, open_members
 from .shingles import mix
 
 #: Characters of a shingle; the similarity from which lines are one.
@@ -22,6 +22,11 @@ CHARS, THRESHOLD = 5, Fraction(80, 100)
 #: share one of the 16 bands with a probability of 99 percent, at 0.85 of 99.97.
 PASSES, BINS, ROWS = 3, 32, 6
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Odd factors that make PASSES hashes of one.
+_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_P, _P2 = np.uint64(0x100000001B3), np.uint64(0x100000001B3**2 & 0xFFFFFFFFFFFFFFFF)
+#: Groups of a band of over this many lines are linked through a leader first.
+SMALL = 4
 
 
 def normal(line: str) -> str:
@@ -33,26 +38,31 @@ def line_id(line: str) -> int:
     return (xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) >> 1) & ~1
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """(lines, bands) keys of the lines' MinHash signatures."""
-    n = len(lines)
+def grams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, lines they are of) of all CHARS-character shingles; a shorter line is one shingle."""
     padded = [x.ljust(CHARS, "\0") for x in lines]
     size = np.array([len(x) for x in padded])
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h = np.zeros(len(codes) - CHARS + 1, np.uint64)
-    for k in range(CHARS):
-        h = h * np.uint64(0x100000001B3) + codes[k : len(codes) - CHARS + 1 + k]
-    ends = np.cumsum(size)
+    two = codes[:-1] * _P + codes[1:]
+    h = (two[:-3] * _P2 + two[2:-1]) * _P + codes[4:]
     good = np.ones(len(codes), bool)
+    ends = np.cumsum(size)
     for k in range(1, CHARS):
         good[ends - k] = False
     good = good[: len(h)]
-    h, of = h[good], np.repeat(np.arange(n), size - CHARS + 1) * BINS
+    return mix(h[good]), np.repeat(np.arange(len(lines)), size - CHARS + 1)
+
+
+def band_keys(lines: list[str]) -> np.ndarray:
+    """(lines, bands) keys of the lines' MinHash signatures."""
+    n = len(lines)
+    h, of = grams(lines)
+    of = of * BINS
     out = []
-    for p in range(PASSES):
-        x = mix(h + np.uint64(p * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
+    for factor in _FACTORS[:PASSES]:
+        x = h * factor
         low = np.full(n * BINS, _EMPTY)
-        np.minimum.at(low, of + (x >> np.uint64(59)).astype(np.int64), x & np.uint64(0x07FFFFFFFFFFFFFF))
+        np.minimum.at(low, of + (x >> np.uint64(59)).view(np.int64), x & np.uint64(0x07FFFFFFFFFFFFFF))
         low = low.reshape(n, BINS)
         for _ in range(BINS):  # an empty bin takes its right neighbour's minimum, marked by the distance
             gone = low == _EMPTY
@@ -86,7 +96,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(held: list[str], ids: list[int]) -> pa.RecordBatch:
         keys = band_keys(held)
         v = np.repeat(np.array(ids), keys.shape[1])
-        return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(v), pa.array(v)], ["key", "v", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(v)], ["key", "v"])
 
     held: list[str] = []
     ids: list[int] = []
@@ -108,38 +118,42 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted lines of texts with the size and the bit sketch of their shingle sets."""
     for batch in batches:
-        ids, texts = [], []
+        ids, texts, sizes, sketches = [], [], [], []
         for text, ats in zip(batch.column(0), batch.column(1), strict=True):
             parts = text.as_py().split("\n")
             for k in ats.as_py():
                 x = normal(parts[k])
-                ids.append(line_id(x)), texts.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["line", "x"])
+                u = np.unique(grams([x])[0])
+                ids.append(line_id(x)), texts.append(x), sizes.append(len(u)), sketches.append(bit_sketch(u))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["sid", "x", "n", "sketch"])
 
 
 def _similar(threshold: Fraction):
     p, q = threshold.numerator, threshold.denominator
 
-    def grams(x: str) -> set[str]:
-        return {x[k : k + CHARS] for k in range(max(1, len(x) - CHARS + 1))}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, of_last = None, set()
+        last, u = None, np.empty(0, np.uint64)
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True):
-                x, y = x.as_py(), y.as_py()
-                if x != last:
-                    last, of_last = x, grams(x)
-                other = grams(y)
-                both = len(of_last & other)
-                keep.append(q * both >= p * (len(of_last) + len(other) - both))
+            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("xa"), batch.column("xb"), strict=True):
+                if a != last:
+                    last, u = a, np.unique(grams([x.as_py()])[0])
+                v = np.unique(grams([y.as_py()])[0])
+                both = len(u) + len(v) - len(np.union1d(u, v))
+                keep.append(q * both >= p * (len(u) + len(v) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _links(near: DataFrame, lines: DataFrame, ws: Scratch, name: str, threshold: Fraction) -> DataFrame:
+    """The pairs of `near` that the lines themselves confirm."""
+    both = near.join(lines.select(F.col("sid").alias("b"), F.col("x").alias("xb")), "b").join(lines.select(F.col("sid").alias("a"), F.col("x").alias("xa")), "a")
+    return ws.save(both.sortWithinPartitions("a").select("a", "b", "xa", "xb").mapInArrow(_similar(threshold), "a long, b long"), f"links-{name}")
+
+
 def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction = THRESHOLD, small: int = SMALL) -> DataFrame:
     """(id, line_no, class_id, class_line, kept) for every line with a word of every whole text.
 
@@ -148,34 +162,27 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component, the one that is kept. Lines shorter than a shingle are compared whole. Null and empty texts have no
     lines; null ids come first; rows equal in id and text are one document; other columns are ignored.
     Candidates are lines that share a band (see ROWS); a band's group of over `small` lines is linked through leaders
-    that differ from band to band, and the few that this leaves outside its main component are compared with all."""
+    that differ from band to band, and where this leaves several components, sketches decide in the group which lines
+    of different components are compared."""
     ws = Scratch(df.sparkSession, "lines")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("row"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     seen = ws.save(rows.mapInArrow(_occurrences, "id long, row long, at long, line long"), "seen")
     first = ws.save(seen.groupBy("line").agg(F.min(F.struct("id", "at", "row")).alias("first")), "first")
-    found = ws.save(_grouped(rows.select("text").mapInArrow(_keys, "key long, v long, c long"), small), "found")
-    links = None
-    for turn in ("leaders", "rest"):
-        pairs = ws.save(found.where("key is null").select("a", "b").distinct(), f"pairs-{turn}")
-        ends = pairs.select(F.col("a").alias("line")).unionAll(pairs.select("b")).distinct()
-        wanted = ws.save(first.join(ends, "line").select("first.row", "first.at").groupBy("row").agg(F.collect_list("at").alias("ats")), f"wanted-{turn}")
-        texts = ws.save(rows.join(checked_broadcast(wanted), "row").select("text", "ats").mapInArrow(_pick, "line long, x string").dropDuplicates(["line"]), f"texts-{turn}")
-        both = pairs.join(texts.select(F.col("line").alias("a"), F.col("x").alias("xa")), "a").join(texts.select(F.col("line").alias("b"), F.col("x").alias("xb")), "b")
-        fresh = ws.save(both.sortWithinPartitions("a").select("a", "b", "xa", "xb").mapInArrow(_similar(threshold), "a long, b long"), f"links-{turn}")
-        if links is None or not fresh.isEmpty():
-            links = fresh if links is None else links.unionAll(fresh)
-            roots = components(links, ws, f"roots-{turn}")
-        ws.drop(f"pairs-{turn}", f"texts-{turn}")
-        large = found.where("key is not null").select("key", F.col("a").alias("v"))
-        if turn == "rest" or large.isEmpty():
-            break
-        large = ws.save(large.distinct().join(roots, "v", "left").select("key", "v", F.coalesce("root", "v").alias("c")), "large")
-        parts = large.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"), (F.sum("count") - F.max("count")).alias("others"))
-        odd = large.join(parts.where("others > 0"), "key").where("c <> main").select("key", F.col("v").alias("o"), F.col("c").alias("oc"))
-        extra = large.join(odd, "key").where("c <> oc").select(F.lit(None).cast("long").alias("key"), F.least("v", "o").alias("a"), F.greatest("v", "o").alias("b"))
-        found = ws.save(extra.distinct(), "found-rest")
-        if found.isEmpty():
-            break
+    found = ws.save(grouped(rows.select("text").mapInArrow(_keys, "key long, v long"), small), "found")
+    pairs = ws.save(found.where("key is null").select("a", "b").distinct(), "pairs")
+    large = ws.save(found.where("key is not null").select("key", F.col("a").alias("v")).distinct(), "large")
+    ends = pairs.select(F.col("a").alias("line")).unionAll(pairs.select("b")).unionAll(large.select("v")).distinct()
+    wanted = ws.save(first.join(ends, "line").select("first.row", "first.at").groupBy("row").agg(F.collect_list("at").alias("ats")), "wanted")
+    lines = rows.join(checked_broadcast(wanted), "row").select("text", "ats").mapInArrow(_pick, "sid long, x string, n long, sketch binary")
+    lines = ws.save(lines.dropDuplicates(["sid"]), "lines")
+    ws.drop("found")
+    links = _links(ws.save(near_pairs(pairs, lines, threshold), "near"), lines, ws, "first", threshold)
+    roots = components(links, ws, "roots-first")
+    if not large.isEmpty():
+        rest = compared(open_members(large, roots, ws), lines, threshold, None).select("a", "b").distinct()
+        fresh = _links(ws.save(rest, "near-rest"), lines, ws, "rest", threshold)
+        if not fresh.isEmpty():
+            roots = components(links.unionAll(fresh), ws, "roots-rest")
     place = first.join(roots.withColumnRenamed("v", "line"), "line", "left").select("line", F.coalesce("root", "line").alias("root"), "first")
     heads = place.groupBy("root").agg(F.min("first").alias("head"))
     place = place.join(heads, "root").select("line", "head")
