@@ -14,7 +14,7 @@ from .common import Scratch, deal, free_name, row_key
 #: Sources that a mix may have; the driver holds one row and one row of quotas for each.
 MAX_SOURCES = 10_000
 #: Documents of a source are ordered in blocks of about this many.
-ROWS_PER_BLOCK = 20_000
+ROWS_PER_BLOCK = 2_000
 FINE = 1 << 12
 #: Partitions that one output shard of the mix is dealt to.
 SPREAD = 64
