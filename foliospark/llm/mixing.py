@@ -24,8 +24,7 @@ MOST = 3
 
 def word_count(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+`; null has none."""
-    flat = F.btrim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "))
-    return F.when(F.length(flat) == 0, 0).otherwise(F.size(F.split(flat, " +"))).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def targets(sizes: list[int], weights: list[float], most: int = MOST) -> list[float]:
