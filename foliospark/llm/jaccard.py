@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, checked_broadcast
+from .common import Scratch, checked_broadcast, free_name
 from .components import components
 from .shingles import WordHashes, mix, shingles
 
@@ -490,5 +490,6 @@ def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = df.join(gone, df[f"`{id_col}`"].cast("long") == gone["id"], "left_anti")
     if classes.groupBy("id").count().where("count > 1").isEmpty():
         return out
-    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.uuid())
-    return out.withColumn("_key", key).dropDuplicates(["_key", text_col]).drop("_key")
+    key = free_name(df, "_key")
+    out = out.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("string"), F.uuid())).dropDuplicates([key, text_col])
+    return out.select(*[f"`{c}`" for c in df.columns])
