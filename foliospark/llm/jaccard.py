@@ -200,6 +200,9 @@ def _groups(small: int):
                     vs, cs = vs[first], cs[first]
                 if not len(vs):
                     continue
+                if not size0:  # leaders differ from key to key, whatever order the members came in
+                    order = np.argsort(vs ^ key, kind="stable")
+                    vs, cs = vs[order], cs[order]
                 total = size0 + len(vs)
                 all_v, all_c = np.concatenate((old_v, vs)), np.concatenate((old_c, cs))
                 if total <= small:
@@ -390,8 +393,8 @@ def _rarest(tokens: DataFrame, threshold: Fraction) -> DataFrame:
 
 
 def grouped(keys: DataFrame, small: int) -> DataFrame:
-    """Candidates of (key, v) rows; every v is a component of its own. Members of a group meet in one task, which streams them; their order, and so the leaders, differ from key to key."""
-    return keys.repartition("key").sortWithinPartitions("key", F.col("v").bitwiseXOR(F.col("key"))).select("key", "v", F.col("v").bitwiseAND(F.lit(-2)).alias("c")).mapInArrow(_groups(small), GROUPS)
+    """Candidates of (key, v) rows; every v is a component of its own. Members of a group meet in one task, which streams them."""
+    return keys.repartition("key").sortWithinPartitions("key").select("key", "v", F.col("v").bitwiseAND(F.lit(-2)).alias("c")).mapInArrow(_groups(small), GROUPS)
 
 
 def _links(rows: DataFrame, nodes: DataFrame, near: DataFrame, ws: Scratch, name: str, width: int, threshold: Fraction) -> DataFrame:

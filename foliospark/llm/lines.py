@@ -78,43 +78,54 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return mix(key + np.arange(sig.shape[1], dtype=np.uint64)[None, :])
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, rows, at, line = [], [], [], []
-        for i, row, text in zip(*(batch.column(k) for k in range(3)), strict=True):
-            i, row = i.as_py(), row.as_py()
-            for k, x in enumerate((text.as_py() or "").split("\n")):
-                if x := normal(x):
-                    ids.append(i), rows.append(row), at.append(k), line.append(line_id(x))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, rows, at, line)], ["id", "row", "at", "line"])
+OCCURRENCES = "id long, row long, at long, line long, keys array<long>"
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Band keys of lines, each line once in a task (as far as the last million of them tell)."""
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every line with a word, and the band keys of those that this task hasn't seen (as far as the last million tell)."""
     seen: set[int] = set()
+    held: tuple[list, ...] = ([], [], [], [])
+    fresh: list[int] = []
+    texts: list[str] = []
+    chars = 0
 
-    def out(held: list[str], ids: list[int]) -> pa.RecordBatch:
-        keys = band_keys(held)
-        v = np.repeat(np.array(ids), keys.shape[1])
-        return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(v)], ["key", "v"])
+    def out() -> pa.RecordBatch:
+        keys: list = [None] * len(held[0])
+        if texts:
+            for k, own in zip(fresh, band_keys(texts).view(np.int64), strict=True):
+                keys[k] = own
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in held), pa.array(keys, pa.list_(pa.int64()))], ["id", "row", "at", "line", "keys"])
 
-    held: list[str] = []
-    ids: list[int] = []
-    chars = 0
     for batch in batches:
-        for text in batch.column(0):
-            for x in (text.as_py() or "").split("\n"):
-                if (x := normal(x)) and (h := line_id(x)) not in seen:
+        for i, row, text in zip(*(batch.column(k) for k in range(3)), strict=True):
+            i, row = i.as_py(), row.as_py()
+            for k, x in enumerate((text.as_py() or "").lower().split("\n")):
+                if not (x := " ".join(x.split())):
+                    continue
+                h = line_id(x)
+                for to, value in zip(held, (i, row, k, h), strict=True):
+                    to.append(value)
+                if h not in seen:
                     if len(seen) >= 1_000_000:
                         seen.clear()
                     seen.add(h)
-                    held.append(x), ids.append(h)
+                    fresh.append(len(held[0]) - 1), texts.append(x)
                     chars += len(x)
-                    if chars > 200_000:
-                        yield out(held, ids)
-                        held, ids, chars = [], [], 0
-    if held:
-        yield out(held, ids)
+                if chars > 200_000 or len(held[0]) >= 20_000:
+                    yield out()
+                    held, fresh, texts, chars = ([], [], [], []), [], [], 0
+    if held[0]:
+        yield out()
+
+
+def _shapes(texts: list[str]) -> tuple[list[int], list[bytes]]:
+    """Size and bit sketch of each line's shingle set."""
+    h, of = grams(texts)
+    sizes, sketches = [], []
+    for part in np.split(h, np.flatnonzero(of[1:] != of[:-1]) + 1):
+        u = np.unique(part)
+        sizes.append(len(u)), sketches.append(bit_sketch(u))
+    return sizes, sketches
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,11 +133,14 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts, sizes, sketches = [], [], [], []
         for text, ats in zip(batch.column(0), batch.column(1), strict=True):
-            parts = text.as_py().split("\n")
-            for k in ats.as_py():
-                x = normal(parts[k])
-                u = np.unique(grams([x])[0])
-                ids.append(line_id(x)), texts.append(x), sizes.append(len(u)), sketches.append(bit_sketch(u))
+            parts = text.as_py().lower().split("\n")
+            texts += [" ".join(parts[k].split()) for k in ats.as_py()]
+        for at in range(0, len(texts), 500):
+            some = texts[at : at + 500]
+            n, sketch = _shapes(some)
+            ids += map(line_id, some)
+            sizes += n
+            sketches += sketch
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["sid", "x", "n", "sketch"])
 
 
@@ -134,15 +148,22 @@ def _similar(threshold: Fraction):
     p, q = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, u = None, np.empty(0, np.uint64)
         for batch in batches:
             keep = []
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("xa"), batch.column("xb"), strict=True):
-                if a != last:
-                    last, u = a, np.unique(grams([x.as_py()])[0])
-                v = np.unique(grams([y.as_py()])[0])
-                both = len(u) + len(v) - len(np.union1d(u, v))
-                keep.append(q * both >= p * (len(u) + len(v) - both))
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
+                a, xs = part.column("a").to_pylist(), part.column("xa").to_pylist()
+                first = [k for k in range(len(a)) if not k or a[k] != a[k - 1]]  # pairs come sorted by a
+                sets = lambda texts: [np.unique(x) for x in (lambda h, of: np.split(h, np.flatnonzero(of[1:] != of[:-1]) + 1))(*grams(texts))]
+                left, right = sets([xs[k] for k in first]), sets(part.column("xb").to_pylist())
+                at_left = -1
+                for k, v in enumerate(right):
+                    at_left += k in (first[at_left + 1 : at_left + 2])
+                    u = left[at_left]
+                    both = np.concatenate((u, v))
+                    both.sort()
+                    both = int((both[1:] == both[:-1]).sum())
+                    keep.append(q * both >= p * (len(u) + len(v) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -166,9 +187,9 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of different components are compared."""
     ws = Scratch(df.sparkSession, "lines")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("row"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    seen = ws.save(rows.mapInArrow(_occurrences, "id long, row long, at long, line long"), "seen")
+    seen = ws.save(rows.mapInArrow(_occurrences, OCCURRENCES), "seen")
     first = ws.save(seen.groupBy("line").agg(F.min(F.struct("id", "at", "row")).alias("first")), "first")
-    found = ws.save(grouped(rows.select("text").mapInArrow(_keys, "key long, v long"), small), "found")
+    found = ws.save(grouped(seen.select(F.explode("keys").alias("key"), F.col("line").alias("v")), small), "found")
     pairs = ws.save(found.where("key is null").select("a", "b").distinct(), "pairs")
     large = ws.save(found.where("key is not null").select("key", F.col("a").alias("v")).distinct(), "large")
     ends = pairs.select(F.col("a").alias("line")).unionAll(pairs.select("b")).unionAll(large.select("v")).distinct()
@@ -183,9 +204,10 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         fresh = _links(ws.save(rest, "near-rest"), lines, ws, "rest", threshold)
         if not fresh.isEmpty():
             roots = components(links.unionAll(fresh), ws, "roots-rest")
-    place = first.join(roots.withColumnRenamed("v", "line"), "line", "left").select("line", F.coalesce("root", "line").alias("root"), "first")
-    heads = place.groupBy("root").agg(F.min("first").alias("head"))
-    place = place.join(heads, "root").select("line", "head")
+    # Only lines with links have another head than their first occurrence.
+    linked = first.join(roots.withColumnRenamed("v", "line"), "line").select("line", "root", "first")
+    linked = linked.join(linked.groupBy("root").agg(F.min("first").alias("head")), "root").select("line", "head")
+    place = first.join(linked, "line", "left").select("line", F.coalesce("head", "first").alias("head"))
     out = seen.select("id", "at", "line").join(place, "line")
     kept = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("at") == F.col("head.at"))
     return out.select(F.col("id").alias(id_col), F.col("at").alias("line_no"), F.col("head.id").alias("class_id"), F.col("head.at").alias("class_line"), kept.alias("kept"))
