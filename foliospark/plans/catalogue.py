@@ -468,7 +468,7 @@ def page_document(spark: SparkSession, sf: str) -> DataFrame:
     return _markdown(spark, sf).select("r_regionkey", F.length(html.page_document(body, F.lit("en"))).alias("chars"))
 
 
-_YAML = """'primary_language: ' || lang || chr(10) || 'is_rotation_valid: true' || chr(10) || 'rotation_correction: 0' || chr(10) || 'is_table: ' || CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END || chr(10) || 'is_diagram: false' || chr(10) || 'natural_text: |' || chr(10) || regexp_replace(text, '(?m)^([^\n]*[^\s])', '  \\1', 'g')"""
+_YAML = r"""'primary_language: ' || lang || chr(10) || 'is_rotation_valid: true' || chr(10) || 'rotation_correction: 0' || chr(10) || 'is_table: ' || CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END || chr(10) || 'is_diagram: false' || chr(10) || 'natural_text: |' || chr(10) || regexp_replace(text, '(?m)^([^\n]*[^\s])', '  \1', 'g')"""
 
 
 def _yaml(with_id: bool = False):

@@ -17,7 +17,7 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFr
 
 def read_texts(spark: SparkSession, path: str, pattern: str, column: str) -> DataFrame:
     """(path, stem, column): one row for each whole file of a folder that matches."""
-    df = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).text(path)
+    df = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("path"), file_stem(F.col("_metadata.file_path")).alias("stem"), F.col("value").alias(column))
 
 
@@ -47,5 +47,5 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, line) of one log file in its order."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where("line <> ''").withColumn("line_no", F.col("line_no").cast("long"))
