@@ -650,3 +650,14 @@ def log_counts(spark: SparkSession, sf: str) -> DataFrame:
     from ..streaming import jobs
 
     return jobs.log_counts(_log(spark, sf).select("line_no", "line"))
+
+
+@query("SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1")
+def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The events table read as a stream of files, counted until all that is there is read."""
+    schema = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    counts = stream.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
+    name = f"stream_counts_{abs(hash(sf))}"
+    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
