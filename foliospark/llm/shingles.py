@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes a task keeps.
-CACHE = 400_000
+CACHE = 150_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 

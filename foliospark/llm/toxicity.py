@@ -65,7 +65,7 @@ class Grammar:
             w = self.patterns.get(word)
             if w is None:
                 w = next((x for n in reversed(BEGINNINGS) if len(word) > n and (x := self.patterns.get(word[:n] + "*")) is not None), 0.0)
-            if len(self.known) < 400_000:
+            if len(self.known) < 200_000:
                 self.known[word] = w
         return w
 
