@@ -7,8 +7,11 @@ all chunks, so that a document is found without reading others."""
 
 from __future__ import annotations
 
+import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,7 +30,8 @@ MAGIC = b"FPL1"
 #: Magic, bytes an id, whether planes are of bits, documents, ids, ids of a block.
 HEADER = struct.Struct("<4sBBIQI")
 #: Words (white-space chunks of bytes) whose ids a worker keeps.
-KEPT = 400_000
+KEPT = 600_000
+_LITTLE = sys.byteorder == "little"
 
 
 def planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -88,39 +92,65 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_letters() -> dict[int, str]:
+    """Characters up to U+00FF as the letters that byte-level models write for their UTF-8 bytes: a printable byte is
+    itself, the others are numbered from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    letter = {b: chr(b) if b in shown else chr(next(other)) for b in range(256)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
+
+
+_LETTERS = _byte_letters()
+#: Words that normalising leaves alone but for case, and that are one piece: Latin letters of the first 256 characters.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
 class Encoder:
-    """Ids of texts as bytes. Where `spaced` says that a tokenizer drops white space and never joins across it, the ids
-    of the chunks between ASCII white space are kept and put together; new chunks are encoded many at a time."""
+    """Ids of texts as bytes. Where `spaced` says that a tokenizer drops white space and case, never joins across white
+    space and works on bytes (as its file's normalizer and pre_tokenizer say), the ids of the words between ASCII white
+    space are kept and put together. New words of plain letters go to its model at once, others through all its steps,
+    many at a time."""
 
     def __init__(self, path: str, spaced: bool, width: int):
         self.machine, self.spaced, self.kind = _tokenizer(path), spaced, np.dtype(f"<u{width}")
+        self.model, self.code = self.machine.model, {2: "H", 4: "I"}[width]
         self.kept: dict[bytes, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.machine.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[bytes]) -> None:
-        words = [w.decode() for w in new]
-        starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
-        e = self.machine.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(e.ids, self.kind)
-        of = np.searchsorted(starts, np.array([a for a, _ in e.offsets] or [0]), "right")[: len(ids)]
-        cuts = np.searchsorted(of, np.arange(1, len(words) + 2)).tolist()
-        raw, size = ids.tobytes(), self.kind.itemsize
-        for k, w in enumerate(new):
-            self.kept[w] = raw[cuts[k] * size : cuts[k + 1] * size]
+        kept, rest = self.kept, []
+        for w in new:
+            word = w.decode()
+            if _PLAIN.fullmatch(word):
+                ids = [x.id for x in self.model.tokenize(word.lower().translate(_LETTERS))]
+                kept[w] = array(self.code, ids).tobytes() if _LITTLE else np.array(ids, self.kind).tobytes()
+            else:
+                rest.append((w, word))
+        for at in range(0, len(rest), 2000):
+            some = rest[at : at + 2000]
+            starts = np.cumsum([0] + [len(x) + 1 for _, x in some[:-1]])
+            e = self.machine.encode(" ".join(x for _, x in some), add_special_tokens=False)
+            ids = np.array(e.ids, self.kind)
+            of = np.searchsorted(starts, np.array([a for a, _ in e.offsets] or [0]), "right")[: len(ids)]
+            cuts = np.searchsorted(of, np.arange(1, len(some) + 2)).tolist()
+            raw, size = ids.tobytes(), self.kind.itemsize
+            for k, (w, _) in enumerate(some):
+                kept[w] = raw[cuts[k] * size : cuts[k + 1] * size]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.spaced:
             return self._whole(texts)
         split = [t.encode().split() for t in texts]
         kept = self.kept
-        fresh = {w for s in split for w in s} - kept.keys()
+        fresh = set().union(*split).difference(kept)
         # A full stop or comma after an ASCII letter or digit is a piece of its own.
         ended = {w for w in fresh if w[-1:] in (b".", b",") and w[-2:-1].isalnum()}
-        new = list(((fresh - ended) | {w[:-1] for w in ended} | {b".", b","}) - kept.keys()) if ended else list(fresh)
-        for at in range(0, len(new), 2000):
-            self._learn(new[at : at + 2000])
+        stems = {w[:-1] for w in ended} | ({b".", b","} if ended else set())
+        new = list(((fresh - ended) | stems).difference(kept))
+        self._learn(new)
         for w in ended:
             kept[w] = kept[w[:-1]] + kept[w[-1:]]
         get = kept.__getitem__
