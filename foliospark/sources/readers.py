@@ -16,9 +16,9 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFr
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str, column: str) -> DataFrame:
-    """(path, stem, column): one row for each whole file of a folder that matches."""
-    df = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
-    return df.select(F.col("_metadata.file_path").alias("path"), file_stem(F.col("_metadata.file_path")).alias("stem"), F.col("value").alias(column))
+    """(path, stem, column): one row for each whole file of a folder that matches, empty ones too."""
+    df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return df.select("path", file_stem(F.col("path")).alias("stem"), F.decode("content", "UTF-8").alias(column))
 
 
 def read_html(spark: SparkSession, path: str) -> DataFrame:
