@@ -16,7 +16,7 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFr
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str, column: str) -> DataFrame:
-    """(path, stem, column): one row for each whole file of a folder that matches, empty ones too."""
+    """(path, stem, column): one row for each whole file of a folder that matches. Spark leaves out files of no bytes."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return df.select("path", file_stem(F.col("path")).alias("stem"), F.decode("content", "UTF-8").alias(column))
 

@@ -16,7 +16,7 @@ def test_folder_jobs(spark, tmp_path):
         (tmp_path / d).mkdir()
     for n in (1, 2):
         (tmp_path / "html" / f"doc_page_{n}.html").write_text(PAGE)
-        (tmp_path / "ocr" / f"doc_page_{n}.txt").write_text("A heading for the page\nSome words in a paragraph." if n == 1 else "")
+        (tmp_path / "ocr" / f"doc_page_{n}.txt").write_text("A heading for the page\nSome words in a paragraph." if n == 1 else "\n")
     (tmp_path / "img" / "doc_page_1.png").write_bytes(b"x")
     counts = {r.type: r["count"] for r in jobs.make_tests(spark, f"{at}/html", f"{at}/tests").collect()}
     assert counts["text_absence"] == 2 and counts["text_presence"] == 4
