@@ -496,3 +496,25 @@ def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = free_name(df, "_key")
     out = out.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("string"), F.uuid())).dropDuplicates([key, text_col])
     return out.select(*[f"`{c}`" for c in df.columns])
+
+
+#: The contract in SQL: every pair that shares a shingle is counted, links are followed by recursion.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)] END)) AS g FROM w
+), n AS (
+  SELECT d.doc_id, count(g.g) AS n FROM documents d LEFT JOIN g USING (doc_id) GROUP BY 1
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2
+"""

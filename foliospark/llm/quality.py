@@ -151,3 +151,48 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's measures and verdicts of all documents."""
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The contract in SQL: a sketch's quantile is the bucket of an order statistic.
+OP5_SQL = r"""
+WITH w AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS l FROM documents
+), tri AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)
+), rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri) WHERE c > 1) GROUP BY 1
+), m AS (
+  SELECT w.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+    coalesce(rep.n, 0)::BIGINT AS n_repeat_words, length(t) - length(replace(t, chr(10), '')) + 1 AS n_lines FROM w LEFT JOIN rep USING (doc_id)
+), v AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols::DOUBLE / greatest(n_words, 1) AS symbol_ratio,
+    word_chars::DOUBLE / greatest(n_words, 1) AS mean_word_chars, n_dup_lines::DOUBLE / n_lines AS dup_line_ratio, n_repeat_words::DOUBLE / greatest(n_words, 1) AS repeat_ratio FROM m
+), x AS (
+  UNPIVOT (SELECT lang, source, symbol_ratio, mean_word_chars, dup_line_ratio, repeat_ratio FROM v WHERE NOT base_failed)
+  ON symbol_ratio, mean_word_chars, dup_line_ratio, repeat_ratio INTO NAME metric VALUE x
+), b AS (
+  SELECT lang, source, metric, CASE WHEN x < 1e-4 THEN 0 ELSE pow(1.02::DOUBLE, floor(ln(x) / ln(1.02::DOUBLE)) + 1) END AS x FROM x
+), own AS (
+  SELECT lang, source, metric, list_sort(list(x)) AS s FROM b GROUP BY ALL
+), of_lang AS (
+  SELECT lang, metric, list_sort(list(x)) AS s FROM b GROUP BY ALL
+), of_all AS (
+  SELECT metric, list_sort(list(x)) AS s FROM b GROUP BY ALL
+), s AS (
+  SELECT own.lang, own.source, own.metric, CASE WHEN len(own.s) >= 100 THEN own.s WHEN len(g.s) >= 100 THEN g.s ELSE a.s END AS s
+  FROM own JOIN of_lang g ON own.lang IS NOT DISTINCT FROM g.lang AND own.metric = g.metric JOIN of_all a ON own.metric = a.metric
+), q AS (
+  SELECT lang, source, metric, s[ceil(len(s) * 0.1::DOUBLE)::INT] AS q10, s[ceil(len(s) * 0.5::DOUBLE)::INT] AS q50, s[ceil(len(s) * 0.9::DOUBLE)::INT] AS q90 FROM s
+), k AS (
+  SELECT lang, source, max(CASE WHEN metric = 'symbol_ratio' THEN q50 + 5 * greatest(q50 - q10, 0.02) END) AS sh, max(CASE WHEN metric = 'mean_word_chars' THEN q50 + 10 * greatest(q50 - q10, 0.15) END) AS mh,
+    max(CASE WHEN metric = 'mean_word_chars' THEN q50 - 10 * greatest(q90 - q50, 0.15) END) AS ml, max(CASE WHEN metric = 'dup_line_ratio' THEN q50 + 5 * greatest(q50 - q10, 0.1) END) AS dh,
+    max(CASE WHEN metric = 'repeat_ratio' THEN q50 + 10 * greatest(q50 - q10, 0.04) END) AS rh FROM q GROUP BY ALL
+), f AS (
+  SELECT v.*, array_to_string([y for y in [CASE WHEN symbol_ratio > sh THEN 'symbol_ratio high' END, CASE WHEN mean_word_chars > mh THEN 'mean_word_chars high' END, CASE WHEN mean_word_chars < ml THEN 'mean_word_chars low' END,
+    CASE WHEN dup_line_ratio > dh THEN 'dup_line_ratio high' END, CASE WHEN repeat_ratio > rh THEN 'repeat_ratio high' END] if y IS NOT NULL], ',') AS failed_rules
+  FROM v LEFT JOIN k ON v.lang IS NOT DISTINCT FROM k.lang AND v.source IS NOT DISTINCT FROM k.source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM f
+"""

@@ -17,5 +17,7 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
 }
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": jaccard.OP1_SQL,
+    "op5_quality": quality.OP5_SQL,
     "op6_chat": chat.OP6_SQL,
 }
