@@ -161,16 +161,15 @@ def _merged(batches: Iterator[pa.RecordBatch], width: int, rows: int = 1 << 17)
 
 
 def _groups(small: int):
-    """From (key, v, c) sorted by key: candidate pairs (null key), and for large groups (key, member, null).
+    """From (key, v) sorted by key: candidate pairs (null key), and for large groups (key, member, null).
 
-    v is a set's id, its lowest bit set if it came from the band below; two such are compared in their own band.
-    c is the component so far; pairs within one are left out."""
+    v is a set's id, its lowest bit set if it came from the band below; two such are compared in their own band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key0, head = None, (np.empty(0, np.int64), np.empty(0, np.int64))  # the open group: all of a small one, the leaders of a large one
         size0 = 0
-        for columns in _merged(batches, 3):
-            k, v, c = columns
+        for k, v in _merged(batches, 2):
+            c = v & ~1
             starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
             ends = np.append(starts[1:], len(k))
             pa_, pb, hk, hv = [], [], [], []
@@ -394,7 +393,7 @@ def _rarest(tokens: DataFrame, threshold: Fraction) -> DataFrame:
 
 def grouped(keys: DataFrame, small: int) -> DataFrame:
     """Candidates of (key, v) rows; every v is a component of its own. Members of a group meet in one task, which streams them."""
-    return keys.repartition("key").sortWithinPartitions("key").select("key", "v", F.col("v").bitwiseAND(F.lit(-2)).alias("c")).mapInArrow(_groups(small), GROUPS)
+    return keys.repartition("key").sortWithinPartitions("key").select("key", "v").mapInArrow(_groups(small), GROUPS)
 
 
 def _links(rows: DataFrame, nodes: DataFrame, near: DataFrame, ws: Scratch, name: str, width: int, threshold: Fraction) -> DataFrame:

@@ -20,10 +20,10 @@ from .shingles import mix
 CHARS, THRESHOLD = 5, Fraction(80, 100)
 #: A signature has PASSES one-permutation sketches of BINS minima; ROWS of them make a band. Two lines at the threshold
 #: share one of the 16 bands with a probability of 99 percent, at 0.85 of 99.97.
-PASSES, BINS, ROWS = 3, 32, 6
+PASSES, BINS, ROWS = 2, 48, 6
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Odd factors that make PASSES hashes of one.
-_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 _P, _P2 = np.uint64(0x100000001B3), np.uint64(0x100000001B3**2 & 0xFFFFFFFFFFFFFFFF)
 #: Groups of a band of over this many lines are linked through a leader first.
 SMALL = 4
@@ -62,14 +62,16 @@ def band_keys(lines: list[str]) -> np.ndarray:
     for factor in _FACTORS[:PASSES]:
         x = h * factor
         low = np.full(n * BINS, _EMPTY)
-        np.minimum.at(low, of + (x >> np.uint64(59)).view(np.int64), x & np.uint64(0x07FFFFFFFFFFFFFF))
+        high = x >> np.uint64(32)  # its product with BINS names the bin, and orders the values of a bin
+        high *= np.uint64(BINS)
+        np.minimum.at(low, of + (high >> np.uint64(32)).view(np.int64), (high << np.uint64(32)) | (x & np.uint64(0xFFFFFFFF)))
         low = low.reshape(n, BINS)
         for _ in range(BINS):  # an empty bin takes its right neighbour's minimum, marked by the distance
             gone = low == _EMPTY
             if not gone.any():
                 break
             next_ = np.roll(low, -1, 1)
-            low = np.where(gone & (next_ != _EMPTY), next_ + np.uint64(0x0800000000000001), low)
+            low = np.where(gone & (next_ != _EMPTY), next_ + np.uint64(0x9E3779B97F4A7C15), low)
         out.append(low)
     sig = np.concatenate(out, 1).reshape(n, -1, ROWS)
     key = np.zeros(sig.shape[:2], np.uint64)
@@ -188,11 +190,12 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ws = Scratch(df.sparkSession, "lines")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("row"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     seen = ws.save(rows.mapInArrow(_occurrences, OCCURRENCES), "seen")
-    first = ws.save(seen.groupBy("line").agg(F.min(F.struct("id", "at", "row")).alias("first")), "first")
+    first = ws.save(seen.groupBy("line").agg(F.min(F.struct("id", "at", "row")).alias("first"), F.count("*").alias("n")), "first")
     found = ws.save(grouped(seen.select(F.explode("keys").alias("key"), F.col("line").alias("v")), small), "found")
     pairs = ws.save(found.where("key is null").select("a", "b").distinct(), "pairs")
     large = ws.save(found.where("key is not null").select("key", F.col("a").alias("v")).distinct(), "large")
     ends = pairs.select(F.col("a").alias("line")).unionAll(pairs.select("b")).unionAll(large.select("v")).distinct()
+    ends = checked_broadcast(ws.save(ends, "ends"))
     wanted = ws.save(first.join(ends, "line").select("first.row", "first.at").groupBy("row").agg(F.collect_list("at").alias("ats")), "wanted")
     lines = rows.join(checked_broadcast(wanted), "row").select("text", "ats").mapInArrow(_pick, "sid long, x string, n long, sketch binary")
     lines = ws.save(lines.dropDuplicates(["sid"]), "lines")
@@ -204,13 +207,15 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         fresh = _links(ws.save(rest, "near-rest"), lines, ws, "rest", threshold)
         if not fresh.isEmpty():
             roots = components(links.unionAll(fresh), ws, "roots-rest")
-    # Only lines with links have another head than their first occurrence.
-    linked = first.join(roots.withColumnRenamed("v", "line"), "line").select("line", "root", "first")
-    linked = linked.join(linked.groupBy("root").agg(F.min("first").alias("head")), "root").select("line", "head")
-    place = first.join(linked, "line", "left").select("line", F.coalesce("head", "first").alias("head"))
-    out = seen.select("id", "at", "line").join(place, "line")
-    kept = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("at") == F.col("head.at"))
-    return out.select(F.col("id").alias(id_col), F.col("at").alias("line_no"), F.col("head.id").alias("class_id"), F.col("head.at").alias("class_line"), kept.alias("kept"))
+    # Lines that occur once and have no links are their own class; the others are few.
+    place = first.join(checked_broadcast(roots.withColumnRenamed("v", "line")), "line", "left").where("root is not null or n > 1")
+    place = ws.save(place.select("line", F.coalesce("root", "line").alias("root"), "first"), "place")
+    place = place.join(place.groupBy("root").agg(F.min("first").alias("head")), "root").select("line", "head.id", "head.at")
+    place = ws.save(place.select("line", F.col("id").alias("head_id"), F.col("at").alias("head_at")), "heads")
+    out = seen.select("id", "at", "line").join(checked_broadcast(place), "line", "left")
+    alone = F.col("head_at").isNull()
+    head_id, head_at = F.when(alone, F.col("id")).otherwise(F.col("head_id")), F.coalesce("head_at", "at")
+    return out.select(F.col("id").alias(id_col), F.col("at").alias("line_no"), head_id.alias("class_id"), head_at.alias("class_line"), (F.col("id").eqNullSafe(head_id) & (F.col("at") == head_at)).alias("kept"))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
