@@ -30,7 +30,7 @@ MAGIC = b"FPL1"
 #: Magic, bytes an id, whether planes are of bits, documents, ids, ids of a block.
 HEADER = struct.Struct("<4sBBIQI")
 #: Words (white-space chunks of bytes) whose ids a worker keeps.
-KEPT = 600_000
+KEPT = 800_000
 _LITTLE = sys.byteorder == "little"
 
 
@@ -123,9 +123,17 @@ class Encoder:
     def _learn(self, new: list[bytes]) -> None:
         kept, rest = self.kept, []
         for w in new:
-            word = w.decode()
-            if _PLAIN.fullmatch(word):
-                ids = [x.id for x in self.model.tokenize(word.lower().translate(_LETTERS))]
+            if w.isalpha():  # ASCII letters
+                low = w.lower()
+                if low in kept:
+                    kept[w] = kept[low]
+                    continue
+                word, plain = "", low.decode()
+            else:
+                word = w.decode()
+                plain = word.lower().translate(_LETTERS) if _PLAIN.fullmatch(word) else ""
+            if plain:
+                ids = [x.id for x in self.model.tokenize(plain)]
                 kept[w] = array(self.code, ids).tobytes() if _LITTLE else np.array(ids, self.kind).tobytes()
             else:
                 rest.append((w, word))
