@@ -148,10 +148,10 @@ class Encoder:
             for k, (w, _) in enumerate(some):
                 kept[w] = raw[cuts[k] * size : cuts[k + 1] * size]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
         if not self.spaced:
-            return self._whole(texts)
-        split = [t.encode().split() for t in texts]
+            return self._whole([t.decode() for t in texts])
+        split = [t.split() for t in texts]
         kept = self.kept
         fresh = set().union(*split).difference(kept)
         # A full stop or comma after an ASCII letter or digit is a piece of its own.
@@ -189,7 +189,7 @@ def _encode(path: str, end: int | None, width: int, spaced: bool, bits: bool):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 some = batch.slice(at, 200)
-                texts = [t or "" for t in some.column(1).to_pylist()]
+                texts = [t or b"" for t in some.column(1).cast(pa.binary()).to_pylist()]
                 for key, raw in zip(some.column(0).to_pylist(), encoder(texts), strict=True):
                     ids = np.frombuffer(raw + tail, f"<u{width}")
                     if keys and held + len(ids) > CHUNK:
