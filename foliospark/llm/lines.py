@@ -21,6 +21,8 @@ CHARS, THRESHOLD = 5, Fraction(80, 100)
 #: A signature has PASSES one-permutation sketches of BINS minima; ROWS of them make a band. Two lines at the threshold
 #: share one of the 16 bands with a probability of 99 percent, at 0.85 of 99.97.
 PASSES, BINS, ROWS = 2, 48, 6
+#: Characters whose shingles are hashed at once: as many as a core's cache holds.
+AT_ONCE = 50_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Odd factors that make PASSES hashes of one.
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
@@ -93,8 +95,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> pa.RecordBatch:
         keys: list = [None] * len(held[0])
-        if texts:
-            for k, own in zip(fresh, band_keys(texts).view(np.int64), strict=True):
+        step = max(1, len(texts) * AT_ONCE // max(1, chars))
+        for at in range(0, len(texts), step):
+            for k, own in zip(fresh[at : at + step], band_keys(texts[at : at + step]).view(np.int64), strict=True):
                 keys[k] = own
         return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in held), pa.array(keys, pa.list_(pa.int64()))], ["id", "row", "at", "line", "keys"])
 
@@ -113,7 +116,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.add(h)
                     fresh.append(len(held[0]) - 1), texts.append(x)
                     chars += len(x)
-                if chars > 200_000 or len(held[0]) >= 20_000:
+                if chars > 400_000 or len(held[0]) >= 20_000:
                     yield out()
                     held, fresh, texts, chars = ([], [], [], []), [], [], 0
     if held[0]:
@@ -137,8 +140,8 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, ats in zip(batch.column(0), batch.column(1), strict=True):
             parts = text.as_py().lower().split("\n")
             texts += [" ".join(parts[k].split()) for k in ats.as_py()]
-        for at in range(0, len(texts), 500):
-            some = texts[at : at + 500]
+        for at in range(0, len(texts), 120):
+            some = texts[at : at + 120]
             n, sketch = _shapes(some)
             ids += map(line_id, some)
             sizes += n
@@ -152,8 +155,8 @@ def _similar(threshold: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for at in range(0, batch.num_rows, 250):
-                part = batch.slice(at, 250)
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
                 a, xs = part.column("a").to_pylist(), part.column("xa").to_pylist()
                 first = [k for k in range(len(a)) if not k or a[k] != a[k - 1]]  # pairs come sorted by a
                 sets = lambda texts: [np.unique(x) for x in (lambda h, of: np.split(h, np.flatnonzero(of[1:] != of[:-1]) + 1))(*grams(texts))]
