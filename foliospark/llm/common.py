@@ -29,8 +29,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.at = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.at}/{name}")
+    def save(self, df: DataFrame, name: str, repeats: bool = True) -> DataFrame:
+        """Writes df and reads it back; repeats: whether values repeat, so that it pays to look for a dictionary."""
+        df.write.mode("overwrite").option("parquet.enable.dictionary", str(repeats).lower()).parquet(f"{self.at}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
 
     def drop(self, *names: str) -> None:

@@ -101,6 +101,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys[k] = own
         return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in held), pa.array(keys, pa.list_(pa.int64()))], ["id", "row", "at", "line", "keys"])
 
+    ids, docs, at, line = held
     for batch in batches:
         for i, row, text in zip(*(batch.column(k) for k in range(3)), strict=True):
             i, row = i.as_py(), row.as_py()
@@ -108,8 +109,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not (x := " ".join(x.split())):
                     continue
                 h = line_id(x)
-                for to, value in zip(held, (i, row, k, h), strict=True):
-                    to.append(value)
+                ids.append(i), docs.append(row), at.append(k), line.append(h)
                 if h not in seen:
                     if len(seen) >= 1_000_000:
                         seen.clear()
@@ -119,6 +119,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if chars > 400_000 or len(held[0]) >= 20_000:
                     yield out()
                     held, fresh, texts, chars = ([], [], [], []), [], [], 0
+                    ids, docs, at, line = held
     if held[0]:
         yield out()
 
@@ -192,11 +193,11 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of different components are compared."""
     ws = Scratch(df.sparkSession, "lines")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("row"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    seen = ws.save(rows.mapInArrow(_occurrences, OCCURRENCES), "seen")
+    seen = ws.save(rows.mapInArrow(_occurrences, OCCURRENCES), "seen", repeats=False)
     first = ws.save(seen.groupBy("line").agg(F.min(F.struct("id", "at", "row")).alias("first"), F.count("*").alias("n")), "first")
     found = ws.save(grouped(seen.select(F.explode("keys").alias("key"), F.col("line").alias("v")), small), "found")
     pairs = ws.save(found.where("key is null").select("a", "b").distinct(), "pairs")
-    large = ws.save(found.where("key is not null").select("key", F.col("a").alias("v")).distinct(), "large")
+    large = ws.save(found.where("key is not null").select("key", F.col("a").alias("v")), "large")
     ends = pairs.select(F.col("a").alias("line")).unionAll(pairs.select("b")).unionAll(large.select("v")).distinct()
     ends = checked_broadcast(ws.save(ends, "ends"))
     wanted = ws.save(first.join(ends, "line").select("first.row", "first.at").groupBy("row").agg(F.collect_list("at").alias("ats")), "wanted")
