@@ -34,9 +34,44 @@ TEMPLATES = {
     "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
+#: Names and versions by which templates differ from look-alikes, as patterns of `plain` text: each must stand in a place.
+KEYS = {
+    "apache-2.0-line": ("apache license (?:(?:version |v ?)?2[. ]0|(?:version |v ?)2)",),
+    "mit-line": ("mit (?:x11 |expat )?license",),
+    "gpl-3.0-line": ("gnu general public license (?:version |v ?)3(?:[. ]0)?",),
+    "cc-by-nc-4.0-line": ("cc by nc (?:version |v ?)?4[. ]0",),
+    "mit": ("shall be included",),
+    "apache-2.0": ("apache license (?:(?:version |v ?)?2[. ]0|(?:version |v ?)2)",),
+    "gpl-3.0": ("terms of the gnu general public license", "(?:version |v ?)3(?:[. ]0)?"),
+    "mpl-2.0": ("mozilla public license (?:version |v ?)?2[. ]0",),
+}
+#: A template of fewer words has its whole wording as its key, if none is given, and holds no other licence's name.
+SHORT = 20
+#: Words that may stand inside a key, and words after a place in which a key may end.
+FILLERS, TAIL = ("the", "is", "are", "hereby", "open", "source", "software"), 3
 _WORD = re.compile(r"[^\W_]+")
 
 
+def lowered(text: str) -> str:
+    """Lower case, one spelling of licence; as long as text.lower()."""
+    return text.lower().replace("licence", "license")
+
+
+def plain(text: str, spans: list[tuple[int, int]]) -> str:
+    """The words at spans with single spaces, but with the dot inside a version number."""
+    out, end = [], None
+    for a, b in spans:
+        out += ["" if end is None else "." if text[end:a] == "." and text[a].isdigit() else " ", text[a:b]]
+        end = b
+    return "".join(out)
+
+
+def key_pattern(key: str) -> re.Pattern:
+    """A key as whole words, FILLERS between them, and not the beginning of a longer version number."""
+    gap = f" (?:(?:{'|'.join(FILLERS)}) )*"
+    return re.compile(rf"(?<![\w.]){re.sub('(?<!v) (?![?.\\]])', lambda _: gap, key)}(?!\w|\.\d)")
+
+
 def grams(words: list[str], hashes: WordHashes) -> np.ndarray:
     """Hashes of the GRAM-word sequences (of all words, if there are fewer)."""
     if not words:
@@ -72,6 +107,8 @@ def align(template: list[str], words: list[str], band: int) -> tuple[int, int, i
                 before = last.get(j - 1, none)
                 best = max(best, (before[0] + 1, before[1] if before[0] else -j, j + 1))
             now[j] = left = best
+        if not now:  # the words end before the template does
+            break
         last = now
     m, start, stop = max(last.values(), default=none)
     return m, -start, stop
@@ -80,15 +117,19 @@ def align(template: list[str], words: list[str], band: int) -> tuple[int, int, i
 class Scanner:
     """All templates with their inverted index of fingerprints."""
 
-    def __init__(self, templates: dict[str, str], coverage: float):
+    def __init__(self, templates: dict[str, str], coverage: float, keys: dict[str, tuple[str, ...]] | None = None):
         self.coverage, self.hashes = coverage, WordHashes()
         self.names = sorted(templates)
-        self.words = [_WORD.findall(templates[k].lower()) for k in self.names]
+        lower = [lowered(templates[k]) for k in self.names]
+        self.words = [_WORD.findall(x) for x in lower]
+        keys = {k: v for k, v in KEYS.items() if templates.get(k) == TEMPLATES[k]} | (keys or {})
+        whole = [(re.escape(plain(x, [m.span() for m in _WORD.finditer(x)])).replace("\\ ", " "),) if len(w) < SHORT else () for x, w in zip(lower, self.words, strict=True)]
+        self.keys = [[key_pattern(x) for x in keys.get(k, w)] for k, w in zip(self.names, whole, strict=True)]
         self.postings: dict[int, list[tuple[int, int]]] = {}
         self.kept = []
         for t, w in enumerate(self.words):
             h = grams(w, self.hashes)
-            keep = winnow(h)
+            keep = winnow(h) if len(w) >= SHORT else range(len(h))
             self.kept.append(len(keep))
             for at in keep:
                 self.postings.setdefault(int(h[at]), []).append((t, at))
@@ -98,7 +139,7 @@ class Scanner:
         """(template, coverage, matched words, first, last + 1 character) of each place, in the text's order."""
         if not len(self.index):
             return []
-        lower = text.lower()
+        lower = lowered(text)
         words = _WORD.findall(lower)
         h = grams(words, self.hashes)
         if not len(h):
@@ -111,9 +152,10 @@ class Scanner:
         for at in hits.tolist():
             for t, k in self.postings[int(h[at])]:
                 places.setdefault(t, []).append(at - k)
-        spans = [m.span() for m in _WORD.finditer(text)]
+        low = [m.span() for m in _WORD.finditer(lower)]
+        spans = low if len(lower) == len(text) else [m.span() for m in _WORD.finditer(text)]
         if len(spans) != len(words):  # lowering changed what is a word
-            spans = [m.span() for m in _WORD.finditer(lower)]
+            spans = low
         out = []
         for t, starts in places.items():
             w = self.words[t]
@@ -129,18 +171,29 @@ class Scanner:
                     here = [g for g in group if lo <= g < lo + max(1, len(w))]
                     if len(here) < max(1, int(self.kept[t] * EVIDENCE)):
                         continue
-                    first = max(0, here[0] - band)
+                    first = here[0] - band
                     wide = band + (here[-1] - here[0] + 1) // 2
-                    m, a, b = align(w, words[first : first + len(w) + 2 * wide], wide)
-                    if m >= self.coverage * len(w) and m:
+                    before = [""] * -first  # the band reaches over the beginning of the text
+                    m, a, b = align(w, before + words[max(0, first) : max(0, first + len(w) + 2 * wide)], wide)
+                    if m >= self.coverage * len(w) and m and self.named(t, lower, low, first + a, first + b):
                         out.append((self.names[t], m / len(w), m, spans[first + a][0], spans[first + b - 1][1]))
                 group = [s]
         return sorted(set(out), key=lambda x: (x[3], x[0], x[4]))
 
+    def named(self, t: int, lower: str, spans: list[tuple[int, int]], a: int, b: int) -> bool:
+        """Whether the words from a to b name the licence of template t: its keys begin there, no other licence is named."""
+        w = self.words[t]
+        if len(w) < SHORT and sum(lower[x:y] == "license" for x, y in spans[a:b]) > w.count("license"):
+            return False
+        held, inside = plain(lower, spans[a : b + TAIL]), len(plain(lower, spans[a:b]))
+        return all((hit := key.search(held)) and hit.start() < inside for key in self.keys[t])
+
 
-def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
+def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE, keys: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(id, license, coverage, matched_words, start, stop) for every place of every whole text of df at which at least
-    `coverage` of a template's words stand in order, near one another; start and stop are characters of the text.
+    `coverage` of a template's words stand in order, near one another, and with them the template's keys (its name and
+    version; KEYS for the templates of this module, `keys` adds others). A template of fewer than SHORT words without
+    keys must stand whole, one of more words without keys only by its share; start and stop are characters of the text.
 
     Templates (name to text; TEMPLATE_CHARS characters at most) go to every task; the documents aren't shuffled. Case
     and punctuation don't count. Null and empty texts and templates without words match nothing; repeated rows are
@@ -150,7 +203,7 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, id_col
         raise ValueError(f"templates hold over {TEMPLATE_CHARS} characters: scan with parts of them")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = Scanner(templates, coverage)
+        scan = Scanner(templates, coverage, keys)
         for batch in batches:
             ids, rows = [], []
             for i, text in zip(batch.column(0), batch.column(1), strict=True):

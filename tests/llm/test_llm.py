@@ -216,6 +216,46 @@ def test_license_scan(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Released under the BSD License.", set()),
+        ("Released under the MIT-0 License.", set()),
+        ("Released under the BSD License. MIT License follows.", set()),
+        ("This work is licensed under the GNU General Public License, version 2.", set()),
+        ("This work is licensed under the GNU General Public License, version 3.1.", set()),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", set()),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", set()),
+        ("Licensed under the Apache License, Version 1.0.", set()),
+        ("Licensed under the Apache License, Version 2.0.1.", set()),
+        ("Licensed under CC BY-NC 3.0.", set()),
+        ("Licensed under CC BY-NC-SA 4.0.", set()),
+        ("Some rights reserved. All other rights reserved.", set()),
+        (licenses.TEMPLATES["gpl-3.0"].replace("GNU General", "GNU Lesser General"), set()),
+        (licenses.TEMPLATES["gpl-3.0"].replace("version 3", "version 2"), set()),
+        (licenses.TEMPLATES["apache-2.0"].replace("2.0", "1.1"), set()),
+        (re.sub("subject to.*Software[.] THE", "THE", licenses.TEMPLATES["mit"]), set()),
+        ("Released under the MIT Licence.", {"mit-line"}),
+        ("It is under the MIT License", {"mit-line"}),
+        ("This work is licensed under the GNU General Public License v3.", {"gpl-3.0-line"}),
+        ("This whole work is hereby licensed under the GNU General Public License, version 3. 1. Begin", {"gpl-3.0-line"}),
+        ("Licensed under the Apache License 2.0", {"apache-2.0-line"}),
+        ("Licensed under CC-BY-NC-4.0", {"cc-by-nc-4.0-line"}),
+        *((t, {k}) for k, t in licenses.TEMPLATES.items()),
+    ],
+)
+def test_look_alike_licenses(text, names):
+    ours = ("apache-2.0-line", "mit-line", "gpl-3.0-line", "cc-by-nc-4.0-line", "all-rights-reserved", "mit", "apache-2.0", "gpl-3.0", "bsd-2-clause", "mpl-2.0")
+    got = {x[0] for x in licenses.Scanner({k: licenses.TEMPLATES[k] for k in ours}, licenses.COVERAGE)(text)}
+    assert got - ({"apache-2.0-line"} if "apache-2.0" in names else set()) == names & set(ours)
+
+
+def test_short_templates_of_others_stand_whole():
+    scan = licenses.Scanner({"acme": "Covered by the Acme Terms, edition 2.1"}, licenses.COVERAGE)
+    assert [x[3:] for x in scan("Covered by the ACME terms, edition 2.1.")] == [(0, 38)]
+    assert not scan("Covered by the Acme terms, edition 2.1.7") and not scan("Covered by the other Acme terms, edition 2.1") and not scan("Covered by the Acme terms, edition 3.1")
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), min_size=1, max_size=12), st.lists(st.sampled_from("abcd"), max_size=20))
 def test_alignment_is_no_more_than_the_longest_common_subsequence(t, w):
