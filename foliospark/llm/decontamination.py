@@ -6,6 +6,8 @@ distance decides about each place that a hit points to."""
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,12 +18,14 @@ from pyspark.sql import functions as F
 
 #: Edits allowed, as a share of an item's characters.
 ERROR_RATE = 0.06
-#: Items with fewer characters than this are left out: they say nothing about where they come from.
+#: Items with fewer characters than this are found only without edits and as whole words.
 LEAST_CHARS = 30
 #: Characters of items that one pass holds in each task; a larger benchmark is gone through in several passes.
 PASS_CHARS = 4_000_000
 #: Places that hits point to are looked at in stretches of this many characters, each once for an item.
 SPAN = 64
+#: Letters of scripts that put no spaces between words.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normal(text: str | None) -> str:
@@ -40,6 +44,11 @@ def budget(item: str, rate: float) -> int:
     return int(len(item) * rate)
 
 
+def joined(text: str, at: int) -> bool:
+    """Whether the characters before and at `at` belong to one word."""
+    return 0 < at < len(text) and all((c.isalnum() or c == "_" or unicodedata.category(c)[0] == "M") and not _UNSPACED.match(c) for c in text[at - 1 : at + 1])
+
+
 class Pattern:
     """Myers' bit-parallel search of one pattern: least edit distance to any substring of a text."""
 
@@ -71,10 +80,12 @@ class Pattern:
 
 
 class Matcher:
-    """All items of a pass: finds, in a normalised text, the best match of each item within its budget."""
+    """All items of a pass: finds, in a normalised text, the best match of each item within its budget. Items of fewer
+    than `least_chars` characters have none and match whole words only."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items = [(i, t, budget(t, rate), Pattern(t)) for i, t in items]
+    def __init__(self, items: list[tuple[int, str]], rate: float, least_chars: int = 0):
+        self.least = least_chars
+        self.items = [(i, t, budget(t, rate) if len(t) >= least_chars else 0, Pattern(t)) for i, t in items]
         where: dict[str, list[tuple[int, int]]] = {}
         for x, (_, t, k, _) in enumerate(self.items):
             for at, piece in pieces(t, k):
@@ -96,6 +107,10 @@ class Matcher:
                 if x in best and not best[x][0]:
                     continue
                 _, item, k, pattern = self.items[x]
+                if len(item) < self.least:
+                    if not joined(text, end + 1 - len(item)) and not joined(text, end + 1):
+                        best[x] = 0, end + 1
+                    continue
                 # Where the item begins if nothing before the piece was edited; a match begins and ends within k of that.
                 part = (end + 1 - upto) // SPAN
                 if (x, part) in looked:
@@ -110,9 +125,9 @@ class Matcher:
         return [(self.items[x][0], d, e) for x, (d, e) in sorted(best.items())]
 
 
-def _scan(items: list[tuple[int, str]], rate: float):
+def _scan(items: list[tuple[int, str]], rate: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = Matcher(items, rate)
+        match = Matcher(items, rate, least)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -130,8 +145,8 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     match ends. Texts are lower-cased and white space runs count as one space; whole texts are searched.
 
     The items are gathered in passes of at most PASS_CHARS characters each, however large the benchmark is; there is
-    no shuffle of documents. Null or empty texts and items match nothing, nor do items of fewer than `least_chars`
-    characters. Items with equal ids are separate patterns; the better one is reported. Repeated rows are reported as
+    no shuffle of documents. Null or empty texts and items match nothing; items of fewer than `least_chars` characters
+    match without edits and as whole words only. Items with equal ids are separate patterns; the better one is reported. Repeated rows are reported as
     often as they occur; rows with a null id are reported with a null id."""
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").alias("t")).where("t is not null")
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
@@ -140,14 +155,15 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     found = []
     for p in range(passes):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == p) if passes > 1 else items
-        held = [(r["i"], t) for r in part.collect() if len(t := normal(r["t"])) >= least_chars]
-        found.append(rows.mapInArrow(_scan(sorted(held, key=lambda x: (x[0] is None, x)), error_rate), "id long, item long, distance long, stop long"))
+        held = [(r["i"], t) for r in part.collect() if (t := normal(r["t"]))]
+        found.append(rows.mapInArrow(_scan(sorted(held, key=lambda x: (x[0] is None, x)), error_rate, least_chars), "id long, item long, distance long, stop long"))
     out = reduce(DataFrame.unionAll, found)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "distance", "stop")
 
 
 def clean_documents(df: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of df that hold no item: the filter runs where the rows are, without a join."""
+    """The rows of df that hold no item: the filter runs where the rows are, without a join. A short item, even of one
+    word, takes all rows that hold it as whole words."""
     rate, least = options.pop("error_rate", ERROR_RATE), options.pop("least_chars", LEAST_CHARS)
     item_col, item_text = options.pop("item_col", "item_id"), options.pop("item_text_col", "text")
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t is not null")
@@ -157,7 +173,7 @@ def clean_documents(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     def keep(held: list[tuple[int, str]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            match = Matcher(held, rate)
+            match = Matcher(held, rate, least)
             for batch in batches:
                 yield batch.filter(pa.array([not match(normal(t.as_py())) for t in batch.column(at)], pa.bool_()))
 
@@ -165,7 +181,7 @@ def clean_documents(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     for p in range(passes):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == p) if passes > 1 else items
-        held = [(r["i"], t) for r in part.collect() if len(t := normal(r["t"])) >= least]
+        held = [(r["i"], t) for r in part.collect() if (t := normal(r["t"]))]
         df = df.mapInArrow(keep(held), df.schema)
     return df
 

@@ -199,6 +199,15 @@ def test_contamination_on_tables(spark, sf, empty, clashing):
     assert decontamination.contamination(docs, none).count() == 0
 
 
+def test_short_items_match_exactly_as_whole_words(spark):
+    bench = spark.createDataFrame([(1, "What is  Entropy?"), (2, "cat"), (3, "\u718a\u732b\u5403\u4ec0\u4e48"), (4, " "), (5, "is sand, or")], "item_id long, text string")
+    rows = [(1, "Q: what is entropy? A: none"), (2, "what is entropy, then"), (3, "concatenate cats"), (4, "A CAT."), (5, "\u4f60\u77e5\u9053\u718a\u732b\u5403\u4ec0\u4e48\u5417"), (6, "his sand, or this"), (7, "cats, or cat"), (8, "what is entropx?")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance, r.stop) for r in decontamination.contamination(docs, bench).collect())
+    assert got == [(1, 1, 0, 19), (4, 2, 0, 5), (5, 3, 0, 8), (7, 2, 0, 12)]
+    assert sorted(r.doc_id for r in decontamination.clean_documents(docs, bench).collect()) == [2, 3, 6, 8]
+
+
 # 4: licences
 
 
