@@ -454,6 +454,16 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Equal sets (copies) are one vertex, emitted once by each task, so any number of copies costs one set of keys.
     A null id takes part in links but never names a component unless all its members' ids are null. Repeated rows
     come back as often. Other columns are ignored. Sets are told apart by 62-bit hashes."""
+    docs, of = _rooted(df, id_col, text_col, width, threshold, small, big)
+    names = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = of.join(names, "root").select("sid", "component_id")
+    out = docs.join(names, "sid", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def _rooted(df: DataFrame, id_col: str, text_col: str, width: int, threshold: Fraction, small: int = SMALL, big: int = BIG) -> tuple[DataFrame, DataFrame]:
+    """(DOCS of every row, (sid, least id, first (id, row), root) of every set of shingles): equal roots are one
+    component."""
     ws = Scratch(df.sparkSession, "jaccard")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("row"), F.col(f"`{text_col}`").alias("text"))
     docs = ws.save(rows.mapInArrow(_sketches(width, threshold), DOCS), "docs")
@@ -470,12 +480,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         fresh = _links(rows, nodes, rest, ws, "rest", width, threshold)
         if not fresh.isEmpty():
             roots = components(links.unionAll(fresh), ws, "roots-rest")
-    of = docs.groupBy("sid").agg(F.min("id").alias("least")).where("sid is not null")
-    of = of.join(roots.withColumnRenamed("v", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    names = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = of.join(names, "root").select("sid", "component_id")
-    out = docs.join(names, "sid", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    of = docs.groupBy("sid").agg(F.min("id").alias("least"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row"))).alias("first")).where("sid is not null")
+    return docs, of.join(roots.withColumnRenamed("v", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -484,13 +490,18 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: Fraction = Fraction(80, 100)) -> DataFrame:
-    """df with one row of each component of jaccard_components: the one with the least id; rows without shingles or
-    with a null id stay. Of rows repeated in id and text one stays. All columns are kept."""
+    """df with one row of each component of jaccard_components: the one with the least id (of several texts with that
+    id, one by a hash); rows without shingles or with a null id stay. Rows go by id and text, so a repeated id with
+    texts of different components keeps each that is first in its own. Of rows repeated in id and text one stays. All
+    columns are kept."""
     ws = Scratch(df.sparkSession, "groups")
-    classes = ws.save(jaccard_components(df, id_col, text_col, width, threshold).where(f"`{id_col}` is not null").select(F.col(f"`{id_col}`").alias("id"), "component_id"), "classes")
-    gone = checked_broadcast(ws.save(classes.where("id <> component_id").select("id").distinct(), "gone"))
-    out = df.join(gone, df[f"`{id_col}`"].cast("long") == gone["id"], "left_anti")
-    if classes.groupBy("id").count().where("count > 1").isEmpty():
+    docs, of = _rooted(df, id_col, text_col, width, threshold)
+    names = of.select("sid", "root").join(of.groupBy("root").agg(F.min("first").alias("first")), "root").select("sid", "first")
+    classes = ws.save(docs.where("id is not null").select("id", "row", "sid").join(names, "sid", "left").select("id", "row", "first"), "classes")
+    gone = classes.where("id <> first.id or row <> first.row").select("id", "row").distinct()
+    gone = checked_broadcast(ws.save(gone, "gone"))
+    out = df.join(gone, (df[f"`{id_col}`"].cast("long") == gone["id"]) & (F.xxhash64(df[f"`{id_col}`"], df[f"`{text_col}`"]) == gone["row"]), "left_anti")
+    if classes.groupBy("id", "row").count().where("count > 1").isEmpty():
         return out
     key = free_name(df, "_key")
     out = out.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("string"), F.uuid())).dropDuplicates([key, text_col])

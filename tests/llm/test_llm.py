@@ -90,6 +90,18 @@ def test_one_per_group(corpus, clashing):
     assert sorted(ids) == sorted({c for i, c in classes.items() if i is not None})
 
 
+def test_one_per_group_with_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    near = lambda t: t + " and more"
+    # 7 has a near copy of 1's text, a text of its own and the first of a group; 9 has two near copies; 12 comes twice.
+    rows = [(1, a), (7, near(a)), (7, b), (7, c), (8, near(c)), (9, d), (9, near(d)), (12, "one two"), (12, "one two"), (12, ""), (12, ""), (None, a)]
+    kept = jaccard.one_per_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    nine = {t for i, t in got if i == 9}
+    assert len(nine) == 1 and nine <= {d, near(d)}
+    assert got == Counter([(1, a), (7, b), (7, c), (9, *nine), (12, "one two"), (12, ""), (None, a)])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), min_size=6, max_size=60), st.integers(0, 6), st.integers(0, 6))
 def test_similar_sets_share_a_segment(base, drop, add):
