@@ -124,7 +124,9 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_rules) of every row.
 
     base_failed: fewer than `least_words` words, or over `most_repeats` percent of them repeated. The sketches are of
-    the rows that pass; a row is kept if it passes and no metric is beyond the threshold of its language and source.
+    the rows that pass; a row is kept if it passes and no metric is beyond the threshold of its language and source. A
+    language and source with fewer than GROUP_ROWS passing rows takes its language's thresholds, and a language with
+    fewer takes those of all rows; so a verdict can change when a group grows to that size.
     Null texts have no words; null languages and sources are groups like others; a null id stays null; repeated rows
     count and come back as often; other columns are ignored; an empty table gives an empty one."""
     ws = Scratch(df.sparkSession, "quality")

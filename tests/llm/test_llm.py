@@ -316,6 +316,20 @@ def test_quality_base(spark, corpus, sf):
     assert quality.quality(corpus).count() == corpus.count()
 
 
+@pytest.mark.parametrize("size", [99, 100])
+def test_quality_groups_have_thresholds_from_a_hundred_rows(spark, size):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and text is not null").orderBy("doc_id").collect()]
+    texts = [t for t in texts if (m := measured(t))[0] >= 50 and 10 * m[4] < m[0]][:150]
+    rows = [(i, t, "en", "plain") for i, t in enumerate(texts)]
+    rows += [(1000 + i, re.sub(r"(\S)(?=\s|$)", r"\1#", texts[i % len(texts)]), "en", "own") for i in range(size)]
+    got = [r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect() if r.doc_id >= 1000]
+    assert len(texts) > 110 and not any(r.base_failed for r in got)
+    if size < quality.GROUP_ROWS:  # the language's hold: most of its rows have few symbols
+        assert all("symbol_ratio high" in r.failed_rules for r in got)
+    else:
+        assert sum("symbol_ratio high" in r.failed_rules for r in got) < 20 and sum(r.kept for r in got) > 70  # the texts hold some junk
+
+
 def test_quality_verdicts_follow_the_labels(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in quality.quality(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
