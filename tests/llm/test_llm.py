@@ -143,6 +143,17 @@ def line_brute(rows: list[tuple[int, str | None]], t: Fraction):
     return {(i, k): first[find(x)] for i, k, x in found}
 
 
+@pytest.mark.parametrize("k", [2, 5, 22])
+def test_bands_find_lines_at_the_threshold(k):
+    # Of 9 k shingles each, 8 k are common: a similarity of exactly 0.8.
+    rng = random.Random(k)
+    pairs = [(s[: 9 * k + 4], s[k:]) for s in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(10 * k + 4)) for _ in range(500))]
+    grams = lambda x: {x[i : i + lines.CHARS] for i in range(len(x) - lines.CHARS + 1)}
+    pairs = [(a, b) for a, b in pairs if 10 * len(grams(a) & grams(b)) == 8 * len(grams(a) | grams(b))]
+    shared = (lines.band_keys([a for a, _ in pairs]) == lines.band_keys([b for _, b in pairs])).any(1)
+    assert len(pairs) > 400 and shared.mean() >= 0.98
+
+
 def test_line_classes(spark, empty):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
