@@ -3,8 +3,9 @@
 A text is cut into clauses. A lexical transducer maps each word to a symbol: insult (with a weight), threat, target,
 negation, report, quotation mark or other. A clause transducer, the product of the scopes of negation and of reported speech
 with what was aimed at whom, reads the symbols and adds up the weight of insults that are asserted, negated or
-reported, of those in a clause with a target, and threats against a target. Matched clauses, not single words,
-make a text's score. The weights of insult patterns (words and word beginnings) and of the sums are learned."""
+reported, of those in a clause with a target, and threats against a target. Only the last two need a match within a
+clause: an insult word adds to the asserted weight, and to the strongest, without a target too. The transducers aren't
+composed; one loop runs both. The weights of insult patterns (words and word beginnings) and of the sums are learned."""
 
 from __future__ import annotations
 
