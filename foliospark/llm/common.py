@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +16,32 @@ from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; on one machine, one of our own where it is unset."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="foliospark-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="foliospark-")  # one machine, as in tests
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+#: Bytes of an Arrow batch that a Python worker is sent while a table is written.
+BATCH_BYTES = "4m"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside sends its workers batches of BATCH_BYTES at most, so that long texts don't add up."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Intermediate tables of one operator call, written to the shared folder so that lineage ends there.
 
@@ -31,7 +52,8 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str, repeats: bool = True) -> DataFrame:
         """Writes df and reads it back; repeats: whether values repeat, so that it pays to look for a dictionary."""
-        df.write.mode("overwrite").option("parquet.enable.dictionary", str(repeats).lower()).parquet(f"{self.at}/{name}")
+        with small_batches(self.spark):
+            df.write.mode("overwrite").option("parquet.enable.dictionary", str(repeats).lower()).parquet(f"{self.at}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
 
     def drop(self, *names: str) -> None:
@@ -40,13 +62,15 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows of a few numbers that are broadcast at most.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of rows that are broadcast at most.
+BROADCAST_BYTES = 16 << 20
 
 
 def checked_broadcast(df: DataFrame) -> DataFrame:
-    """df (a written table of a few numbers a row), marked for broadcasting if it is small; else joins shuffle it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """df (a written table of numbers), marked for broadcasting if its rows are under BROADCAST_BYTES; else joins shuffle it."""
+    if not all(isinstance(f.dataType, (T.IntegralType, T.BooleanType)) for f in df.schema):
+        raise TypeError("only rows of numbers have a known size")
+    return F.broadcast(df) if df.count() * (16 + 8 * len(df.columns)) <= BROADCAST_BYTES else df
 
 
 def free_name(df: DataFrame, name: str) -> str:

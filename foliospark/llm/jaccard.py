@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, checked_broadcast, free_name
 from .components import components
+from .grouping import GROUPS, grouped
 from .shingles import WordHashes, mix, shingles
 
 #: Groups up to this size are expanded into pairs; members of larger ones are linked to LEADERS of them.
 SMALL, LEADERS = 8, 1
 #: Members of a group of several components whose sketches are compared in one task.
 BIG = 4096
+#: Sets that a task remembers, so that copies have keys once.
+SEEN = 200_000
 #: Words of sketches that are compared at once.
 AT_ONCE = 1 << 21
 
@@ -131,7 +135,7 @@ def _sketches(width: int, threshold: Fraction):
                     if s is None or s in seen or len(u) < bands.least:
                         sketch.append(None), own.append(None), up.append(None)
                         continue
-                    if len(seen) < 2_000_000:
+                    if len(seen) < SEEN:
                         seen.add(s)
                     sketch.append(bit_sketch(u))
                     keys = [segment_keys(u, *bands.segments(b), b).view(np.int64) for b in bands.of(len(u))]
@@ -142,93 +146,6 @@ def _sketches(width: int, threshold: Fraction):
     return run
 
 
-GROUPS = "key long, a long, b long"
-
-
-def _merged(batches: Iterator[pa.RecordBatch], width: int, rows: int = 1 << 17) -> Iterator[list[np.ndarray]]:
-    """The first columns of batches, put together to about `rows` rows."""
-    held: list[list[np.ndarray]] = []
-    n = 0
-    for batch in batches:
-        if batch.num_rows:
-            held.append([batch.column(i).to_numpy() for i in range(width)])
-            n += batch.num_rows
-        if n >= rows:
-            yield [np.concatenate(x) for x in zip(*held, strict=True)]
-            held, n = [], 0
-    if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
-
-
-def _groups(small: int):
-    """From (key, v) sorted by key: candidate pairs (null key), and for large groups (key, member, null).
-
-    v is a set's id, its lowest bit set if it came from the band below; two such are compared in their own band."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key0, head = None, (np.empty(0, np.int64), np.empty(0, np.int64))  # the open group: all of a small one, the leaders of a large one
-        size0 = 0
-        for k, v in _merged(batches, 2):
-            c = v & ~1
-            starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-            ends = np.append(starts[1:], len(k))
-            pa_, pb, hk, hv = [], [], [], []
-            # A batch's first and last group may go on in other batches; tiny ones between are expanded by size.
-            size = ends - starts
-            edge = (starts == 0) | (ends == len(k))
-            for n in range(2, small + 1):
-                of = starts[(size == n) & ~edge]
-                for i in range(n if len(of) else 0):
-                    for j in range(i + 1, n):
-                        x, y = v[of + i], v[of + j]
-                        good = (c[of + i] != c[of + j]) & ((x & y & 1) == 0) & ((x ^ y) > 1)
-                        pa_.append(x[good] & ~1), pb.append(y[good] & ~1)
-            some = np.flatnonzero((size > small) | edge)
-            for i in some:
-                s, e, key = starts[i], ends[i], k[starts[i]]
-                vs, cs = v[s:e], c[s:e]
-                if key != key0:
-                    key0, head, size0 = key, (vs[:0], cs[:0]), 0
-                old_v, old_c = head
-                if size0:
-                    new = ~np.isin(vs & ~1, old_v & ~1)
-                    vs, cs = vs[new], cs[new]
-                if len(vs) > 1:
-                    _, first = np.unique(vs & ~1, return_index=True)
-                    first.sort()
-                    vs, cs = vs[first], cs[first]
-                if not len(vs):
-                    continue
-                if not size0:  # leaders differ from key to key, whatever order the members came in
-                    order = np.argsort(vs ^ key, kind="stable")
-                    vs, cs = vs[order], cs[order]
-                total = size0 + len(vs)
-                all_v, all_c = np.concatenate((old_v, vs)), np.concatenate((old_c, cs))
-                if total <= small:
-                    x, y = np.triu_indices(len(all_v), 1)
-                    fresh = y >= len(old_v)
-                    x, y = x[fresh], y[fresh]
-                    head = (all_v, all_c)
-                else:
-                    if size0 <= small:  # it grows large just now
-                        hk.append(np.full(len(old_v), key)), hv.append(old_v & ~1)
-                    hk.append(np.full(len(vs), key)), hv.append(vs & ~1)
-                    x, y = np.meshgrid(np.arange(min(LEADERS, len(all_v))), np.arange(len(old_v), len(all_v)))
-                    x, y = x.ravel(), y.ravel()
-                    fresh = x < y
-                    x, y = x[fresh], y[fresh]
-                    head = (all_v[:LEADERS], all_c[:LEADERS])
-                size0 = total
-                good = (all_c[x] != all_c[y]) & ((all_v[x] & all_v[y] & 1) == 0)
-                pa_.append(all_v[x[good]] & ~1), pb.append(all_v[y[good]] & ~1)
-            a, b = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (pa_, pb))
-            kk, m = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (hk, hv))
-            none = np.zeros(len(a), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((none, kk)), mask=np.arange(len(a) + len(kk)) < len(a)), pa.array(np.concatenate((np.minimum(a, b), m))), pa.array(np.concatenate((np.maximum(a, b), np.zeros(len(m), np.int64))), mask=np.arange(len(a) + len(kk)) >= len(a))], ["key", "a", "b"])
-
-    return run
-
-
 def _close(threshold: Fraction):
     """Keeps pairs whose sizes and sketches leave the threshold in reach."""
     p, q = threshold.numerator, threshold.denominator
@@ -252,7 +169,7 @@ def _compare(threshold: Fraction, most: int | None):
     member's groups, a pair is written in the first group that both are in, not again in the others."""
     p, q = threshold.numerator, threshold.denominator
 
-    def pairs(key: int, v: np.ndarray, c: np.ndarray, n: np.ndarray, sketches: list[bytes], keys: list[list[int] | None]) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(key: int, v: np.ndarray, c: np.ndarray, n: np.ndarray, sketches: list[bytes], keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         width = min(map(len, sketches)) // 8
         x = np.empty((len(v), width), np.uint64)
         for i, raw in enumerate(sketches):
@@ -264,7 +181,7 @@ def _compare(threshold: Fraction, most: int | None):
         main = c == ids[count.argmax()]
         order = np.concatenate((np.flatnonzero(~main), np.flatnonzero(main)))
         v, c, n, x, odd = v[order], c[order], n[order], x[order], int((~main).sum())
-        own = [set(keys[k] or ()) for k in order.tolist()]
+        own = lru_cache(1024)(lambda k: set(keys[int(order[k])].as_py()))
         out_a, out_b = [], []
         step = max(1, AT_ONCE // (len(v) * width))
         for at in range(0, odd, step):
@@ -274,8 +191,8 @@ def _compare(threshold: Fraction, most: int | None):
             good = (far * (p + q) <= (q - p) * (ni + nj)) & (q * np.minimum(ni, nj) >= p * np.maximum(ni, nj)) & (c[i, None] != c[None, at:]) & (i[:, None] < np.arange(at, len(v))[None, :])
             a, b = np.nonzero(good)
             a, b = i[a], at + b
-            if keys[0] is not None:
-                first = [min(own[x] & own[y]) == key for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            if keys.null_count < len(keys):
+                first = np.array([min(own(x) & own(y)) == key for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
                 a, b = a[first], b[first]
             out_a.append(v[a]), out_b.append(v[b])
         return np.concatenate(out_a), np.concatenate(out_b)
@@ -285,11 +202,11 @@ def _compare(threshold: Fraction, most: int | None):
 
         def close() -> Iterator[pa.RecordBatch]:
             v, c, n = (np.concatenate([h[k] for h in held]) for k in range(3))
-            sketches, keys = ([y for h in held for y in h[k]] for k in (3, 4))
             _, first = np.unique(v, return_index=True)
-            v, c, n, sketches, keys = v[first], c[first], n[first], [sketches[k] for k in first], [keys[k] for k in first]
+            v, c, n = v[first], c[first], n[first]
             if len(v) > 1 and (c != c[0]).any():
-                a, b = pairs(int(key), v, c, n, sketches, keys)
+                sketches, keys = (pa.concat_arrays([h[k] for h in held]).take(pa.array(first)) for k in (3, 4))
+                a, b = pairs(int(key), v, c, n, sketches.to_pylist(), keys)
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["key", "a", "b"])
 
         def large(k: int, v: np.ndarray) -> pa.RecordBatch:
@@ -315,7 +232,7 @@ def _compare(threshold: Fraction, most: int | None):
                     held = []
                     yield large(key, v[s:e])
                 else:
-                    held.append((v[s:e], c[s:e], n[s:e], *(batch.column(x).slice(s, e - s).to_pylist() for x in (4, 5))))
+                    held.append((v[s:e], c[s:e], n[s:e], *(batch.column(x).slice(s, e - s) for x in (4, 5))))
         if total > 1 and held:
             yield from close()
 
@@ -391,11 +308,6 @@ def _rarest(tokens: DataFrame, threshold: Fraction) -> DataFrame:
     return sets.select(F.explode(F.slice("all", 1, F.greatest(most, F.lit(1)).cast("int"))).alias("x"), "v", "c").select("x.key", "v", "c")
 
 
-def grouped(keys: DataFrame, small: int) -> DataFrame:
-    """Candidates of (key, v) rows; every v is a component of its own. Members of a group meet in one task, which streams them."""
-    return keys.repartition("key").sortWithinPartitions("key").select("key", "v").mapInArrow(_groups(small), GROUPS)
-
-
 def _links(rows: DataFrame, nodes: DataFrame, near: DataFrame, ws: Scratch, name: str, width: int, threshold: Fraction) -> DataFrame:
     """The pairs of `near` that the texts confirm."""
     at = nodes.select(F.col("sid").alias("v"), "row")
@@ -468,8 +380,8 @@ def _rooted(df: DataFrame, id_col: str, text_col: str, width: int, threshold: Fr
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("row"), F.col(f"`{text_col}`").alias("text"))
     docs = ws.save(rows.mapInArrow(_sketches(width, threshold), DOCS), "docs")
     nodes = ws.save(docs.where("sketch is not null").groupBy("sid").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
-    keys = docs.select(F.explode("own").alias("key"), F.col("sid").alias("v")).unionAll(docs.select(F.explode("up"), F.col("sid").bitwiseOR(F.lit(1))))
-    found = ws.save(grouped(keys, small), "found")
+    keys = docs.select(F.col("sid").alias("v"), F.col("own").alias("keys")).unionAll(docs.select(F.col("sid").bitwiseOR(F.lit(1)), "up")).where("keys is not null")
+    found = grouped(keys, small, LEADERS, ws)
     near = ws.save(near_pairs(ws.save(found.where("key is null").select("a", "b").distinct(), "pairs"), nodes, threshold), "near")
     links = _links(rows, nodes, near, ws, "first", width, threshold)
     roots = components(links, ws, "roots-first")
