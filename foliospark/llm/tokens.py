@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import struct
 import sys
+import threading
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,8 +30,8 @@ CHUNK = 1 << 20
 MAGIC = b"FPL1"
 #: Magic, bytes an id, whether planes are of bits, documents, ids, ids of a block.
 HEADER = struct.Struct("<4sBBIQI")
-#: Words (white-space chunks of bytes) whose ids a worker keeps.
-KEPT = 800_000
+#: Words (white-space chunks of bytes) whose ids a worker keeps while it has such tasks: about 200 bytes each.
+KEPT = 300_000
 _LITTLE = sys.byteorder == "little"
 
 
@@ -102,81 +103,97 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
-#: Words that normalising leaves alone but for case, and that are one piece: Latin letters of the first 256 characters.
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Words that normalising leaves alone but for case: printable ASCII and the Latin letters of the first 256 characters.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: The tokenizer file's pieces within such a lower-cased word (fixed pattern, for these characters).
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+class Words(dict):
+    """Ids (as bytes) of words as bytes, where a tokenizer works as Encoder says; the first KEPT words stay, they hold
+    the frequent ones. A word of plain characters is cut here and its new pieces go to the tokenizer's model; others go
+    through all its steps."""
+
+    def __init__(self, machine, kind: np.dtype):
+        self.machine, self.model, self.kind = machine, machine.model, kind
+        self.code = {2: "H", 4: "I"}[kind.itemsize]
+        self.pieces: dict[str, bytes] = {}
+        self.special = [t.content.lower() for t in machine.get_added_tokens_decoder().values()]
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes() if _LITTLE else np.array(ids, self.kind).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        out = self.packed([x.id for x in self.model.tokenize(piece.translate(_LETTERS))])
+        if len(self.pieces) < KEPT:
+            self.pieces[piece] = out
+        return out
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters
+            low = word.lower().decode()
+            out = self.pieces.get(low) or self.piece(low)
+        else:
+            text = word.decode()
+            low = text.lower()
+            if _PLAIN.fullmatch(text) and not ("<" in low and any(x in low for x in self.special)):
+                known = self.pieces.get
+                out = b"".join([known(p) or self.piece(p) for p in _PIECES.findall(low)])
+            else:
+                out = self.packed(self.machine.encode(text, add_special_tokens=False).ids)
+        if len(self) < KEPT:
+            self[word] = out
+        return out
 
 
 class Encoder:
     """Ids of texts as bytes. Where `spaced` says that a tokenizer drops white space and case, never joins across white
-    space and works on bytes (as its file's normalizer and pre_tokenizer say), the ids of the words between ASCII white
-    space are kept and put together. New words of plain letters go to its model at once, others through all its steps,
-    many at a time."""
+    space, cuts words as _PIECES does and works on bytes (as its file's normalizer and pre_tokenizer say), the ids of
+    the words between ASCII white space are kept and put together."""
 
     def __init__(self, path: str, spaced: bool, width: int):
-        self.machine, self.spaced, self.kind = _tokenizer(path), spaced, np.dtype(f"<u{width}")
-        self.model, self.code = self.machine.model, {2: "H", 4: "I"}[width]
-        self.kept: dict[bytes, bytes] = {}
+        self.machine, self.kind = _tokenizer(path), np.dtype(f"<u{width}")
+        self.kept = Words(self.machine, self.kind) if spaced else None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.machine.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[bytes]) -> None:
-        kept, rest = self.kept, []
-        for w in new:
-            if w.isalpha():  # ASCII letters
-                low = w.lower()
-                if low in kept:
-                    kept[w] = kept[low]
-                    continue
-                word, plain = "", low.decode()
-            else:
-                word = w.decode()
-                plain = word.lower().translate(_LETTERS) if _PLAIN.fullmatch(word) else ""
-            if plain:
-                ids = [x.id for x in self.model.tokenize(plain)]
-                kept[w] = array(self.code, ids).tobytes() if _LITTLE else np.array(ids, self.kind).tobytes()
-            else:
-                rest.append((w, word))
-        for at in range(0, len(rest), 2000):
-            some = rest[at : at + 2000]
-            starts = np.cumsum([0] + [len(x) + 1 for _, x in some[:-1]])
-            e = self.machine.encode(" ".join(x for _, x in some), add_special_tokens=False)
-            ids = np.array(e.ids, self.kind)
-            of = np.searchsorted(starts, np.array([a for a, _ in e.offsets] or [0]), "right")[: len(ids)]
-            cuts = np.searchsorted(of, np.arange(1, len(some) + 2)).tolist()
-            raw, size = ids.tobytes(), self.kind.itemsize
-            for k, (w, _) in enumerate(some):
-                kept[w] = raw[cuts[k] * size : cuts[k + 1] * size]
-
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if not self.spaced:
+        if self.kept is None:
             return self._whole([t.decode() for t in texts])
-        split = [t.split() for t in texts]
-        kept = self.kept
-        fresh = set().union(*split).difference(kept)
-        # A full stop or comma after an ASCII letter or digit is a piece of its own.
-        ended = {w for w in fresh if w[-1:] in (b".", b",") and w[-2:-1].isalnum()}
-        stems = {w[:-1] for w in ended} | ({b".", b","} if ended else set())
-        new = list(((fresh - ended) | stems).difference(kept))
-        self._learn(new)
-        for w in ended:
-            kept[w] = kept[w[:-1]] + kept[w[-1:]]
-        get = kept.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
-        if len(kept) > KEPT:  # the first KEPT words stay; they hold the frequent ones
-            for w in (*new, *ended):
-                del kept[w]
-        return out
+        get = self.kept.__getitem__
+        return [b"".join(map(get, t.split())) for t in texts]
 
 
+#: Seconds after which an idle worker forgets the words that it has kept.
+IDLE = 20
 _encoders: dict[tuple, Encoder] = {}
+_idle: list[threading.Timer] = []
+
+
+def _borrow(path: str, spaced: bool, width: int) -> Encoder:
+    """The worker's encoder, with the words of its earlier tasks. A function of the module, so that tasks share the
+    module's table and not a copy of it."""
+    while _idle:
+        _idle.pop().cancel()
+    key = path, spaced, width
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
+
+
+def _give_back() -> None:
+    timer = threading.Timer(IDLE, _encoders.clear)
+    timer.daemon = True
+    timer.start()
+    _idle.append(timer)
 
 
 def _encode(path: str, end: int | None, width: int, spaced: bool, bits: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = _encoders.setdefault((path, spaced, width), Encoder(path, spaced, width))
+        encoder = _borrow(path, spaced, width)
         part, seq = TaskContext.get().partitionId(), 0
         tail = b"" if end is None else end.to_bytes(width, "little")
         keys: list[int | None] = []
@@ -199,6 +216,7 @@ def _encode(path: str, end: int | None, width: int, spaced: bool, bits: bool):
                     held += len(ids)
         if keys:
             yield out()
+        _give_back()
 
     return run
 
