@@ -10,6 +10,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,15 +64,44 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Bytes of rows that are broadcast at most.
-BROADCAST_BYTES = 16 << 20
+#: Bits of the filter that says which keys a table may hold (16 MB, whatever the table's size).
+FILTER_BITS = 1 << 27
 
 
-def checked_broadcast(df: DataFrame) -> DataFrame:
-    """df (a written table of numbers), marked for broadcasting if its rows are under BROADCAST_BYTES; else joins shuffle it."""
-    if not all(isinstance(f.dataType, (T.IntegralType, T.BooleanType)) for f in df.schema):
-        raise TypeError("only rows of numbers have a known size")
-    return F.broadcast(df) if df.count() * (16 + 8 * len(df.columns)) <= BROADCAST_BYTES else df
+class MayHold:
+    """A filter of fixed size of a written table's keys, 64-bit hashes: a key that it denies isn't there.
+
+    It is sent to all workers, so that of large rows only those that may have a partner in the table are shuffled for
+    the join that decides. Up to some 100 million keys it denies most others; beyond, more rows go through the join."""
+
+    def __init__(self, table: DataFrame, key: str):
+        spark = table.sparkSession
+        at = F.shiftrightunsigned(F.col(key), 1).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1  # bitmaps count from 1
+        parts = table.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+        self.empty, bits = True, np.zeros(FILTER_BITS // 8, np.uint8)
+        for k, x in parts.collect():  # FILTER_BITS / 32,768 rows of 4 KB at most
+            self.empty = False
+            bits[(k - 1) * len(x) : k * len(x)] = np.frombuffer(x, np.uint8)
+        self.bits = spark.sparkContext.broadcast(bits)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Which of the keys (on an executor) the table may hold."""
+        at = (keys.view(np.uint64) >> np.uint64(1)) & np.uint64(FILTER_BITS - 1)
+        return (self.bits.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+    def column(self, key: str) -> Column:
+        """Whether the table may hold a row's key; only keys go to Python, and a null key is denied."""
+        if self.empty:
+            return F.lit(False)
+        bits = self.bits
+
+        @F.arrow_udf("boolean")
+        def may(x: pa.Array) -> pa.Array:
+            at = (x.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(1)) & np.uint64(FILTER_BITS - 1)
+            got = (bits.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            return pa.array(got & x.is_valid().to_numpy(zero_copy_only=False))
+
+        return may(F.col(key))
 
 
 def free_name(df: DataFrame, name: str) -> str:

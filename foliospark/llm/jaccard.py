@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, checked_broadcast, free_name
+from .common import MayHold, Scratch, free_name
 from .components import components
 from .grouping import GROUPS, grouped
 from .shingles import WordHashes, mix, shingles
@@ -312,7 +312,7 @@ def _links(rows: DataFrame, nodes: DataFrame, near: DataFrame, ws: Scratch, name
     """The pairs of `near` that the texts confirm."""
     at = nodes.select(F.col("sid").alias("v"), "row")
     ends = ws.save(near.select(F.col("a").alias("v")).unionAll(near.select("b")).distinct().join(at, "v"), f"ends-{name}")
-    texts = rows.select("row", "text").join(checked_broadcast(ends), "row").dropDuplicates(["v"])
+    texts = rows.select("row", "text").where(MayHold(ends, "row").column("row")).join(ends, "row").dropDuplicates(["v"])
     texts = ws.save(texts.select("v", "text"), f"texts-{name}")
     both = near.join(texts.select(F.col("v").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b")
     out = ws.save(both.select("a", "b", "ta", "tb").mapInArrow(_verified(width, threshold), "a long, b long"), f"links-{name}")
@@ -344,8 +344,8 @@ def _rest(rows: DataFrame, nodes: DataFrame, large: DataFrame, roots: DataFrame,
         wide = ws.save(wide.join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("c"), "keys"), f"wide-{level}")
         if wide.isEmpty():
             break
-        whose = checked_broadcast(ws.save(wide.select("v", "c").join(nodes.select(F.col("sid").alias("v"), "row"), "v"), f"whose-{level}"))
-        texts = rows.select("row", "text").join(whose, "row").dropDuplicates(["v"])
+        whose = ws.save(wide.select("v", "c").join(nodes.select(F.col("sid").alias("v"), "row"), "v"), f"whose-{level}")
+        texts = rows.select("row", "text").where(MayHold(whose, "row").column("row")).join(whose, "row").dropDuplicates(["v"])
         if level == 2:
             keys = _rarest(texts.select("v", "c", "text").mapInArrow(_tokens(width), "key long, v long, c long"), threshold)
         else:
@@ -410,13 +410,14 @@ def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs, of = _rooted(df, id_col, text_col, width, threshold)
     names = of.select("sid", "root").join(of.groupBy("root").agg(F.min("first").alias("first")), "root").select("sid", "first")
     classes = ws.save(docs.where("id is not null").select("id", "row", "sid").join(names, "sid", "left").select("id", "row", "first"), "classes")
-    gone = classes.where("id <> first.id or row <> first.row").select("id", "row").distinct()
-    gone = checked_broadcast(ws.save(gone, "gone"))
-    out = df.join(gone, (df[f"`{id_col}`"].cast("long") == gone["id"]) & (F.xxhash64(df[f"`{id_col}`"], df[f"`{text_col}`"]) == gone["row"]), "left_anti")
-    if classes.groupBy("id", "row").count().where("count > 1").isEmpty():
-        return out
-    key = free_name(df, "_key")
-    out = out.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("string"), F.uuid())).dropDuplicates([key, text_col])
+    gone = ws.save(classes.where("id <> first.id or row <> first.row").select("id", "row").distinct(), "gone")
+    number, row, may = (free_name(df, x) for x in ("_id", "_row", "_may"))
+    keyed = df.withColumns({number: F.col(f"`{id_col}`").cast("long"), row: F.xxhash64(f"`{id_col}`", f"`{text_col}`")}).withColumn(may, MayHold(gone, "row").column(row))
+    out = keyed.where(f"not `{may}`").unionAll(keyed.where(may).join(gone, (F.col(number) == gone["id"]) & (F.col(row) == gone["row"]), "left_anti"))
+    twice = ws.save(classes.groupBy("id", "row").count().where("count > 1").select("id", "row"), "twice")
+    if not twice.isEmpty():
+        again = MayHold(twice, "row").column(row) & F.col(number).isNotNull()
+        out = out.where(~again).unionAll(out.where(again).dropDuplicates([number, row]))
     return out.select(*[f"`{c}`" for c in df.columns])
 
 

@@ -7,13 +7,15 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, checked_broadcast
+from .common import MayHold, Scratch, free_name
 from .components import components
-from .jaccard import bit_sketch, compared, grouped, near_pairs, open_members
+from .grouping import grouped
+from .jaccard import bit_sketch, compared, open_members
 from .shingles import mix
 
 #: Characters of a shingle; the similarity from which lines are one.
@@ -21,6 +23,7 @@ CHARS, THRESHOLD = 5, Fraction(80, 100)
 #: A signature has PASSES one-permutation sketches of BINS minima; ROWS of them make a band. Two lines at the threshold
 #: share one of the 16 bands with a probability of 99 percent, at 0.85 of 99.97.
 PASSES, BINS, ROWS = 2, 48, 6
+BANDS = PASSES * BINS // ROWS
 #: Characters whose shingles are hashed at once: as many as a core's cache holds.
 AT_ONCE = 50_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -31,8 +34,16 @@ _P, _P2 = np.uint64(0x100000001B3), np.uint64(0x100000001B3**2 & 0xFFFFFFFFFFFFF
 SMALL = 4
 
 
-def normal(line: str) -> str:
-    return " ".join(line.lower().split())
+#: White space but for the space and the line's end.
+_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (10, 32)]
+
+
+def normal_lines(text: str) -> list[str]:
+    """The `\\n`-split lines of a text, lower-cased, runs of white space as one space and none at the ends."""
+    low = text.lower()
+    if "  " in low or any(c in low for c in _SPACES):
+        return [" ".join(x.split()) for x in low.split("\n")]
+    return [x.strip(" ") for x in low.split("\n")]
 
 
 def line_id(line: str) -> int:
@@ -55,6 +66,31 @@ def grams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[good]), np.repeat(np.arange(len(lines)), size - CHARS + 1)
 
 
+#: Lines whose sets are made at once, at most; sets hold the upper 56 bits of hashes, marked by the line in the lowest 8.
+MARKED = 200
+
+
+def marked_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct 56-bit shingle hashes below their line's number, sorted; sizes) of the sets of MARKED lines at most."""
+    h, of = grams(lines)
+    x = (h >> np.uint64(8)) | (of.astype(np.uint64) << np.uint64(56))
+    x.sort()
+    x = x[np.concatenate(([True], x[1:] != x[:-1]))]
+    return x, np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=len(lines))
+
+
+def in_parts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of MARKED lines at most, of about AT_ONCE characters together or of one line."""
+    at, total = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > at and (k - at >= MARKED or total + n > AT_ONCE):
+            yield at, k
+            at, total = k, 0
+        total += n
+    if len(sizes):
+        yield at, len(sizes)
+
+
 def band_keys(lines: list[str]) -> np.ndarray:
     """(lines, bands) keys of the lines' MinHash signatures."""
     n = len(lines)
@@ -94,19 +130,21 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     chars = 0
 
     def out() -> pa.RecordBatch:
-        keys: list = [None] * len(held[0])
         step = max(1, len(texts) * AT_ONCE // max(1, chars))
-        for at in range(0, len(texts), step):
-            for k, own in zip(fresh[at : at + step], band_keys(texts[at : at + step]).view(np.int64), strict=True):
-                keys[k] = own
-        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in held), pa.array(keys, pa.list_(pa.int64()))], ["id", "row", "at", "line", "keys"])
+        own = [band_keys(texts[at : at + step]).view(np.int64) for at in range(0, len(texts), step)]
+        flat = np.concatenate(own) if own else np.empty((0, BANDS), np.int64)
+        new = np.zeros(len(held[0]), bool)
+        new[fresh] = True
+        ends = np.concatenate(([0], np.cumsum(new) * BANDS)).astype(np.int32)
+        keys = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~new, False)), pa.array(flat.ravel()))
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in held), keys], ["id", "row", "at", "line", "keys"])
 
     ids, docs, at, line = held
     for batch in batches:
         for i, row, text in zip(*(batch.column(k) for k in range(3)), strict=True):
             i, row = i.as_py(), row.as_py()
-            for k, x in enumerate((text.as_py() or "").lower().split("\n")):
-                if not (x := " ".join(x.split())):
+            for k, x in enumerate(normal_lines(text.as_py() or "")):
+                if not x:
                     continue
                 h = line_id(x)
                 ids.append(i), docs.append(row), at.append(k), line.append(h)
@@ -124,53 +162,68 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _shapes(texts: list[str]) -> tuple[list[int], list[bytes]]:
-    """Size and bit sketch of each line's shingle set."""
-    h, of = grams(texts)
-    sizes, sketches = [], []
-    for part in np.split(h, np.flatnonzero(of[1:] != of[:-1]) + 1):
-        u = np.unique(part)
-        sizes.append(len(u)), sketches.append(bit_sketch(u))
-    return sizes, sketches
+def _pick(wanted: MayHold):
+    """Lines that may be wanted, by their ids; a task gives a line once (as far as the last million tell)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                texts = [x for text in batch.column(0).slice(at, 200).to_pylist() for x in normal_lines(text) if x]
+                ids = np.fromiter(map(line_id, texts), np.int64, len(texts))
+                out: dict[int, str] = {}
+                for k in np.flatnonzero(wanted(ids)).tolist():
+                    if (h := int(ids[k])) not in seen:
+                        seen.add(h)
+                        out[h] = texts[k]
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int64()), pa.array(out.values(), pa.string())], ["sid", "x"])
+
+    return run
+
+
+def _lengths(texts: pa.Array) -> np.ndarray:
+    return pc.utf8_length(texts).to_numpy(zero_copy_only=False)
 
-def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted lines of texts with the size and the bit sketch of their shingle sets."""
+
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and bit sketch of each line's shingle set."""
     for batch in batches:
-        ids, texts, sizes, sketches = [], [], [], []
-        for text, ats in zip(batch.column(0), batch.column(1), strict=True):
-            parts = text.as_py().lower().split("\n")
-            texts += [" ".join(parts[k].split()) for k in ats.as_py()]
-        for at in range(0, len(texts), 120):
-            some = texts[at : at + 120]
-            n, sketch = _shapes(some)
-            ids += map(line_id, some)
-            sizes += n
-            sketches += sketch
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["sid", "x", "n", "sketch"])
+        for a, b in in_parts(_lengths(batch.column(1))):
+            some = batch.slice(a, b - a)
+            x, size = marked_sets(some.column(1).to_pylist())
+            sets = np.split(x & np.uint64((1 << 56) - 1), np.cumsum(size)[:-1])
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(size), pa.array(map(bit_sketch, sets), pa.binary())], ["sid", "n", "sketch"])
+
+
+def shared(xs: list[str], ys: list[str], of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (xs[of[k]], ys[k]): sizes of both sets and of what they share."""
+    left, n = marked_sets(xs)
+    right, m = marked_sets(ys)
+    n = n[of]
+    begin = np.concatenate(([0], np.cumsum(np.bincount((left >> np.uint64(56)).astype(np.int64), minlength=len(xs)))))[of]
+    pair = np.repeat(np.arange(len(ys)), n)
+    at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + begin[pair]
+    both = np.concatenate(((left[at] & np.uint64((1 << 56) - 1)) | (pair.astype(np.uint64) << np.uint64(56)), right))
+    both.sort()
+    twice = both[1:][both[1:] == both[:-1]]
+    return n, m, np.bincount((twice >> np.uint64(56)).astype(np.int64), minlength=len(ys))
 
 
 def _similar(threshold: Fraction):
     p, q = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                a, xs = part.column("a").to_pylist(), part.column("xa").to_pylist()
-                first = [k for k in range(len(a)) if not k or a[k] != a[k - 1]]  # pairs come sorted by a
-                sets = lambda texts: [np.unique(x) for x in (lambda h, of: np.split(h, np.flatnonzero(of[1:] != of[:-1]) + 1))(*grams(texts))]
-                left, right = sets([xs[k] for k in first]), sets(part.column("xb").to_pylist())
-                at_left = -1
-                for k, v in enumerate(right):
-                    at_left += k in (first[at_left + 1 : at_left + 2])
-                    u = left[at_left]
-                    both = np.concatenate((u, v))
-                    both.sort()
-                    both = int((both[1:] == both[:-1]).sum())
-                    keep.append(q * both >= p * (len(u) + len(v) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch in batches:  # pairs come sorted by a
+            keep = [np.empty(0, bool)]
+            for at, end in in_parts(_lengths(batch.column("xa")) + _lengths(batch.column("xb"))):
+                part = batch.slice(at, end - at)
+                a = part.column("a").to_numpy()
+                new = np.concatenate(([True], a[1:] != a[:-1]))
+                n, m, both = shared(part.column("xa").filter(pa.array(new)).to_pylist(), part.column("xb").to_pylist(), np.cumsum(new) - 1)
+                keep.append(q * both >= p * (n + m - both))
+            yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(keep)))
 
     return run
 
@@ -191,44 +244,62 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Candidates are lines that share a band (see ROWS); a band's group of over `small` lines is linked through leaders
     that differ from band to band, and where this leaves several components, sketches decide in the group which lines
     of different components are compared."""
+    out = _classes(df, id_col, text_col, threshold, small)
+    return out.select(F.col("id").alias(id_col), F.col("at").alias("line_no"), F.col("head_id").alias("class_id"), F.col("head_at").alias("class_line"), "kept")
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, threshold: Fraction, small: int) -> DataFrame:
+    """(id, row, at, head_id, head_at, kept) of every line; row is a hash of id and text."""
     ws = Scratch(df.sparkSession, "lines")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("row"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    seen = ws.save(rows.mapInArrow(_occurrences, OCCURRENCES), "seen", repeats=False)
-    first = ws.save(seen.groupBy("line").agg(F.min(F.struct("id", "at", "row")).alias("first"), F.count("*").alias("n")), "first")
-    found = ws.save(grouped(seen.select(F.explode("keys").alias("key"), F.col("line").alias("v")), small), "found")
+    keyed = ws.save(rows.mapInArrow(_occurrences, OCCURRENCES), "keyed", repeats=False)
+    found = grouped(keyed.select(F.col("line").alias("v"), "keys").where("keys is not null"), small, 1, ws)
+    seen = ws.save(keyed.drop("keys"), "seen", repeats=False)
+    ws.drop("keyed")
     pairs = ws.save(found.where("key is null").select("a", "b").distinct(), "pairs")
     large = ws.save(found.where("key is not null").select("key", F.col("a").alias("v")), "large")
-    ends = pairs.select(F.col("a").alias("line")).unionAll(pairs.select("b")).unionAll(large.select("v")).distinct()
-    ends = checked_broadcast(ws.save(ends, "ends"))
-    wanted = ws.save(first.join(ends, "line").select("first.row", "first.at").groupBy("row").agg(F.collect_list("at").alias("ats")), "wanted")
-    lines = rows.join(checked_broadcast(wanted), "row").select("text", "ats").mapInArrow(_pick, "sid long, x string, n long, sketch binary")
-    lines = ws.save(lines.dropDuplicates(["sid"]), "lines")
-    ws.drop("found")
-    links = _links(ws.save(near_pairs(pairs, lines, threshold), "near"), lines, ws, "first", threshold)
+    ws.drop("found", "found-wide")
+    ends = ws.save(pairs.select(F.col("a").alias("line")).unionAll(pairs.select("b")).unionAll(large.select("v")).distinct(), "ends")
+    twice = seen.groupBy("line").count().where("count > 1").select("line")
+    some = ws.save(twice.unionAll(ends).distinct().withColumn("some", F.lit(True)), "some")
+    # Lines that occur once and are like no other are their own class; the others are fewer.
+    seen = ws.save(seen.join(some, "line", "left"), "marked", repeats=False)
+    ws.drop("seen", "some")
+    lines = rows.select("text").mapInArrow(_pick(MayHold(ends, "line")), "sid long, x string")
+    lines = ws.save(lines.join(ends.withColumnRenamed("line", "sid"), "sid", "left_semi").dropDuplicates(["sid"]), "lines", repeats=False)
+    links = _links(pairs, lines, ws, "first", threshold)
     roots = components(links, ws, "roots-first")
     if not large.isEmpty():
-        rest = compared(open_members(large, roots, ws), lines, threshold, None).select("a", "b").distinct()
+        members = ws.save(open_members(large, roots, ws), "open")
+        own = lines.join(members.select(F.col("v").alias("sid")).distinct(), "sid", "left_semi")
+        nodes = ws.save(own.select("sid", "x").mapInArrow(_shapes, "sid long, n long, sketch binary"), "nodes")
+        rest = compared(members, nodes, threshold, None).select("a", "b").distinct()
         fresh = _links(ws.save(rest, "near-rest"), lines, ws, "rest", threshold)
         if not fresh.isEmpty():
             roots = components(links.unionAll(fresh), ws, "roots-rest")
-    # Lines that occur once and have no links are their own class; the others are few.
-    place = first.join(checked_broadcast(roots.withColumnRenamed("v", "line")), "line", "left").where("root is not null or n > 1")
-    place = ws.save(place.select("line", F.coalesce("root", "line").alias("root"), "first"), "place")
-    place = place.join(place.groupBy("root").agg(F.min("first").alias("head")), "root").select("line", "head.id", "head.at")
-    place = ws.save(place.select("line", F.col("id").alias("head_id"), F.col("at").alias("head_at")), "heads")
-    out = seen.select("id", "at", "line").join(checked_broadcast(place), "line", "left")
-    alone = F.col("head_at").isNull()
-    head_id, head_at = F.when(alone, F.col("id")).otherwise(F.col("head_id")), F.coalesce("head_at", "at")
-    return out.select(F.col("id").alias(id_col), F.col("at").alias("line_no"), head_id.alias("class_id"), head_at.alias("class_line"), (F.col("id").eqNullSafe(head_id) & (F.col("at") == head_at)).alias("kept"))
-
-
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """df without the lines that line_classes doesn't keep; blank lines and all other columns stay as they are."""
-    gone = line_classes(df, id_col, text_col, **options).where("not kept").groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
-    out = df.join(gone, df[f"`{id_col}`"].eqNullSafe(gone["_id"]), "left")
-    lines = F.split(F.col(f"`{text_col}`"), "\n", -1)
-    keep = F.filter(F.transform(lines, lambda x, k: F.struct(x.alias("x"), F.coalesce(F.array_contains("_gone", k.cast("long")), F.lit(False)).alias("gone"))), lambda s: ~s["gone"])
-    text = F.when(F.col("_gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(keep, lambda s: s["x"]), "\n"))
+    place = seen.where("some").join(roots.withColumnRenamed("v", "line"), "line", "left").select("line", "id", "row", "at", F.coalesce("root", "line").alias("root"))
+    place = ws.save(place, "rooted")
+    heads = ws.save(place.groupBy("root").agg(F.min(F.struct("id", "at", "row")).alias("head")), "heads")
+    ws.drop("lines", "pairs", "large", "ends")
+    first = F.col("head.id"), F.col("head.at"), F.col("head.row")
+    kept = F.col("id").eqNullSafe(first[0]) & (F.col("at") == first[1]) & (F.col("row") == first[2])
+    out = place.join(heads, "root").select("id", "row", "at", first[0].alias("head_id"), first[1].alias("head_at"), kept.alias("kept"))
+    return seen.where("some is null").select("id", "row", "at", F.col("id").alias("head_id"), F.col("at").alias("head_at"), F.lit(True).alias("kept")).unionAll(out)
+
+
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction = THRESHOLD, small: int = SMALL) -> DataFrame:
+    """df without the lines that line_classes doesn't keep; blank lines, null and empty texts and all other columns
+    (whatever their names) stay as they are.
+
+    Rows are told apart by id and text, so rows of one id (or of a null id) with different texts lose their own lines
+    only; a row repeated in both keeps its lines in every copy."""
+    lines = _classes(df, id_col, text_col, threshold, small).where("not kept").distinct()
+    row, gone = free_name(df, "_row"), free_name(df, "_gone")
+    lines = lines.groupBy(F.col("row").alias(row)).agg(F.collect_set("at").alias(gone))
+    out = df.withColumn(row, F.xxhash64(f"`{id_col}`", f"`{text_col}`")).join(lines, row, "left")
+    parts = F.transform(F.split(F.col(f"`{text_col}`"), "\n", -1), lambda x, k: F.struct(x.alias("x"), F.array_contains(F.col(gone), k.cast("long")).alias("gone")))
+    keep = F.transform(F.filter(parts, lambda s: ~s["gone"]), lambda s: s["x"])
+    text = F.when(F.col(gone).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(keep, "\n"))
     return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
 
 
