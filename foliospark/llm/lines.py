@@ -271,10 +271,13 @@ def _classes(df: DataFrame, id_col: str, text_col: str, threshold: Fraction, sma
     roots = components(links, ws, "roots-first")
     if not large.isEmpty():
         members = ws.save(open_members(large, roots, ws), "open")
-        own = lines.join(members.select(F.col("v").alias("sid")).distinct(), "sid", "left_semi")
+        own = ws.save(members.select(F.col("v").alias("sid")).distinct(), "own")
+        own = lines.where(MayHold(own, "sid").column("sid")).join(own, "sid", "left_semi")
         nodes = ws.save(own.select("sid", "x").mapInArrow(_shapes, "sid long, n long, sketch binary"), "nodes")
         rest = compared(members, nodes, threshold, None).select("a", "b").distinct()
-        fresh = _links(ws.save(rest, "near-rest"), lines, ws, "rest", threshold)
+        rest = ws.save(rest, "near-rest")
+        ends = MayHold(rest.select("a").unionAll(rest.select("b")), "a")
+        fresh = _links(rest, lines.where(ends.column("sid")), ws, "rest", threshold)
         if not fresh.isEmpty():
             roots = components(links.unionAll(fresh), ws, "roots-rest")
     place = seen.where("some").join(roots.withColumnRenamed("v", "line"), "line", "left").select("line", "id", "row", "at", F.coalesce("root", "line").alias("root"))
