@@ -12,9 +12,10 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -123,6 +124,23 @@ def row_key(df: DataFrame, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *[F.coalesce(F.col(f"`{f.name}`").cast("string"), F.lit("\x00")) if isinstance(f.dataType, T.AtomicType) else F.col(f"`{f.name}`") for f in df.schema if not has_map(f.dataType)])
 
 
+def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """Rows that the driver holds, as an Arrow table: no Python worker makes it. Structs are dicts."""
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
+
+
+def told_apart(keyed: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """keyed, its column `key` (row_key; `keys` is a written table of it) made different for copies of a repeated row: the
+    k-th copy gets a hash of the key and k. Which copy is which doesn't matter. Only a table that has repeated rows is
+    shuffled for this."""
+    if keys.groupBy(key).count().where("count > 1").isEmpty():
+        return keyed
+    k = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    return keyed.withColumn(key, F.when(k > 1, F.xxhash64(key, k)).otherwise(F.col(key)))
+
+
 def hypergeometric(rng: random.Random, total: int, good: int, draws: int) -> int:
     """How many good ones are among `draws` drawn without replacement from `total`: exact inversion outward from the mode."""
     low, high = max(0, draws - (total - good)), min(good, draws)

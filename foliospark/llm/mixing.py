@@ -9,13 +9,14 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, deal, free_name, row_key
+from .common import Scratch, deal, free_name, row_key, small_table, told_apart
 
 #: Sources that a mix may have; the driver holds one row and one row of quotas for each.
 MAX_SOURCES = 10_000
 #: Documents of a source are ordered in blocks of about this many.
 ROWS_PER_BLOCK = 2_000
-FINE = 1 << 12
+#: Bits of the hash that make a bucket: so many that a bucket has few rows, within these.
+LEAST_BITS, MOST_BITS = 12, 20
 #: Partitions that one output shard of the mix is dealt to.
 SPREAD = 64
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -52,7 +53,8 @@ def splitting_tree(rng: random.Random, counts: list[int], sizes: list[int]) -> l
 
 
 def mix_sources(df: DataFrame, source_col: str = "source", size: Column | None = None, shards: int = 16, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
-    """All rows of df with mix_size, mix_source_size, mix_target and mix_copies: an array of the output shards that get a copy of the row.
+    """All rows of df with mix_size, mix_source_size, mix_target, mix_copies (an array of the output shards that get a
+    copy of the row) and mix_order (for each copy, the number that orders it in its shard).
 
     size: the size that a row counts with (default: words of `text`). Sources are ordered by code point, null last,
     and weigh `weights`, repeating. A source's rows have one permuted order (by a hash of the whole row). The mix
@@ -61,25 +63,28 @@ def mix_sources(df: DataFrame, source_col: str = "source", size: Column | None =
     more than `most` times. The places of a source's sequence of copies are dealt to the shards in disjoint runs,
     whose lengths a hypergeometric splitting tree draws; shards end with equal counts of copies (one apart at most).
     Rows are dealt by thresholds on their hash, so the texts are not shuffled. Null sources form one source; rows of
-    size 0 add nothing and are taken with their pass; equal rows share a hash and are taken together; an empty table
-    gives an empty one. Existing columns named mix_* are replaced."""
+    size 0 add nothing and are taken with their pass; copies of a repeated row are numbered and taken one by one; an
+    empty table gives an empty one. Existing columns named mix_* are replaced."""
     spark, ws = df.sparkSession, Scratch(df.sparkSession, "mix")
     size = word_count(F.col("text")) if size is None else size
-    news = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    news = ("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_order")
     df = df.drop(*[c for c in df.columns if c.lower() in news])
     key = free_name(df, "_key")
     keyed = df.withColumn("mix_size", F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long")).withColumn(key, row_key(df, seed))
     # The order of a source is that of the hash from its lowest number on; its high bits are the block.
-    bucket = F.shiftright(F.col("h"), 52).cast("int") + FINE // 2
-    rows = ws.save(keyed.select(F.col(f"`{source_col}`").alias("s"), F.col(key).alias("h"), F.col("mix_size").alias("n")).withColumn("b", bucket), "rows")
+    keyed = told_apart(keyed, key, ws.save(keyed.select(key), "keys"))
+    rows = ws.save(keyed.select(F.col(f"`{source_col}`").alias("s"), F.col(key).alias("h"), F.col("mix_size").alias("n")), "rows")
+    bits = min(MOST_BITS, max(LEAST_BITS, (rows.count() // ROWS_PER_BLOCK).bit_length()))
+    rows = rows.withColumn("b", F.shiftright(F.col("h"), 64 - bits).cast("int") + (1 << bits - 1))
     fine = rows.groupBy("s", "b").agg(F.count("*").alias("rows"), F.sum("n").alias("words"))
     of = fine.groupBy("s").agg(F.sum("rows").alias("rows"), F.sum("words").alias("words")).orderBy(F.col("s").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
     if len(of) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
+    text = lambda x: None if x is None else str(x)
     goal = targets([r["words"] for r in of], [weights[i % len(weights)] for i in range(len(of))], most)
     passes = [min(most, int(t // r["words"])) if r["words"] else 1 for t, r in zip(goal, of, strict=True)]
     rest = [max(0.0, t - p * r["words"]) if p < most else 0.0 for t, p, r in zip(goal, passes, of, strict=True)]
-    plan = spark.createDataFrame([(r["s"], i, float(x)) for i, (r, x) in enumerate(zip(of, rest, strict=True))], "s string, i int, rest double")
+    plan = small_table(spark, [(text(r["s"]), i, float(x)) for i, (r, x) in enumerate(zip(of, rest, strict=True))], "s string, i int, rest double")
     plan = plan.withColumn("s", F.col("s").cast(rows.schema["s"].dataType))
     # Blocks are runs of fine buckets; rank and words before a row add up over blocks, then within one.
     before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,7 +94,7 @@ def mix_sources(df: DataFrame, source_col: str = "source", size: Column | None =
     first = Window.partitionBy("s", "run")
     starts = starts.withColumn("rows0", F.min("rows0").over(first)).withColumn("words0", F.min("words0").over(first))
     same = lambda a, b: a["s"].eqNullSafe(b["s"])
-    small = len(of) * FINE <= 1_000_000
+    small = len(of) << bits <= 1_000_000
     starts = F.broadcast(starts) if small else starts
     placed = rows.join(starts, same(rows, starts) & (rows["b"] == starts["b"])).select(rows["s"], rows["h"], rows["n"], "run", "rows0", "words0")
     within = Window.partitionBy("s", "run").orderBy("h", "n")
@@ -100,7 +105,7 @@ def mix_sources(df: DataFrame, source_col: str = "source", size: Column | None =
     part = placed.join(F.broadcast(plan), same(placed, plan)).select(placed["h"], "n", "rank", "words", "i", "rest")
     inside = F.col("words") + F.col("n") <= F.col("rest")
     cut = {r["i"]: r for r in part.groupBy("i").agg(F.min(F.when(~inside, F.col("rank"))).alias("m"), F.min_by(F.when(~inside, F.struct("h", "words")), F.when(~inside, F.col("rank"))).alias("at")).collect()}
-    gaps = spark.createDataFrame([(i, float(rest[i] - cut[i]["at"]["words"]), cut[i]["m"]) for i in cut if cut[i]["m"] is not None and rest[i] > 0], "i int, gap double, m long")
+    gaps = small_table(spark, [(i, float(rest[i] - cut[i]["at"]["words"]), cut[i]["m"]) for i in cut if cut[i]["m"] is not None and rest[i] > 0], "i int, gap double, m long")
     near = part.join(F.broadcast(gaps), "i").where((F.col("rank") >= F.col("m")) & (F.abs(F.col("n") - F.col("gap")) < F.col("gap")))
     last = {r["i"]: r["x"] for r in near.groupBy("i").agg(F.min(F.struct(F.abs(F.col("n") - F.col("gap")).alias("d"), "h")).alias("x")).collect()}
     # Quotas: copies of each source in the mix, split over the shards.
@@ -116,14 +121,14 @@ def mix_sources(df: DataFrame, source_col: str = "source", size: Column | None =
             at += tree[k][i]
             ends.append((i, k, min(at // max(1, whole[i]), most), at - min(at // max(1, whole[i]), most) * whole[i]))
     # A place in a source's sequence is a pass and a rank; the hash at that rank is the threshold.
-    bounds = spark.createDataFrame(ends, "i int, k int, pass int, rank long")
+    bounds = small_table(spark, ends, "i int, k int, pass int, rank long")
     at_rank = part.select("i", "rank", "h").join(F.broadcast(bounds), ["i", "rank"])
     held = {(r["i"], r["k"]): r["h"] for r in at_rank.select("i", "k", "h").collect()}  # shards x sources at most
     top = (1 << 63) - 1
-    table = [(r["s"], i, int(r["words"]), float(goal[i]), passes[i], rest[i] > 0, cut[i]["at"]["h"] if rest[i] > 0 and cut[i]["m"] is not None else None, last[i]["h"] if i in last else None, [(p, held.get((i, k), top)) for j, k, p, _ in ends[i * (shards - 1) : (i + 1) * (shards - 1)]]) for i, r in enumerate(of)]
+    table = [(text(r["s"]), i, int(r["words"]), float(goal[i]), passes[i], rest[i] > 0, cut[i]["at"]["h"] if rest[i] > 0 and cut[i]["m"] is not None else None, last[i]["h"] if i in last else None, [{"p": p, "h": held.get((i, k), top)} for j, k, p, _ in ends[i * (shards - 1) : (i + 1) * (shards - 1)]]) for i, r in enumerate(of)]
     names = {x: free_name(df, f"_mix_{x}") for x in ("s", "i", "passes", "more", "cut", "last", "ends")}
     kind = "string"
-    table = spark.createDataFrame(table, f"`{names['s']}` {kind}, `{names['i']}` int, mix_source_size long, mix_target double, `{names['passes']}` int, `{names['more']}` boolean, `{names['cut']}` long, `{names['last']}` long, `{names['ends']}` array<struct<p:int,h:long>>")
+    table = small_table(spark, table, f"`{names['s']}` {kind}, `{names['i']}` int, mix_source_size long, mix_target double, `{names['passes']}` int, `{names['more']}` boolean, `{names['cut']}` long, `{names['last']}` long, `{names['ends']}` array<struct<p:int,h:long>>")
     table = table.withColumn(names["s"], F.col(names["s"]).cast(rows.schema["s"].dataType))
     out = keyed.join(F.broadcast(table), keyed[f"`{source_col}`"].eqNullSafe(table[names["s"]]), "left")  # MAX_SOURCES rows at most, held by the driver already
     h, c = F.col(key), {k: F.col(v) for k, v in names.items()}
@@ -134,22 +139,25 @@ def mix_sources(df: DataFrame, source_col: str = "source", size: Column | None =
     full = F.when(c["passes"] > 0, F.transform(F.sequence(F.lit(0), c["passes"] - 1), shard)).otherwise(F.array().cast("array<int>"))
     more = F.when(c["more"] & (c["cut"].isNull() | (h < c["cut"])), F.array(shard(c["passes"]))).otherwise(F.array().cast("array<int>"))
     extra = F.when(h == c["last"], F.array(F.lit(shards - 1))).otherwise(F.array().cast("array<int>"))
-    ws.drop("rows", "starts", "placed")
-    return out.withColumn("mix_copies", F.concat(full, more, extra)).select(*[f"`{x}`" for x in df.columns], *news)
+    ws.drop("keys", "rows", "starts", "placed")
+    out = out.withColumn("mix_copies", F.concat(full, more, extra))
+    out = out.withColumn("mix_order", F.transform("mix_copies", lambda _, k: F.xxhash64(F.lit(seed + 1), k, h)))
+    return out.select(*[f"`{x}`" for x in df.columns], *news)
 
 
 def mixed_rows(df: DataFrame, seed: int = 7, **options) -> DataFrame:
     """The mix itself: a row for each copy, gathered by output shard and shuffled there; the columns of df."""
     out = mix_sources(df, seed=seed, **options)
-    shard, order = free_name(df, "_shard"), free_name(df, "_order")
-    out = out.select(*[f"`{x}`" for x in df.columns], F.posexplode("mix_copies").alias(order, shard))
-    out = out.withColumn(order, F.xxhash64(F.lit(seed + 1), order, row_key(df, seed)))
+    copy, shard, order = (free_name(df, f"_{x}") for x in ("copy", "shard", "order"))
+    out = out.select(*[f"`{x}`" for x in df.columns], F.explode(F.arrays_zip("mix_copies", "mix_order")).alias(copy))
+    out = out.withColumns({shard: F.col(copy)["mix_copies"], order: F.col(copy)["mix_order"]})
     # A shard is dealt to SPREAD partitions, each shuffled locally.
     out = out.repartition(shard, F.pmod(F.col(order), F.lit(SPREAD))).sortWithinPartitions(shard, order)
     return out.select(*[f"`{x}`" for x in df.columns])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's digest of mix_sources over all documents."""
+    """The contract's digest of mix_sources over all documents, with the output shard of each copy that the tree deals
+    and the number that orders the copy there."""
     out = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.size("mix_copies")).alias("taken"))
+    return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.size("mix_copies")).alias("taken"), F.col("mix_copies").alias("shards"), F.col("mix_order").alias("orders"))
