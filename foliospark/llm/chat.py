@@ -6,9 +6,10 @@ back to the turns it was made of."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The template's control strings. None of them holds a backslash.
@@ -27,25 +28,61 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"\\(\\?)", "$1")
 
 
+def running(lengths: Column) -> Column:
+    """For each of an array of numbers, the sum of those before it. Runs of about the square root of the array's length
+    are summed first, so that no long array is copied for each of its elements."""
+    zero = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<long>").alias("before"))
+
+    def sums(xs: Column) -> Column:
+        return F.aggregate(xs, zero, lambda acc, x: F.struct((acc["total"] + F.coalesce(x, F.lit(0))).alias("total"), F.concat(acc["before"], F.array(acc["total"])).alias("before")))
+
+    def cut(xs: Column) -> Column:
+        step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(xs)))).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), step), lambda at: sums(F.slice(xs, at, step)))
+
+    def put_together(runs: Column) -> Column:
+        starts = sums(F.transform(runs, lambda r: r["total"]))["before"]
+        return F.flatten(F.zip_with(runs, starts, lambda r, x: F.transform(r["before"], lambda y: x + y)))
+
+    return bound(bound(lengths, cut), put_together)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(conv_id, formatted string, loss array<struct<start:long,stop:long>>) for each conversation.
 
     Turns are ordered by turn, then role and text (ties), nulls first. Adjacent turns of a role share a block. loss has
     the code-point spans of the escaped texts whose role is in `learn`. Null roles and texts are empty ones; rows with
-    a null conversation id form one conversation; other columns are ignored; an empty table gives an empty one."""
-    rows = df.select(F.col(f"`{conv_col}`").alias("c"), F.col(f"`{turn_col}`").alias("t"), F.coalesce(F.col(f"`{role_col}`").cast("string"), F.lit("")).alias("r"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("x"))
-    order = Window.partitionBy("c").orderBy("t", "r", "x")
-    rows = rows.select("c", "r", "x", F.row_number().over(order).alias("i"), F.lag("r").over(order).alias("before"), F.lead("r").over(order).alias("after"))
-    lead_ = F.when(F.col("before").eqNullSafe(F.col("r")), F.lit(JOIN)).otherwise(F.concat(F.lit(OPEN + HEAD), escape(F.col("r")), F.lit(TEXT)))
-    tail = F.when(F.col("after").eqNullSafe(F.col("r")), F.lit("")).otherwise(F.lit(CLOSE))
-    rows = rows.select("c", "r", "i", lead_.alias("lead"), escape(F.col("x")).alias("body"), tail.alias("tail"))
-    size = F.length("lead") + F.length("body") + F.length("tail")
-    so_far = F.coalesce(F.sum(size).over(Window.partitionBy("c").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("start", so_far + F.length("lead"))
-    turn = F.struct("i", F.concat("lead", "body", "tail").alias("piece"), "start", (F.col("start") + F.length("body")).alias("stop"), F.col("r").isin(*learn).alias("learned"))
-    out = rows.groupBy("c").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    spans = F.transform(F.filter("turns", lambda s: s["learned"]), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
-    return out.select(F.col("c").alias(conv_col), F.array_join(F.transform("turns", lambda s: s["piece"]), "").alias("formatted"), spans.alias("loss"))
+    a null conversation id form one conversation; repeated rows are turns of their own; other columns are ignored
+    whatever their names; an empty table gives an empty one.
+
+    A conversation's turns are collected as structs and sorted; the places where the role changes cut the array into
+    runs, whose texts are joined. Work grows in proportion to a conversation's size, which is one row of the result."""
+    turn = F.struct(F.col(f"`{turn_col}`").alias("t"), F.coalesce(F.col(f"`{role_col}`").cast("string"), F.lit("")).alias("r"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("x"))
+    rows = df.groupBy(F.col(f"`{conv_col}`").alias("c")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    role = lambda i: F.get(F.col("turns"), i)["r"]
+    changes = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (role(i) != role(i - 1)))
+    rows = rows.withColumn("changes", changes)
+    runs = F.arrays_zip(F.col("changes").alias("a"), F.concat(F.slice("changes", 2, F.size("changes")), F.array(F.size("turns"))).alias("b"))
+    run = lambda z: F.struct(role(z["a"]).alias("r"), F.transform(F.slice("turns", z["a"] + 1, z["b"] - z["a"]), lambda s: escape(s["x"])).alias("xs"))
+    rows = rows.withColumn("runs", F.transform(runs, run))
+    block = lambda s: F.struct(F.concat(F.lit(OPEN + HEAD), escape(s["r"]), F.lit(TEXT)).alias("head"), F.array_join(s["xs"], JOIN).alias("body"))
+    rows = rows.withColumn("blocks", F.transform("runs", block))
+    rows = rows.withColumn("starts", running(F.transform("blocks", lambda s: (F.length(s["head"]) + F.length(s["body"]) + len(CLOSE)).cast("long"))))
+    places = F.filter(F.arrays_zip("runs", "blocks", "starts"), lambda z: z["runs"]["r"].isin(*learn))
+
+    def spans(z: Column) -> Column:
+        at = z["starts"] + F.length(z["blocks"]["head"])
+        sizes = F.transform(z["runs"]["xs"], lambda x: F.length(x).cast("long"))
+        place = lambda ns: F.zip_with(ns, running(F.transform(ns, lambda n: n + len(JOIN))), lambda n, o: F.struct((at + o).alias("start"), (at + o + n).alias("stop")))
+        return bound(sizes, place)
+
+    formatted = F.array_join(F.transform("blocks", lambda s: F.concat(s["head"], s["body"], F.lit(CLOSE))), "")
+    return rows.select(F.col("c").alias(conv_col), formatted.alias("formatted"), F.flatten(F.transform(places, spans)).alias("loss"))
 
 
 def read_chats(formatted: Column) -> Column:

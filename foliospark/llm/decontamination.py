@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Edits allowed, as a share of an item's characters.
 ERROR_RATE = 0.06
 #: Items with fewer characters than this are found only without edits and as whole words.
@@ -122,7 +124,11 @@ class Matcher:
                     best[x] = 0, at + len(item)
                 elif (hit := pattern.best(text[lo:hi], k)) and (x not in best or hit[0] < best[x][0]):
                     best[x] = hit[0], lo + hit[1]
-        return [(self.items[x][0], d, e) for x, (d, e) in sorted(best.items())]
+        out: dict[int | None, tuple[int, int]] = {}
+        for x, hit in best.items():
+            i = self.items[x][0]
+            out[i] = min(out.get(i, hit), hit)
+        return [(i, d, e) for i, (d, e) in sorted(out.items(), key=lambda y: (y[0] is None, y[0]))]
 
 
 def _scan(items: list[tuple[int, str]], rate: float, least: int):
@@ -139,6 +145,18 @@ def _scan(items: list[tuple[int, str]], rate: float, least: int):
     return run
 
 
+def item_passes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[int, bool, list[tuple[int | None, str]]]]:
+    """(pass, whether there are several, its items): normalised items of about PASS_CHARS characters in each pass, all
+    texts of one id in the same. One pass is on the driver at a time."""
+    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("t")).where("t is not null")
+    chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
+    passes = max(1, -(-chars // (PASS_CHARS // 2)))
+    for p in range(passes):
+        part = items.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == p) if passes > 1 else items
+        held = [(r["i"], t) for r in part.collect() if (t := normal(r["t"]))]
+        yield p, passes > 1, sorted(held, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+
 def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = ERROR_RATE, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(id, item id, distance, stop) for each row of df and each item whose text it holds with at most
     int(error_rate * length) edits: the least distance, and the character of the normalised text where the first such
@@ -146,17 +164,13 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
     The items are gathered in passes of at most PASS_CHARS characters each, however large the benchmark is; there is
     no shuffle of documents. Null or empty texts and items match nothing; items of fewer than `least_chars` characters
-    match without edits and as whole words only. Items with equal ids are separate patterns; the better one is reported. Repeated rows are reported as
-    often as they occur; rows with a null id are reported with a null id."""
-    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").alias("t")).where("t is not null")
-    chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    passes = max(1, -(-chars // (PASS_CHARS // 2)))
+    match without edits and as whole words only. Items with equal ids (or null ids) are separate patterns, of which the best match is
+    reported. Ties go to the first end. Repeated rows are reported as often as they occur; other columns are ignored; rows with a null id are reported with a null id."""
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    found = []
-    for p in range(passes):
-        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == p) if passes > 1 else items
-        held = [(r["i"], t) for r in part.collect() if (t := normal(r["t"]))]
-        found.append(rows.mapInArrow(_scan(sorted(held, key=lambda x: (x[0] is None, x)), error_rate, least_chars), "id long, item long, distance long, stop long"))
+    found, ws = [], Scratch(df.sparkSession, "items")
+    for p, more, held in item_passes(benchmark, item_col, item_text_col):
+        part = rows.mapInArrow(_scan(held, error_rate, least_chars), "id long, item long, distance long, stop long")
+        found.append(ws.save(part, f"pass-{p}") if more else part)
     out = reduce(DataFrame.unionAll, found)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "distance", "stop")
 
@@ -166,9 +180,6 @@ def clean_documents(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
     word, takes all rows that hold it as whole words."""
     rate, least = options.pop("error_rate", ERROR_RATE), options.pop("least_chars", LEAST_CHARS)
     item_col, item_text = options.pop("item_col", "item_id"), options.pop("item_text_col", "text")
-    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t is not null")
-    chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    passes = max(1, -(-chars // (PASS_CHARS // 2)))
     at = df.columns.index(text_col)
 
     def keep(held: list[tuple[int, str]]):
@@ -179,10 +190,12 @@ def clean_documents(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         return run
 
-    for p in range(passes):
-        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == p) if passes > 1 else items
-        held = [(r["i"], t) for r in part.collect() if (t := normal(r["t"]))]
+    ws = Scratch(df.sparkSession, "clean")
+    for p, more, held in item_passes(benchmark, item_col, item_text):
         df = df.mapInArrow(keep(held), df.schema)
+        if more:  # a task never holds two passes' automata
+            df = ws.save(df, f"pass-{p}")
+            ws.drop(f"pass-{p - 1}")
     return df
 
 
