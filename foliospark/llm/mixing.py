@@ -125,10 +125,10 @@ def mix_sources(df: DataFrame, source_col: str = "source", size: Column | None =
     at_rank = part.select("i", "rank", "h").join(F.broadcast(bounds), ["i", "rank"])
     held = {(r["i"], r["k"]): r["h"] for r in at_rank.select("i", "k", "h").collect()}  # shards x sources at most
     top = (1 << 63) - 1
-    table = [(text(r["s"]), i, int(r["words"]), float(goal[i]), passes[i], rest[i] > 0, cut[i]["at"]["h"] if rest[i] > 0 and cut[i]["m"] is not None else None, last[i]["h"] if i in last else None, [{"p": p, "h": held.get((i, k), top)} for j, k, p, _ in ends[i * (shards - 1) : (i + 1) * (shards - 1)]]) for i, r in enumerate(of)]
-    names = {x: free_name(df, f"_mix_{x}") for x in ("s", "i", "passes", "more", "cut", "last", "ends")}
+    table = [(text(r["s"]), i, int(r["words"]), float(goal[i]), passes[i], rest[i] > 0, cut[i]["at"]["h"] if rest[i] > 0 and cut[i]["m"] is not None else None, last[i]["h"] if i in last else None, max((k for k in range(shards) if tree[k][i]), default=0), [{"p": p, "h": held.get((i, k), top)} for j, k, p, _ in ends[i * (shards - 1) : (i + 1) * (shards - 1)]]) for i, r in enumerate(of)]
+    names = {x: free_name(df, f"_mix_{x}") for x in ("s", "i", "passes", "more", "cut", "last", "final", "ends")}
     kind = "string"
-    table = small_table(spark, table, f"`{names['s']}` {kind}, `{names['i']}` int, mix_source_size long, mix_target double, `{names['passes']}` int, `{names['more']}` boolean, `{names['cut']}` long, `{names['last']}` long, `{names['ends']}` array<struct<p:int,h:long>>")
+    table = small_table(spark, table, f"`{names['s']}` {kind}, `{names['i']}` int, mix_source_size long, mix_target double, `{names['passes']}` int, `{names['more']}` boolean, `{names['cut']}` long, `{names['last']}` long, `{names['final']}` int, `{names['ends']}` array<struct<p:int,h:long>>")
     table = table.withColumn(names["s"], F.col(names["s"]).cast(rows.schema["s"].dataType))
     out = keyed.join(F.broadcast(table), keyed[f"`{source_col}`"].eqNullSafe(table[names["s"]]), "left")  # MAX_SOURCES rows at most, held by the driver already
     h, c = F.col(key), {k: F.col(v) for k, v in names.items()}
@@ -138,7 +138,7 @@ def mix_sources(df: DataFrame, source_col: str = "source", size: Column | None =
 
     full = F.when(c["passes"] > 0, F.transform(F.sequence(F.lit(0), c["passes"] - 1), shard)).otherwise(F.array().cast("array<int>"))
     more = F.when(c["more"] & (c["cut"].isNull() | (h < c["cut"])), F.array(shard(c["passes"]))).otherwise(F.array().cast("array<int>"))
-    extra = F.when(h == c["last"], F.array(F.lit(shards - 1))).otherwise(F.array().cast("array<int>"))
+    extra = F.when(h == c["last"], F.array(c["final"])).otherwise(F.array().cast("array<int>"))
     ws.drop("keys", "rows", "starts", "placed")
     out = out.withColumn("mix_copies", F.concat(full, more, extra))
     out = out.withColumn("mix_order", F.transform("mix_copies", lambda _, k: F.xxhash64(F.lit(seed + 1), k, h)))

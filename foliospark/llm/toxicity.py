@@ -1,11 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is cut into clauses. A lexical transducer maps each word to a symbol: insult (with a weight), threat, target,
-negation, report, quotation mark or other. A clause transducer, the product of the scopes of negation and of reported speech
-with what was aimed at whom, reads the symbols and adds up the weight of insults that are asserted, negated or
-reported, of those in a clause with a target, and threats against a target. Only the last two need a match within a
-clause: an insult word adds to the asserted weight, and to the strongest, without a target too. The transducers aren't
-composed; one loop runs both. The weights of insult patterns (words and word beginnings) and of the sums are learned."""
+A lexical transducer maps each word of a text to a symbol, with a weight if it is an insult; sentence ends, line ends and
+quotation marks are symbols too. Five transducers, each a table of arcs over such symbols, follow: negation (marks what
+its scope reaches), reported speech (marks what is quoted, over several sentences too, or said by others), insult and
+threat (name what is left of them) and target (closes a clause as aimed at somebody or not). They are composed once
+into one table, which is run over a text. Its outputs say of each insult whether it is asserted, negated or reported,
+and of each clause whether it is aimed; a clause with a target and an asserted insult or threat is a full match. What
+insults weigh (words and word beginnings), and what a clause counts without a target, is learned."""
 
 from __future__ import annotations
 
@@ -14,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,6 @@ from .common import Scratch, free_name
 
 #: Labelled rows that the grammar is learned from: all of them up to this many, beyond that a random part of about this size.
 MAX_LABELLED = 12_000
-#: Insult patterns kept at most, those with the best evidence first.
-MAX_PATTERNS = 20_000
 #: Words that negation reaches over.
 NEGATION_SCOPE = 3
 #: Lengths of word beginnings that are tried as patterns.
@@ -42,12 +42,102 @@ TARGET = frozenset("you your yours yourself u he she they them him her his their
 THREAT = frozenset("kill killed murder hurt destroy shoot stab beat burn hang töten töte umbringen schlagen tuer tuerai frapper détruire brûler matar mataré golpear destruir quemar".split())
 
 _WORD = re.compile(r"\w+|[\"“”„«»]")
-_CLAUSE = re.compile(r"[.!?;\n]+")
+_TOKEN = re.compile(r"\w+|[\"“”„«»]|[.!?;]+|\n+")
 _QUOTES = frozenset("\"“”„«»")
 FEATURES = ("asserted", "negated", "reported", "targeted", "threats", "strongest", "length", "one")
 #: Where the fit starts from and is drawn to: what each sum is worth without data.
 PRIOR = np.array([1.0, 0.3, 0.3, 0.4, 1.5, 0.8, -0.5, -4.0])
 
+# Input symbols: other word, negation, reporting word, target, threat, insult, quotation mark, sentence end, line end.
+OTHER, NOT, SAYS, WHOM, DANGER, INSULT, QUOTE, STOP, LINE = "other", "not", "says", "whom", "danger", "insult", "quote", "stop", "line"
+SYMBOLS = (OTHER, NOT, SAYS, WHOM, DANGER, INSULT, QUOTE, STOP, LINE)
+# What negation and reported speech make of an insult or a threat, and what comes out at last.
+DENIED, TOLD = "denied ", "told "
+OUT = (OTHER, "asserted", "negated", "reported", "threat", "aimed", "unaimed")
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A deterministic transducer: arcs[state, input symbol] = (next state, output symbol)."""
+
+    start: object
+    arcs: dict[tuple[object, str], tuple[object, str]]
+
+    def __matmul__(self, then: Transducer) -> Transducer:
+        """Composition: what self puts out goes into `then`; only states that can be reached are kept."""
+        inputs: dict[object, list[str]] = {}
+        for state, x in self.arcs:
+            inputs.setdefault(state, []).append(x)
+        start, arcs = (self.start, then.start), {}
+        todo, seen = [start], {start}
+        while todo:
+            a, b = todo.pop()
+            for x in inputs[a]:
+                a2, middle = self.arcs[a, x]
+                b2, out = then.arcs[b, middle]
+                arcs[(a, b), x] = (a2, b2), out
+                if (a2, b2) not in seen:
+                    seen.add((a2, b2))
+                    todo.append((a2, b2))
+        return Transducer(start, arcs)
+
+
+def negation(scope: int) -> Transducer:
+    """States: words that a negation still reaches over. A sentence's end ends it."""
+    arcs = {}
+    for left in range(scope + 1):
+        for x in SYMBOLS:
+            to = scope if x == NOT else 0 if x in (STOP, LINE) else left if x == QUOTE else max(0, left - 1)
+            arcs[left, x] = to, DENIED + x if left and x in (INSULT, DANGER) else x
+    return Transducer(0, arcs)
+
+
+def reported() -> Transducer:
+    """States: whether a quotation is open, and whether somebody was said to speak in this clause. A quotation goes on
+    over sentences, to its closing mark or the end of the line."""
+    arcs = {}
+    for quoted in (False, True):
+        for told in (False, True):
+            for x in (*SYMBOLS, DENIED + INSULT, DENIED + DANGER):
+                to = (quoted != (x == QUOTE) and x != LINE, (told or x == SAYS) and x not in (STOP, LINE))
+                arcs[(quoted, told), x] = to, TOLD + x.removeprefix(DENIED) if (quoted or told) and x.endswith((INSULT, DANGER)) else x
+    return Transducer((False, False), arcs)
+
+
+def insult() -> Transducer:
+    named = {INSULT: "asserted", DENIED + INSULT: "negated", TOLD + INSULT: "reported"}
+    return Transducer(0, {(0, x): (0, named.get(x, x)) for x in (*SYMBOLS, *named, DENIED + DANGER, TOLD + DANGER)})
+
+
+def threat() -> Transducer:
+    """Only threats that are neither denied nor reported are left."""
+    named = {DANGER: "threat", DENIED + DANGER: OTHER, TOLD + DANGER: OTHER}
+    return Transducer(0, {(0, x): (0, named.get(x, x)) for x in (*SYMBOLS, *named, "asserted", "negated", "reported")})
+
+
+def target() -> Transducer:
+    """State: whether the clause has named somebody. A clause's end is put out as aimed or unaimed."""
+    arcs = {}
+    for named in (False, True):
+        for x in SYMBOLS:
+            arcs[named, x] = (False, "aimed" if named else "unaimed") if x in (STOP, LINE) else (named or x == WHOM, OTHER)
+        arcs |= {(named, x): (named, x) for x in ("asserted", "negated", "reported", "threat")}
+    return Transducer(False, arcs)
+
+
+@cache
+def compiled() -> tuple[list[list[int]], list[list[int]], int]:
+    """(next state, output) by state and input symbol of the five composed, and the first state, as numbers."""
+    whole = negation(NEGATION_SCOPE) @ reported() @ insult() @ threat() @ target()
+    number: dict[object, int] = {}
+    for state, _ in whole.arcs:
+        number.setdefault(state, len(number))
+    to, out = ([[0] * len(SYMBOLS) for _ in number] for _ in range(2))
+    for (state, x), (state2, y) in whole.arcs.items():
+        to[number[state]][SYMBOLS.index(x)] = number[state2]
+        out[number[state]][SYMBOLS.index(x)] = OUT.index(y)
+    return to, out, number[whole.start]
+
 
 @dataclass
 class Grammar:
@@ -57,62 +147,59 @@ class Grammar:
     weights: list[float] = field(default_factory=lambda: PRIOR.tolist())
 
     def __post_init__(self) -> None:
-        self.known: dict[str, float] = {}
+        self.known: dict[str, tuple[int, float]] = {}
 
-    def weight(self, word: str) -> float:
-        """The lexical transducer's weight of a word as an insult: that of the word, or of its longest known beginning."""
-        w = self.known.get(word)
-        if w is None:
+    def symbol(self, word: str) -> tuple[int, float]:
+        """The lexical transducer: a token's symbol, and its weight as an insult (of the word, or its longest known beginning)."""
+        got = self.known.get(word)
+        if got is None:
             w = self.patterns.get(word)
             if w is None:
                 w = next((x for n in reversed(BEGINNINGS) if len(word) > n and (x := self.patterns.get(word[:n] + "*")) is not None), 0.0)
-            if len(self.known) < 200_000:
-                self.known[word] = w
-        return w
-
-    def clause(self, words: list[str]) -> tuple[float, float, float, float, int, float]:
-        """The clause transducer: sums over one path through its states (negation left, reported, quoted)."""
-        left, reported, quoted, target, threats = 0, False, False, False, 0
-        said, sums, strongest = False, [0.0, 0.0, 0.0], 0.0
-        for w in words:
-            if w in _QUOTES:
-                quoted = not quoted
-                continue
-            if w in NEGATION:
-                left = NEGATION_SCOPE + 1
-            elif w in REPORT:
-                said = True
-            elif w in TARGET:
-                target = True
-            x = self.weight(w)
-            reported = said or quoted
-            if x > 0:
-                sums[2 if reported else 1 if left > 0 else 0] += x
-                strongest = max(strongest, x)
-            if w in THREAT and not reported and left <= 0:
-                threats += 1
-            left -= 1
-        total = sum(sums)
-        return sums[0], sums[1], sums[2], total if target else 0.0, threats if target else 0, strongest
+            kind = QUOTE if word in _QUOTES else LINE if word[0] == "\n" else STOP if word[0] in ".!?;" else DANGER if word in THREAT else INSULT if w > 0 else NOT if word in NEGATION else SAYS if word in REPORT else WHOM if word in TARGET else OTHER
+            got = SYMBOLS.index(kind), w
+            if len(self.known) < 100_000:
+                self.known[word] = got
+        return got
 
     def features(self, text: str | None) -> list[float]:
-        text = text.lower() if text else ""
-        words = _WORD.findall(text)
-        sums = [0.0] * 5
-        strongest = 0.0
-        if any(self.weight(w) > 0 or w in THREAT for w in words):
-            for part in _CLAUSE.split(text):
-                got = self.clause(_WORD.findall(part))
-                for i in range(5):
-                    sums[i] += got[i]
-                strongest = max(strongest, got[5])
-        return [*(math.log1p(x) for x in sums), strongest, math.log1p(len(words)) / 5, 1.0]
+        """Sums over clauses: asserted, negated and reported insults, all of aimed clauses, threats of aimed clauses;
+        the strongest insult; the text's length."""
+        tokens = _TOKEN.findall(text.lower()) if text else []
+        symbols = [*map(self.symbol, tokens), (SYMBOLS.index(LINE), 0.0)]
+        sums, strongest = [0.0] * 5, 0.0
+        if any(x > 0 or s == _DANGER for s, x in symbols):
+            to, out, state = compiled()
+            weight, threats = 0.0, 0
+            for s, x in symbols:
+                y, state = out[state][s], to[state][s]
+                if not y:
+                    continue
+                if y <= 3:  # asserted, negated, reported
+                    sums[y - 1] += x
+                    weight += x
+                    strongest = max(strongest, x)
+                elif y == 4:  # a threat, perhaps with an insult's weight
+                    threats += 1
+                    sums[0] += x
+                    weight += x
+                    strongest = max(strongest, x)
+                else:
+                    if y == 5:
+                        sums[3] += weight
+                        sums[4] += threats
+                    weight, threats = 0.0, 0
+        words = sum(s < _QUOTE for s, _ in symbols)
+        return [*(math.log1p(x) for x in sums), strongest, math.log1p(words) / 5, 1.0]
 
     def score(self, text: str | None) -> float:
         z = sum(a * b for a, b in zip(self.weights, self.features(text), strict=True))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
+_DANGER, _QUOTE = SYMBOLS.index(DANGER), SYMBOLS.index(QUOTE)
+
+
 def _patterns(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
 
@@ -207,7 +294,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lexical = rows.where("fold > 0")
     near = lexical.where("y > 0").select("text").mapInArrow(_contexts, "pattern string, near long").distinct()
     toxic = near.groupBy("pattern").count()
-    p = {r[0]: r[1] for r in toxic.where(F.col("count") >= LEAST_CONTEXTS).orderBy(F.desc("count"), "pattern").limit(200_000).collect()}
+    p = {r[0]: r[1] for r in toxic.where(F.col("count") >= LEAST_CONTEXTS).collect()}  # of MAX_LABELLED texts at most
     clean = lexical.where("y = 0").select("text").mapInArrow(_clean_counts(frozenset(p)), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     c = {r[0]: r[1] for r in clean.collect()}
     all_c, all_p = max(1, c.pop("\n", 0)), max(1, sum(x for k, x in p.items() if not k.endswith("*")))
@@ -220,14 +307,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             if ratio >= LEAST_RATIO and a + 0.5 >= LEAST_ODDS * (b + 0.5):
                 found.append((ratio, k, math.log((a + 0.5) / (b + 0.5))))
     found.sort(key=lambda x: (-x[0], x[1]))
-    patterns = {k: w for _, k, w in found[:MAX_PATTERNS]}
+    patterns = {k: w for _, k, w in found}
     seen = rows.where("fold = 0").select("text", "y").mapInArrow(_features(patterns), "f array<double>, y int").collect()
     ws.drop("rows")
     return Grammar(patterns, fit([(r["f"], min(1, r["y"])) for r in seen]))
 
 
 def score_toxicity(df: DataFrame, grammar: Grammar, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
-    """df with a score from 0 to 1 for each whole text (null and empty texts too); a column of that name is replaced."""
+    """df with a score from 0 to 1 for each whole text (null and empty texts too); a column of that name is replaced.
+    A row's score depends on its text alone, so repeated rows have one score and ties stay ties."""
     df = df.drop(*[c for c in df.columns if c.lower() == score_col.lower()])
     at, schema = df.columns.index(text_col), T.StructType([*df.schema.fields, T.StructField(score_col, T.DoubleType())])
     patterns, weights = grammar.patterns, grammar.weights
