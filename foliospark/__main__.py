@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import functools
 
 from .plans import jobs
 from .session import get_session
+from .sources import providers
 
 TEMPLATE = "Read the page and answer in YAML."
 
@@ -16,6 +18,8 @@ def main(args: list[str] | None = None) -> None:
     for name, takes in {
         "make-tests": ("html", "out"), "evaluate": ("tests", "texts"), "sft": ("images", "out", "--html", "--yaml"), "rl": ("tests", "images", "out"),
         "html-to-yaml": ("html", "out"), "yaml-to-html": ("yaml", "out"), "translate": ("yaml", "out"), "linearize": ("results", "out"), "log": ("log",),
+        "count-pages": ("pdfs", "out"), "sample": ("counts", "target", "out"), "balance": ("counts", "cap", "out"), "coverage": ("counts", "done", "--log"),
+        "generate": ("requests", "out", "--url", "--model", "--token"), "run-all": ("requests", "out", "--url", "--model", "--token"), "render": ("html", "out"),
     }.items():
         job = sub.add_parser(name)
         for x in takes:
@@ -40,6 +44,28 @@ def main(args: list[str] | None = None) -> None:
         jobs.translate(spark, a.yaml, a.out).show(truncate=False)
     elif a.job == "linearize":
         jobs.linearize(spark, a.results, a.out)
+    elif a.job == "count-pages":
+        jobs.count_pages(spark, a.pdfs).write.parquet(a.out)
+    elif a.job == "sample":
+        jobs.sample_documents(spark.read.parquet(a.counts), int(a.target)).write.parquet(a.out)
+    elif a.job == "balance":
+        counts = spark.read.parquet(a.counts)
+        caps = {r[0]: int(a.cap) for r in counts.select("folder").distinct().collect()}
+        jobs.sampling.balanced(counts, caps, "folder", "pdf_name").write.parquet(a.out)
+    elif a.job == "coverage":
+        log = jobs.progress.parse_log(jobs.readers.read_log(spark, a.log)) if a.log else None
+        jobs.coverage_report(spark.read.parquet(a.counts), spark.read.parquet(a.done), log).show(truncate=False)
+    elif a.job in ("generate", "run-all"):
+        requests = spark.read.parquet(a.requests)
+        source = functools.partial(providers.Endpoint, a.url, a.model, a.token or "") if a.url else providers.Stub
+        if a.job == "generate":
+            good, bad = jobs.generate(requests, [], TEMPLATE, a.out, source, providers.Policy(staggered=bool(a.url)))
+            print(good.count(), "pages,", bad.count(), "failed")
+        else:
+            jobs.run_all(spark, requests, TEMPLATE, a.out, source).show()
+    elif a.job == "render":
+        pages = jobs.readers.read_html(spark, a.html).selectExpr("stem", "html", "cast(null as int) width", "cast(null as int) height")
+        jobs.render.render_manifest(jobs.render.render_pages(pages), a.out).groupBy("error").count().show()
     else:
         jobs.log_report(spark, a.log).show(truncate=False)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,27 +37,32 @@ def sellers(text: str, pattern: str, k: int) -> bool:
     return False
 
 
+def edit_distance(a: Column, b: Column) -> Column:
+    """Insertions, deletions and replacements that make one text the other; null if one is null."""
+    return F.levenshtein(a, b)
+
+
 @F.pandas_udf(T.BooleanType())
 def within_edits(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for text, pattern, k in batches:
         yield pd.Series([None if a is None or b is None else sellers(a, b, int(n or 0)) for a, b, n in zip(text, pattern, k, strict=True)], dtype="boolean")
 
 
-def exact(text: Column, needle: Column) -> Column:
-    """Whether the normalised needle occurs in the normalised text."""
-    return F.contains(normalize_text(text), normalize_text(needle))
+def exact(text: Column, needle: Column, normal: Column | None = None) -> Column:
+    """Whether the normalised needle occurs in the normalised text (`normal`, where that is there already)."""
+    return F.contains(normalize_text(text) if normal is None else normal, normalize_text(needle))
 
 
-def in_order(text: Column, before: Column, after: Column) -> Column:
+def in_order(text: Column, before: Column, after: Column, normal: Column | None = None) -> Column:
     """Whether both occur and the first starts strictly before the second does (first occurrences)."""
-    h = normalize_text(text)
+    h = normalize_text(text) if normal is None else normal
     a, b = F.position(normalize_text(before), h), F.position(normalize_text(after), h)
     return (a > 0) & (b > 0) & (a < b)
 
 
-def cell_near(text: Column, cell: Column, up: Column, down: Column, left: Column, right: Column, heading: Column) -> Column:
+def cell_near(text: Column, cell: Column, up: Column, down: Column, left: Column, right: Column, heading: Column, normal: Column | None = None) -> Column:
     """Whether a cell occurs, what is above, left or its heading occurs no later, and what is below or right no earlier."""
-    h = normalize_text(text)
+    h = normalize_text(text) if normal is None else normal
     at = lambda c: F.position(normalize_text(c), h)
     c, ok = at(cell), F.lit(True)
     for x in (up, left, heading):
@@ -71,12 +76,9 @@ def formula(text: Column, latex: Column) -> Column:
     return F.contains(squeeze(text), squeeze(latex))
 
 
-def fuzzy_contains(df: DataFrame, text: Column, needle: Column, k: Column, out_col: str = "found") -> DataFrame:
-    """df with whether the needle occurs with at most k edits. Two tiers: what exact search decides (found, k of 0, an
-    empty text) never reaches Python; only the rest is searched in Arrow batches."""
-    h, n = normalize_text(text), normalize_text(needle)
-    staged = df.withColumn("_h", h).withColumn("_n", n).withColumn("_k", F.coalesce(k, F.lit(0))).withColumn("_exact", F.contains("_h", F.col("_n")))
-    open_ = ~F.col("_exact") & (F.col("_k") > 0) & (F.length("_h") > 0)
-    done = staged.where(~F.coalesce(open_, F.lit(False))).withColumn(out_col, F.col("_exact"))
-    rest = staged.where(open_).withColumn(out_col, within_edits("_h", "_n", "_k"))
-    return done.unionByName(rest).drop("_h", "_n", "_k", "_exact")
+def fuzzy_contains(text: Column, needle: Column, k: Column, normal: Column | None = None) -> Column:
+    """Whether the normalised needle occurs with at most k edits. What exact search decides (found, k of 0, an empty
+    text) reaches the search with edits as nulls only."""
+    h, n = normalize_text(text) if normal is None else normal, normalize_text(needle)
+    open_ = ~F.contains(h, n) & (F.coalesce(k, F.lit(0)) > 0) & (F.length(h) > 0)
+    return F.coalesce(within_edits(F.when(open_, h), F.when(open_, n), k), F.contains(h, n))

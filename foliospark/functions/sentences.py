@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,25 +9,35 @@ from .text import WS, is_blank, strip
 
 # Abbreviations whose full stop doesn't end a sentence; they match anywhere, inside words too.
 ABBREVIATIONS = ("Mr.", "Mrs.", "Ms.", "Dr.", "Hon.", "No.", "vs.", "Ltd.", "Inc.", "Jr.", "Sr.", "Vol.", "Art.", "Sec.", "Para.", "v.", "pp.", "Fig.", "approx.", "est.", "etc.", "Ors.", "Anr.", "Govt.", "Pvt.", "Assn.", "Commr.", "Admn.", "Crl.", "Cr.", "Dist.", "Ref.", "e.g.", "i.e.")
-#: Stands before what is protected, so that no sentence is taken to begin there; and for its full stop.
-MARK, DOT = "\ue000", "\ue001"
+#: A full stop that doesn't end a sentence.
+DOT = "\ue001"
+
+_ONE = "|".join(a[:-1] for a in ABBREVIATIONS if a.count(".") == 1)
+#: Full stops of abbreviations, of single capitals and of `p.` before a number. Each begins with the full stop and looks
+#: back from there, so that other characters are passed over at once.
+_INNER = (
+    rf"(?<=(?:{_ONE})\.)",
+    r"(?<=e\.)(?=g\.)|(?<=e\.g\.)|(?<=i\.)(?=e\.(?!g\.))|(?<=i\.e\.)",
+    rf"(?<=(?:^|{WS}|[\"'(,])[A-Z]\.)",
+    rf"(?<=(?<![\p{{L}}\p{{N}}_])p\.)(?={WS}*\d)",
+)
+#: Names with such a full stop don't begin a sentence.
+_NAME = rf"(?:{_ONE}|[A-Z]){DOT}"
 
 
 def protect(c: Column) -> Column:
-    """Full stops of abbreviations, of single capitals and of `p.` before a number become DOT, with MARK before the word."""
-    out = reduce(lambda x, a: F.replace(x, F.lit(a), F.lit(MARK + a.replace(".", DOT))), ABBREVIATIONS, c)
-    out = F.regexp_replace(out, rf"(^|{WS}|[\"'(,])([A-Z])\.", f"$1{MARK}$2{DOT}")
-    return F.regexp_replace(out, rf"(?<![\p{{L}}\p{{N}}_])p\.({WS}*)(?=\d)", f"{MARK}p{DOT}$1")
+    """The text with DOT for those full stops."""
+    return F.regexp_replace(c, rf"\.(?:{'|'.join(_INNER)})", DOT)
 
 
 def restore(c: Column) -> Column:
-    return F.replace(F.replace(c, F.lit(MARK), F.lit("")), F.lit(DOT), F.lit("."))
+    return F.replace(c, F.lit(DOT), F.lit("."))
 
 
 def split_sentences(c: Column) -> Column:
     """array<string> of the sentences of a text: split at white space after . ! ? and before an ASCII capital, a double
     quote or an opening bracket. Blank texts, null and the word null have none."""
-    parts = F.split(protect(c), rf"(?<=[.!?]){WS}+(?=[A-Z\"(])")
+    parts = F.split(protect(c), rf"(?<=[.!?]){WS}+(?=[A-Z\"(])(?!{_NAME})")
     done = F.filter(F.transform(parts, lambda p: strip(restore(p))), lambda p: p != "")
     return F.when(is_blank(c), F.array().cast("array<string>")).otherwise(done)
 

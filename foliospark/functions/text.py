@@ -8,24 +8,27 @@ from pyspark.sql import functions as F
 #: White space as Python's str.strip and re see it (fixed values).
 SPACES = r" \t\n\x0B\f\r\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WS = f"[{SPACES}]"
+#: The same as plain characters, and what a run of white space needs to be more than one space.
+_CHARS = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+_RUN = f" {{2}}{WS}*| ?[{SPACES[1:]}]{WS}*"
 
 
 def strip(c: Column) -> Column:
     """Unicode white space off both ends."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+\\z", "")
+    return F.btrim(c, F.lit(_CHARS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"{WS}+\\z", "")
+    return F.rtrim(c, F.lit(_CHARS))
 
 
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+", "")
+    return F.ltrim(c, F.lit(_CHARS))
 
 
 def normalize_text(c: Column) -> Column:
     """Lower case, ends stripped, white space runs as one space. Punctuation stays."""
-    return F.regexp_replace(strip(F.lower(c)), f"{WS}+", " ")
+    return F.regexp_replace(strip(F.lower(c)), _RUN, " ")
 
 
 def squeeze(c: Column) -> Column:
@@ -95,7 +98,7 @@ def build_prompt(anchor: Column, template: str) -> Column:
 
 def is_blank(c: Column) -> Column:
     """Null, empty, or the word null."""
-    return c.isNull() | (c == "") | (F.lower(strip(c)) == "null")
+    return c.isNull() | (c == "") | c.rlike(rf"(?i)\A{WS}*null{WS}*\z")
 
 
 def scanned_page(anchor: Column, elements_only: bool = True) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import textwrap
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +14,8 @@ from ..schemas import schema
 from .text import strip
 
 RESPONSE = "primary_language string, is_rotation_valid boolean, rotation_correction int, is_table boolean, is_diagram boolean, natural_text string"
+# A record's fields.
+_TEXT = "natural_text"
 FIELDS = ("primary_language", "is_rotation_valid", "rotation_correction", "is_table", "is_diagram")
 
 
@@ -38,14 +39,20 @@ def natural_text_of(c: Column) -> Column:
     return F.when(found, strip(F.regexp_replace(block, r"(?m)^  ", ""))).otherwise(strip(c))
 
 
+# Fixed value: how an answer fences its record.
+_FENCED = r"(?s)```(?:yaml)?\s*\n(.*?)```"
+
+
 def yaml_of_completion(c: Column) -> Column:
     """The record in a model's answer: without <think> blocks, a fenced block that names natural_text, else everything
     from primary_language: on, else null."""
-    x = strip(F.regexp_replace(strip(c), r"(?s)<think>.*?</think>", ""))
-    fenced = strip(F.regexp_extract(x, r"(?s)```(?:yaml)?\s*\n(.*?)```", 1))
-    start = F.instr(x, "primary_language:")
-    rest = strip(F.regexp_replace(strip(F.substring(x, start, F.length(x))), r"```$", ""))
-    return F.when(F.contains(fenced, F.lit("natural_text:")), fenced).when((start > 0) & F.contains(x, F.lit("natural_text:")), rest)
+    said = strip(F.regexp_replace(strip(c), r"(?s)<think>.*?</think>", ""))
+    names_text = lambda x: F.contains(x, F.lit("natural_text:"))
+    after = F.get(F.split(said, "primary_language:", 2), F.lit(1))  # null where it isn't named
+    tail = strip(F.concat(F.lit("primary_language:"), after))
+    record = F.when(F.endswith(tail, F.lit("```")), strip(F.left(tail, F.length(tail) - 3))).otherwise(tail)
+    candidates = F.array(strip(F.regexp_extract(said, _FENCED, 1)), F.when(names_text(said), record))
+    return F.when(names_text(F.get(candidates, F.lit(0))), F.get(candidates, F.lit(0))).otherwise(F.get(candidates, F.lit(1)))
 
 
 def valid_page(c: Column) -> Column:
@@ -53,11 +60,12 @@ def valid_page(c: Column) -> Column:
     return c.isNotNull() & F.contains(c, F.lit("natural_text:"))
 
 
-class _Loader(yaml.SafeLoader):
-    """YAML whose bare words stay strings where they name a language (`no` isn't false)."""
+#: The C loader is some ten times faster where it was built in.
+_Loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 
 
 def _load(raw: str) -> object:
+    """A bare word that names a language stays a string (`no` isn't false)."""
     parsed = yaml.load(raw, _Loader)  # noqa: S506  a safe loader
     if isinstance(parsed, dict) and isinstance(parsed.get("primary_language"), bool):
         named = re.search(r"(?m)^primary_language:[ \t]*(\S+)", raw)
@@ -100,6 +108,32 @@ def parse_answer(raw: str | None) -> tuple:
     return None, True, 0, False, False, raw
 
 
+def _scan(raw: str) -> dict:
+    """What a broken page still says: its lines are read one by one, as a field, as part of the open text block, or as noise."""
+    said: dict[str, str] = {}
+    block: list[str] | None = None
+    lines = iter(raw.split("\n"))
+    for line in lines:
+        name, colon, value = line.partition(":")
+        if block is not None and line[:2] == "  " and len(line) > 2:
+            block.append(line)
+        elif block is not None:  # the block is over; a second one isn't read
+            said.setdefault(_TEXT, _left_aligned(block))
+            block = None
+        if colon and name in FIELDS and value.strip():
+            said.setdefault(name, value.strip())
+        elif colon and name == _TEXT and value.strip() == "|" and _TEXT not in said:
+            block = []
+    if block is not None:
+        said.setdefault(_TEXT, _left_aligned(block))
+    return said
+
+
+def _left_aligned(lines: list[str]) -> str:
+    least = min((len(x) - len(x.lstrip()) for x in lines if x.strip()), default=0)
+    return "\n".join(x[least:] if x.strip() else "" for x in lines).strip()
+
+
 def parse_page(raw: str | None) -> tuple:
     """A stored page: YAML, or where that is broken the fields line by line and the text block; (fields, error)."""
     if raw is None or not raw.strip():
@@ -107,10 +141,7 @@ def parse_page(raw: str | None) -> tuple:
     try:
         parsed = _load(raw)
     except (yaml.YAMLError, ValueError, RecursionError):
-        parsed = {k: m[1].strip() for k in FIELDS if (m := re.search(rf"^{k}:\s*(.+)$", raw, re.MULTILINE))}
-        block = re.search(r"natural_text:\s*\|\n((?:  .+\n?)*)", raw)
-        if block:
-            parsed["natural_text"] = textwrap.dedent(block[1]).strip()
+        parsed = _scan(raw)
     if not isinstance(parsed, dict):
         return (*(None,) * 6, "not a record")
     return (*_record(parsed), None)

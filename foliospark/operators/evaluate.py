@@ -7,48 +7,55 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.match import cell_near, exact, formula, fuzzy_contains, in_order
+from ..functions.match import cell_near, exact, formula, in_order, within_edits
+from ..functions.text import normalize_text, strip_pdf
 from ..schemas import PAGE_TEST
 
-#: Column that a type can't do without, and its evaluator; add to it to support another type.
-EVALUATORS: dict[str, tuple[tuple[str, ...], Callable[[Column], Column]]] = {
-    "text_presence": (("text",), lambda ocr: exact(ocr, F.col("text"))),
-    "text_absence": (("text",), lambda ocr: ~exact(ocr, F.col("text"))),
-    "table": (("cell",), lambda ocr: cell_near(ocr, *[F.col(c) for c in ("cell", "up", "down", "left", "right", "top_heading")])),
-    "order": (("before", "after"), lambda ocr: in_order(ocr, F.col("before"), F.col("after"))),
-    "math": (("latex",), lambda ocr: formula(ocr, F.col("latex"))),
-    "formatting": (("text",), lambda ocr: exact(ocr, F.col("text"))),
+#: A text's normalised form, made once for a page before its tests are joined to it.
+NORMAL = "ocr_normal"
+#: Column that a type can't do without, and its evaluator of the text and its normalised form; add to it to support another type.
+EVALUATORS: dict[str, tuple[tuple[str, ...], Callable[[Column, Column], Column]]] = {
+    "text_presence": (("text",), lambda ocr, h: exact(ocr, F.col("text"), h)),
+    "text_absence": (("text",), lambda ocr, h: exact(ocr, F.col("text"), h)),
+    "table": (("cell",), lambda ocr, h: cell_near(ocr, *[F.col(c) for c in ("cell", "up", "down", "left", "right", "top_heading")], h)),
+    "order": (("before", "after"), lambda ocr, h: in_order(ocr, F.col("before"), F.col("after"), h)),
+    "math": (("latex",), lambda ocr, h: formula(ocr, F.col("latex"))),
+    "formatting": (("text",), lambda ocr, h: exact(ocr, F.col("text"), h)),
 }
 FUZZY = ("text_presence", "text_absence")
 
 
+def with_normal(texts: DataFrame, ocr_col: str = "ocr_text") -> DataFrame:
+    """texts with NORMAL: do this before a text is repeated for its tests."""
+    return texts.withColumn(NORMAL, normalize_text(F.coalesce(F.col(ocr_col), F.lit(""))))
+
+
 def evaluate(pairs: DataFrame, ocr_col: str = "ocr_text") -> DataFrame:
-    """pairs (columns of PAGE_TEST and a text) with passed and error: an unknown type or a missing field fails with a
-    message. Presence and absence allow max_diffs edits; the search with edits only sees rows that exact search left."""
-    ocr = F.coalesce(F.col(ocr_col), F.lit(""))
-    known, lacks = F.lit(False), F.lit(None).cast("string")
-    native = F.lit(False)
+    """pairs (columns of PAGE_TEST, a text and perhaps its NORMAL form) with passed and error: an unknown type or a
+    missing field fails with a message. Presence and absence allow max_diffs edits; the search with edits, in Arrow
+    batches of the same one plan branch, gets only what exact search left open."""
+    pairs = pairs if NORMAL in pairs.columns else with_normal(pairs, ocr_col)
+    ocr, h = F.coalesce(F.col(ocr_col), F.lit("")), F.col(NORMAL)
+    known, lacks, native = F.lit(False), F.lit(None).cast("string"), F.lit(False)
     for kind, (needs, rule) in EVALUATORS.items():
         here = F.col("type") == kind
         known = known | F.coalesce(here, F.lit(False))
         for c in needs:
             lacks = F.when(here & F.col(c).isNull(), F.lit(f"missing field: {c}")).otherwise(lacks)
-        native = F.when(here, rule(ocr)).otherwise(native)
+        native = F.when(here, rule(ocr, h)).otherwise(native)
     error = F.when(~known, F.concat(F.lit("Unknown test type: "), F.coalesce("type", F.lit("")))).otherwise(lacks)
-    staged = pairs.withColumn("error", error)
-    edits = F.col("type").isin(*FUZZY) & F.col("error").isNull() & (F.coalesce("max_diffs", F.lit(0)) > 0)
-    plain = staged.where(~F.coalesce(edits, F.lit(False))).withColumn("passed", F.col("error").isNull() & F.coalesce(native, F.lit(False)))
-    fuzzy = fuzzy_contains(staged.where(edits), ocr, F.col("text"), F.col("max_diffs"), "_found")
-    fuzzy = fuzzy.withColumn("passed", F.when(F.col("type") == "text_absence", ~F.col("_found")).otherwise(F.col("_found"))).drop("_found")
-    return plain.unionByName(fuzzy)
+    staged = pairs.withColumns({"error": error, "_native": F.coalesce(native, F.lit(False))})
+    edits = F.col("type").isin(*FUZZY) & ~F.col("_native") & (F.coalesce("max_diffs", F.lit(0)) > 0) & (F.length(h) > 0)
+    needle = normalize_text(F.col("text"))
+    found = F.coalesce(within_edits(F.when(edits, h), F.when(edits, needle), F.col("max_diffs")), F.col("_native"))
+    passed = F.when(F.col("error").isNotNull(), False).when(F.col("type") == "text_absence", ~found).otherwise(found)
+    return staged.withColumn("passed", passed).drop("_native", NORMAL)
 
 
 def join_tests(texts: DataFrame, tests: DataFrame, key: tuple[str, ...] = ("pdf_name", "page")) -> DataFrame:
     """Every text of a page with every test of it; tests name their page by pdf and page."""
-    from ..functions.text import strip_pdf
-
     named = tests.select(*[f.name for f in PAGE_TEST if f.name != "page"], strip_pdf(F.col("pdf")).alias("pdf_name"), F.coalesce("page", F.lit(0)).alias("page"))
-    return texts.join(named, list(key))
+    return with_normal(texts).join(named, list(key))
 
 
 def score(results: DataFrame, *by: str) -> DataFrame:

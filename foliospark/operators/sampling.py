@@ -19,9 +19,7 @@ def balanced(df: DataFrame, caps: dict[str, int | None], stratum: str, *key: str
 
 
 def running(df: DataFrame, amount: str, order: list[Column | str], *by: str) -> DataFrame:
-    """df with _before: the sum of the amounts of the rows before each, by group.
-
-    Groups of any size: rows are numbered in ranges of the order, range sums add up first, then rows within a range."""
+    """df with _before: the sum of the amounts of the rows before each, by group. A group is streamed in one task."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("_before", F.coalesce(F.sum(amount).over(w), F.lit(0)))
 

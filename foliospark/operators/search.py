@@ -2,42 +2,94 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.match import within_edits
+from ..functions.match import sellers
 from ..functions.text import normalize_text
 
-#: Needles that one pass over the texts holds in each task; more needles take more passes.
-PASS_NEEDLES = 5_000
+#: Needles, and characters of needles, that one pass over the texts holds in each task; more take more passes.
+PASS_NEEDLES, PASS_CHARS = 50_000, 4_000_000
 
 
-def _pieces(n: Column, k: Column) -> Column:
-    """k + 1 pieces of near equal length: k edits leave one of them unchanged."""
-    cut = lambda i: F.floor(F.length(n) * i / (k + 1)).cast("int")
-    return F.transform(F.sequence(F.lit(0), k), lambda i: F.substring(n, cut(i) + 1, cut(i + 1) - cut(i)))
+def pieces(needle: str, k: int) -> list[tuple[int, str]]:
+    """k + 1 pieces of near equal length with their places: k edits leave one of them unchanged."""
+    cuts = [len(needle) * i // (k + 1) for i in range(k + 2)]
+    return [(a, needle[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+class Finder:
+    """All needles of a pass in one automaton; calling it gives the numbers of those that a text holds."""
+
+    def __init__(self, needles: list[str], k: int):
+        self.needles, self.k, self.machine = needles, k, ahocorasick.Automaton()
+        # So few characters are within k edits of anything (with no edits, the empty needle is in every text).
+        self.always = {x for x, n in enumerate(needles) if len(n) <= k}
+        parts: dict[str, list[tuple[int, int]]] = {}
+        for x, n in enumerate(needles):
+            if x not in self.always:
+                for at, piece in pieces(n, k):
+                    parts.setdefault(piece, []).append((x, at + len(piece)))
+        for piece, to in parts.items():
+            self.machine.add_word(piece, to)
+        if parts:
+            self.machine.make_automaton()
+
+    def __call__(self, text: str) -> set[int]:
+        found = set(self.always) if text or not self.k else set()
+        if not len(self.machine):
+            return found
+        if not self.k:
+            return found.union(x for _, to in self.machine.iter(text) for x, _ in to)
+        looked: set[tuple[int, int]] = set()
+        for end, to in self.machine.iter(text):
+            for x, upto in to:
+                start = end + 1 - upto  # where the needle begins if nothing before the piece was edited
+                if x in found or (x, start) in looked:
+                    continue
+                looked.add((x, start))
+                n = self.needles[x]
+                if sellers(text[max(0, start - self.k) : start + len(n) + self.k], n, self.k):
+                    found.add(x)
+        return found
+
+
+def _search(held: list[tuple[object, str]], k: int, names: list[str], kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Finder([n for _, n in held], k)
+        for batch in batches:
+            rows, ids = [], []
+            for r, text in enumerate(batch.column(batch.num_columns - 1)):
+                for x in sorted(find(text.as_py())):
+                    rows.append(r), ids.append(held[x][0])
+            kept = batch.take(pa.array(rows, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array(ids, kind)], names)
+
+    return run
 
 
 def find_needles(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "text", needle_id: str = "item_id", max_diffs: int = 0) -> DataFrame:
     """The columns of texts but its text, and needle_id, for every text that holds a needle (both normalised) with at
-    most max_diffs edits. The needles are broadcast, PASS_NEEDLES at a time, and the texts aren't shuffled. With edits,
-    built-in search for the needle's pieces comes first and only what has one is searched in Arrow batches."""
+    most max_diffs edits. Null texts and needles match nothing. The texts aren't shuffled: they stream through one
+    automaton of the needles (of their pieces, where edits are allowed; what a piece hits is then searched with edits),
+    which holds PASS_NEEDLES needles of PASS_CHARS characters at most; more needles take more passes."""
     keep = [c for c in texts.columns if c != text]
-    rows = texts.withColumn("_h", normalize_text(F.col(text))).drop(text)
-    few = needles.select(F.col(needle_id), normalize_text(F.col(needle)).alias("_n")).where("_n is not null")
-    n = few.count()
-    passes = max(1, -(-n // PASS_NEEDLES))
+    rows = texts.withColumn("_h", normalize_text(F.col(text))).where("_h is not null").select(*keep, "_h")
+    few = needles.select(F.col(needle_id).alias("i"), normalize_text(F.col(needle)).alias("n")).where("n is not null")
+    n, chars = few.agg(F.count("*"), F.coalesce(F.sum(F.length("n")), F.lit(0))).first()
+    passes = max(1, -(-n // PASS_NEEDLES), -(-chars // PASS_CHARS))
+    id_field = T.StructField(needle_id, needles.schema[needle_id].dataType)
+    out = T.StructType([*(texts.schema[c] for c in keep), id_field])
     found = []
     for p in range(passes):
-        part = few.where(F.pmod(F.xxhash64(needle_id, "_n"), F.lit(passes)) == p) if passes > 1 else few
-        if not max_diffs:
-            found.append(rows.join(F.broadcast(part), F.contains("_h", F.col("_n"))).select(*keep, needle_id))
-            continue
-        part = part.withColumn("_p", _pieces(F.col("_n"), F.lit(max_diffs)))
-        near = rows.join(F.broadcast(part), F.exists("_p", lambda x: F.contains(F.col("_h"), x)) & (F.length("_h") > 0))
-        near = near.withColumn("_e", F.contains("_h", F.col("_n")))
-        found.append(near.where("_e").select(*keep, needle_id))
-        found.append(near.where("not _e").where(within_edits("_h", "_n", F.lit(max_diffs))).select(*keep, needle_id))
+        part = few.where(F.pmod(F.xxhash64("i", "n"), F.lit(passes)) == p) if passes > 1 else few
+        held = [(r["i"], r["n"]) for r in part.collect()]
+        found.append(rows.mapInArrow(_search(held, max_diffs, out.names, to_arrow_type(id_field.dataType)), out))
     return reduce(DataFrame.unionByName, found)

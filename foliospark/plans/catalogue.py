@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, html, match, sentences, tables, text, yamlio
 from ..operators import datasets, evaluate, layout, pages, progress, rewards, sampling, search, testgen, translation
+from ..sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,8 +176,9 @@ def _mixed(spark: SparkSession, sf: str) -> DataFrame:
         return F.struct(*[(F.lit(kind) if f == "type" else x.get(f, F.lit(None))).cast("int" if f == "max_diffs" else "string").alias(f) for f in fields])
 
     made = [test("text_presence", text=last, max_diffs=F.lit(0)), test("text_absence", text=first, max_diffs=F.lit(0)), test("order", before=first, after=last), test("order", before=last, after=first), test("formatting", text=F.concat(first, F.lit("#"))), test("math"), test("colour", text=first)]
-    rows = rows.select("doc_id", F.col("text").alias("ocr_text"), F.posexplode(F.array(*made)).alias("k", "t")).select("doc_id", "ocr_text", "k", "t.*")
-    return rows.select("doc_id", "ocr_text", F.concat_ws("_", "doc_id", "k").alias("id"), "type", "text", "max_diffs", *[F.lit(None).cast("string").alias(c) for c in ("cell", "up", "down", "left", "right", "top_heading")], "before", "after", "latex")
+    rows = evaluate.with_normal(rows.withColumn("ocr_text", F.col("text")))
+    rows = rows.select("doc_id", "ocr_text", evaluate.NORMAL, F.posexplode(F.array(*made)).alias("k", "t")).select("doc_id", "ocr_text", evaluate.NORMAL, "k", "t.*")
+    return rows.select("doc_id", "ocr_text", evaluate.NORMAL, F.concat_ws("_", "doc_id", "k").alias("id"), "type", "text", "max_diffs", *[F.lit(None).cast("string").alias(c) for c in ("cell", "up", "down", "left", "right", "top_heading")], "before", "after", "latex")
 
 
 _MIXED = f"""l AS (SELECT doc_id, {norm('text')} AS h, {norm(_LINES + '[1]')} AS a, {norm(_LINES + '[-1]')} AS b FROM documents WHERE len({_LINES}) > 0),
@@ -266,7 +269,7 @@ def moving_reward(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def gen_tests(spark: SparkSession, sf: str) -> DataFrame:
-    return testgen.page_tests(parsed(spark, sf))
+    return testgen.page_tests(sinks.written_once(parsed(spark, sf), "parsed"))
 
 
 @query()
@@ -281,9 +284,9 @@ def gen_formatting(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def formatting_check(spark: SparkSession, sf: str) -> DataFrame:
-    p = parsed(spark, sf)
+    p = sinks.written_once(parsed(spark, sf), "parsed")
     tests = testgen.formatting_tests(testgen.nodes(p)).withColumnRenamed("page", "p")
-    ocr = p.select(F.col("page").alias("p"), F.col("page_parts.main_html").alias("ocr_text"))
+    ocr = evaluate.with_normal(p.select(F.col("page").alias("p"), F.col("page_parts.main_html").alias("ocr_text")))
     return evaluate.evaluate(tests.join(ocr, "p").withColumnRenamed("p", "page")).select("id", "page", "format_type", "passed")
 
 
@@ -642,7 +645,8 @@ def translation_record(spark: SparkSession, sf: str) -> DataFrame:
 def stream_throughput(spark: SparkSession, sf: str) -> DataFrame:
     from ..streaming import jobs
 
-    return jobs.throughput(table(spark, sf, "events"))
+    stream = jobs.stream_parquet(spark, sf, table(spark, sf, "events").schema, pattern="events.parquet")
+    return jobs.counted(jobs.throughput(stream, late="400 days"), "throughput", f"{sinks.shared_folder(spark)}/stream-{uuid.uuid4().hex}")
 
 
 @query(f"SELECT kind, count(*) AS n FROM (SELECT {_KIND} AS kind FROM events) WHERE kind IS NOT NULL GROUP BY kind")
@@ -655,9 +659,8 @@ def log_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1")
 def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The events table read as a stream of files, counted until all that is there is read."""
-    schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    from ..streaming import jobs
+
+    stream = jobs.stream_parquet(spark, sf, table(spark, sf, "events").schema, pattern="events.parquet")
     counts = stream.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
-    name = f"stream_counts_{abs(hash(sf))}"
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return jobs.counted(counts, "counts", f"{sinks.shared_folder(spark)}/stream-{uuid.uuid4().hex}")

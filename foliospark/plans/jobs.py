@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.html import inject_viewport, page_document, parse_pages
 from ..functions.html import html_of_completion as html_answer
@@ -13,7 +16,7 @@ from ..functions.tables import sentences_to_html, text_to_html
 from ..functions.text import build_prompt, page_key
 from ..functions.yamlio import format_yaml, parse_yaml_page, yaml_of_completion
 from ..operators import datasets, evaluate, pages, progress, sampling, testgen, translation
-from ..sources import providers, readers, sinks
+from ..sources import pdf, providers, readers, render, sinks
 
 KEY = ("pdf_name", "page")
 NO_ANCHORS = "pdf_name string, page int, anchor string"
@@ -31,7 +34,8 @@ def images_in(spark: SparkSession, path: str) -> DataFrame:
 
 def make_tests(spark: SparkSession, html_dir: str, out: str, seed: int = 42) -> DataFrame:
     """Tests of a folder of HTML pages as JSON lines; counts by type come back."""
-    tests = testgen.page_tests(parse_pages(keyed(readers.read_html(spark, html_dir), True)), seed)
+    parsed = sinks.written_once(parse_pages(keyed(readers.read_html(spark, html_dir), True)), "parsed")
+    tests = testgen.page_tests(parsed, seed)
     sinks.write_jsonl(tests, out)
     return readers.read_tests(spark, out).groupBy("type").count().orderBy("type")
 
@@ -82,7 +86,7 @@ def records_to_html(records: DataFrame, css: str = "") -> DataFrame:
 
 def translate(spark: SparkSession, yaml_dir: str, out: str) -> DataFrame:
     """Translation records of YAML pages as a folder of YAML documents; pages that are no records come back."""
-    records = translation.translation_records(readers.read_yaml(spark, yaml_dir).withColumnRenamed("stem", "document_id"))
+    records = sinks.written_once(translation.translation_records(readers.read_yaml(spark, yaml_dir).withColumnRenamed("stem", "document_id")), "records")
     good, bad = records.where("error is null"), records.where("error is not null")
     sinks.write_lines(translation.yaml_documents(good), out)
     return bad.select("document_id", "error")
@@ -94,16 +98,38 @@ def linearize(spark: SparkSession, results: str, out: str) -> None:
     sinks.write_by_document(pages.linearize(rows), out, "text")
 
 
-def generate(requests: DataFrame, done: list[DataFrame], template: str, open_provider: Callable[[], providers.Provider] = providers.Stub, policy: providers.Policy = providers.Policy(), kind: str = "yaml", partitions: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(pages, dead letters) for the requests (pdf_name, page, anchor, width) that no output in `done` has. `partitions`
-    is how many providers work at a time. An answer without a page is an error like a failed call."""
-    todo = pages.todo(requests, *done).withColumn("prompt", build_prompt(F.col("anchor"), template))
-    got = providers.complete(todo.repartition(partitions), open_provider, policy)
+def generate(requests: DataFrame, done: list[DataFrame], template: str, out: str, open_provider: Callable[[], providers.Provider] = providers.Stub, policy: providers.Policy = providers.Policy(), kind: str = "yaml", partitions: int = 4, at_once: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(pages, dead letters) for the requests (pdf_name, page, anchor, width) that no output in `done` and no good answer
+    in the folder `out` has. `partitions` providers work at a time, each on `at_once` pages. An answer without a page is
+    an error like a failed call.
+
+    Answers are added to `out` before they are told apart, so a page is asked for once, however often the results are
+    read; a rerun asks again for what failed."""
+    spark = requests.sparkSession
+    shape = "answer string, error string, pdf_name string, page int"
+    try:
+        before = spark.read.parquet(out)
+    except AnalysisException:  # nothing there yet
+        before = spark.createDataFrame([], shape)
+    todo = pages.todo(requests, *done, before.where("error is null")).withColumn("prompt", build_prompt(F.col("anchor"), template))
+    got = providers.complete(todo.repartition(partitions), open_provider, policy, at_once)
     answer: Column = yaml_of_completion(F.col("answer")) if kind == "yaml" else html_answer(F.col("answer"))
     got = got.withColumn(kind, answer).withColumn("error", F.when(F.col("error").isNull() & F.col(kind).isNull(), F.lit("no page in the answer")).otherwise(F.col("error")))
     if kind == "html":
         got = got.withColumn("html", inject_viewport(F.col("html"), F.col("width")))
-    return pages.split_errors(got)
+    got.withColumn("asked_at", F.current_timestamp()).write.mode("append").parquet(out)
+    rows = spark.read.schema(T.StructType([*got.schema.fields, T.StructField("asked_at", T.TimestampType())])).parquet(out).join(requests.select(*KEY).distinct(), list(KEY), "left_semi")
+    for d in done:
+        rows = rows.join(d.select(*KEY).distinct(), list(KEY), "left_anti")
+    last = Window.partitionBy(*KEY).orderBy(F.col("error").isNotNull(), F.desc("asked_at"))
+    rows = rows.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "asked_at")
+    return pages.split_errors(rows.select(*got.columns))
+
+
+def count_pages(spark: SparkSession, path: str, open_engine: Callable[[], pdf.PdfEngine] = pdf.Offline) -> DataFrame:
+    """(folder, pdf_name, n_pages, error) of the PDF files below a folder; folder is the one a file is in."""
+    rows = pdf.page_counts(readers.read_files(spark, path), open_engine)
+    return rows.select(F.element_at(F.split("path", "/"), -2).alias("folder"), F.col("stem").alias("pdf_name"), "n_pages", "error")
 
 
 def sample_documents(documents: DataFrame, target: int, seed: int = 42) -> DataFrame:
@@ -111,6 +137,42 @@ def sample_documents(documents: DataFrame, target: int, seed: int = 42) -> DataF
     return sampling.to_budget(documents, "n_pages", target, "pdf_name", seed=seed)
 
 
+def coverage_report(documents: DataFrame, done: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """progress.coverage of the documents' pages by folder, with per_minute (the pages of the log's last session over the
+    minutes between its first and last line) and hours_left at that speed."""
+    out = progress.coverage(pages.expected_pages(documents), done)
+    if log is None:
+        return out.withColumns({"per_minute": F.lit(0.0), "hours_left": F.lit(None).cast("double")})
+    last = progress.last_session(log)
+    span = (F.unix_timestamp(F.max("ts").cast("timestamp")) - F.unix_timestamp(F.min("ts").cast("timestamp"))) / 60.0
+    pace = last.agg(progress.speed(F.count_if(F.col("kind") == "done").cast("double"), F.coalesce(span, F.lit(0.0))).alias("per_minute"))
+    return out.crossJoin(F.broadcast(pace)).withColumn("hours_left", progress.eta_hours(F.col("remaining"), F.col("per_minute")))  # one row
+
+
+def with_sidecar(rows: DataFrame, out: str, page: str = "yaml") -> None:
+    """Pages (stem, the page's text, and what else is known of it) as texts below `out`/pages and, beside them, one JSON
+    line a page below `out`/sidecars."""
+    sinks.write_by_document(rows.select("stem", page), f"{out}/pages", page, "stem", mode="append")
+    sinks.write_jsonl(rows.drop(page), f"{out}/sidecars", mode="append")
+
+
+def run_all(spark: SparkSession, requests: DataFrame, template: str, out: str, open_provider: Callable[[], providers.Provider], open_renderer: Callable[[], render.Renderer] = render.Blank, policy: providers.Policy = providers.Policy(), seed: int = 42) -> DataFrame:
+    """HTML pages from a provider, their images and their tests, below `out`; what an earlier run has made isn't made
+    again. Returns (step, rows): what is there now."""
+    good, bad = generate(requests, [], template, f"{out}/answers", open_provider, policy, kind="html")
+    pages_ = good.select(F.concat_ws("_page_", "pdf_name", "page").alias("stem"), *KEY, "html", "width")
+    try:
+        made = spark.read.parquet(f"{out}/images").select("stem").distinct()
+    except AnalysisException:  # nothing there yet
+        made = spark.createDataFrame([], "stem string")
+    todo = pages_.join(made, "stem", "left_anti").select("stem", "html", "width", F.lit(None).cast("int").alias("height"))
+    images = render.render_manifest(render.render_pages(todo, open_renderer=open_renderer), f"{out}/images")
+    tests = testgen.page_tests(sinks.written_once(parse_pages(pages_), "parsed"), seed)
+    sinks.write_jsonl(tests, f"{out}/tests", mode="overwrite")
+    steps = {"pages": pages_, "failed": bad, "images": images.where("error is null").select("stem").distinct(), "tests": readers.read_tests(spark, f"{out}/tests")}
+    return reduce(DataFrame.unionAll, [d.agg(F.count("*").alias("rows")).select(F.lit(k).alias("step"), "rows") for k, d in steps.items()])
+
+
 def log_report(spark: SparkSession, path: str) -> DataFrame:
     """The last session's figures of one progress log."""
     return progress.session_stats(progress.parse_log(readers.read_log(spark, path)))

@@ -5,12 +5,17 @@ stops a run are the caller's policy, not the provider's."""
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
+import queue
 import random
+import threading
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from concurrent.futures import TimeoutError as Late
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -41,6 +46,8 @@ class Policy:
     seconds: float = 300.0
     base: float = 5.0
     free_only: bool = True
+    staggered: bool = False
+    hung: int = 16  # calls over their time that a partition leaves behind at most
     sleep: Callable[[float], None] = field(default=time.sleep)
 
 
@@ -54,30 +61,90 @@ def stagger(index: int, rng: random.Random) -> float:
     return min(2.0 * index + rng.random(), 30.0)
 
 
-def call(provider: Provider, request: dict, policy: Policy, rng: random.Random) -> dict:
+def timed(provider: Provider, request: dict, seconds: float, slots: threading.Semaphore) -> dict:
+    """The provider's answer, or TimeoutError. What is late goes on in a daemon thread that holds one of the slots, so
+    that calls that hang can't exhaust the worker."""
+    if not slots.acquire(timeout=seconds):
+        raise TimeoutError("too many calls hang")
+    box: queue.Queue = queue.Queue(1)
+
+    def work() -> None:
+        try:
+            box.put((provider(request), None))
+        except BaseException as e:  # noqa: BLE001  raised again by the caller
+            box.put((None, e))
+        finally:
+            slots.release()
+
+    threading.Thread(target=work, daemon=True).start()
+    try:
+        got, error = box.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"no answer in {seconds:g} s") from None
+    if error is not None:
+        raise error
+    return got
+
+
+def call(provider: Provider, request: dict, policy: Policy, rng: random.Random, slots: threading.Semaphore | None = None) -> dict:
     """A result row: the answer and its usage, or an error. Only CostIncurred goes through."""
-    error = "no try"
+    error, slots = "no try", slots or threading.Semaphore(policy.hung)
     for attempt in range(policy.tries):
-        pool = ThreadPoolExecutor(1)
         try:
-            got = pool.submit(provider, request).result(policy.seconds)
+            got = timed(provider, request, policy.seconds, slots)
             if policy.free_only and (got.get("cost") or 0) > 0:
                 raise CostIncurred(f"a call cost {got['cost']}")
             answer = (got.get("reasoning") or "") + (got.get("content") or "")
             return {k: got.get(k) for k in ("prompt_tokens", "completion_tokens", "total_tokens", "cost", "provider")} | {"answer": answer, "attempts": attempt + 1, "error": None}
         except CostIncurred:
             raise
-        except (Temporary, Late, ConnectionError) as e:
+        except (Temporary, TimeoutError, ConnectionError) as e:
             error = str(e) or type(e).__name__
             if attempt + 1 < policy.tries:
                 policy.sleep(backoff(attempt, policy.base, rng))
         except Exception as e:  # noqa: BLE001  a page that fails doesn't stop the others
             return {"error": str(e) or type(e).__name__, "attempts": attempt + 1}
-        finally:
-            pool.shutdown(wait=False)
     return {"error": error, "attempts": policy.tries}
 
 
+def completion_of(status: int, body: str) -> dict:
+    """What a chat completion says. 429, 5xx and an answer without choices may be mended by another try."""
+    if status == 429 or status >= 500:
+        raise Temporary(f"status {status}")
+    if status >= 400:
+        raise ValueError(f"status {status}: {body[:200]}")
+    said = json.loads(body)
+    if not said.get("choices"):
+        raise Temporary(f"no choices: {json.dumps(said.get('error') or '')[:200]}")
+    message, usage = said["choices"][0].get("message") or {}, said.get("usage") or {}
+    numbers = {k: usage.get(k) for k in ("prompt_tokens", "completion_tokens", "total_tokens")}
+    return {"content": message.get("content"), "reasoning": message.get("reasoning"), "cost": usage.get("cost"), "provider": said.get("provider")} | numbers
+
+
+@dataclass(frozen=True)
+class Endpoint:
+    """A chat completion service over HTTP; a request's prompt, and its image (PNG bytes) if it has one, make one message."""
+
+    url: str
+    model: str
+    token: str = ""
+    seconds: float = 240.0
+
+    def __call__(self, request: dict) -> dict:
+        parts: list[dict] = [{"type": "text", "text": str(request.get("prompt") or request.get("text") or "")}]
+        if request.get("image_png"):
+            parts.append({"type": "image_url", "image_url": {"url": "data:image/png;base64," + base64.b64encode(request["image_png"]).decode()}})
+        body = json.dumps({"model": self.model, "messages": [{"role": "user", "content": parts}]}).encode()
+        asked = urllib.request.Request(self.url, body, {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.token}"} if self.token else {}))
+        try:
+            with urllib.request.urlopen(asked, timeout=self.seconds) as got:  # noqa: S310
+                return completion_of(got.status, got.read().decode())
+        except urllib.error.HTTPError as e:
+            return completion_of(e.code, e.read().decode("utf-8", "replace"))
+        except urllib.error.URLError as e:
+            raise ConnectionError(str(e.reason)) from e
+
+
 class Stub:
     """An offline provider: a YAML page made from the request's text; deterministic."""
 
@@ -88,15 +155,28 @@ class Stub:
         return {"content": f"primary_language: en\nis_rotation_valid: true\nrotation_correction: 0\nis_table: false\nis_diagram: false\nnatural_text: |\n{body}", "prompt_tokens": len(text) // 4, "completion_tokens": digest[0], "total_tokens": len(text) // 4 + digest[0], "cost": 0.0, "provider": "stub"}
 
 
-def complete(requests: DataFrame, open_provider: Callable[[], Provider] = Stub, policy: Policy = Policy()) -> DataFrame:
-    """requests with the columns of RESULT: one provider for a partition, a row for each request, failures as rows."""
+def complete(requests: DataFrame, open_provider: Callable[[], Provider] = Stub, policy: Policy = Policy(), at_once: int = 1) -> DataFrame:
+    """requests with the columns of RESULT: one provider for a partition, a row for each request, failures as rows.
+    Two levels work side by side: partitions, and in each of them `at_once` requests, whose first starts are staggered
+    if the policy says so."""
     result = schema(RESULT)
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.int32(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        provider, rng = open_provider(), random.Random(0)
-        for batch in batches:
-            rows = [call(provider, r, policy, rng) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r.get(f.name) for r in rows], k) for f, k in zip(result.fields, kinds, strict=True))], [*batch.schema.names, *result.names])
+        provider, slots, started = open_provider(), threading.Semaphore(policy.hung + at_once), 0
+
+        def one(index: int, request: dict) -> dict:
+            rng = random.Random(index)
+            if policy.staggered and index < at_once:
+                policy.sleep(stagger(index, rng))
+            return call(provider, request, policy, rng, slots)
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    part = batch.slice(at, 64)
+                    rows = list(pool.map(one, range(started, started + part.num_rows), part.to_pylist()))
+                    started += part.num_rows
+                    yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([r.get(f.name) for r in rows], k) for f, k in zip(result.fields, kinds, strict=True))], [*part.schema.names, *result.names])
 
     return requests.mapInArrow(run, T.StructType([*requests.schema.fields, *result.fields]))

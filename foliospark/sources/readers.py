@@ -15,6 +15,12 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFr
     return df.select("path", file_stem(F.col("path")).alias("stem"), "length").distinct()
 
 
+def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
+    """(path, stem, content) of the files below a folder that match."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return df.select("path", file_stem(F.col("path")).alias("stem"), "content")
+
+
 def read_texts(spark: SparkSession, path: str, pattern: str, column: str) -> DataFrame:
     """(path, stem, column): one row for each whole file of a folder that matches. Spark leaves out files of no bytes."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)

@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; on one machine, one of our own where it is unset."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="foliospark-")  # one machine, as in tests
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def written_once(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder: what made it isn't done again for each use, nor after a lost executor."""
+    at = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def json_line(*columns: str | Column) -> Column:
     """One JSON object; null fields are left out."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "true"})

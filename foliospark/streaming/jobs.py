@@ -9,12 +9,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.html import parse_pages
+from ..operators.pages import linearize
 from ..operators.progress import parse_log
 from ..operators.testgen import page_tests
+from ..sources.sinks import written_once
 
 
-def stream_parquet(spark: SparkSession, path: str, schema: StructType, files_at_once: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
+def stream_parquet(spark: SparkSession, path: str, schema: StructType, files_at_once: int = 100, pattern: str = "*") -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).option("pathGlobFilter", pattern).parquet(path)
+
+
+def counted(counts: DataFrame, label: str, checkpoint: str) -> DataFrame:
+    """What a stream's running aggregate says once all that is there is read: each micro-batch replaces the table of the
+    whole result below the checkpoint, so that nothing is gathered on the driver."""
+    spark, at = counts.sparkSession, f"{checkpoint}/{label}"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(at)
+
+    counts.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(at)
+
+
+def stream_documents(pages: DataFrame, expected: DataFrame, path: str, checkpoint: str, doc: str = "pdf_name") -> None:
+    """Documents' linear texts as soon as all their pages are there: each micro-batch adds its pages (pdf_name, page,
+    natural_text) to `path`/pages and writes the documents that it completes to `path`/documents; expected has
+    (pdf_name, n_pages). A batch that runs again replaces its own output."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/pages/epoch={epoch}")
+        touched = spark.read.parquet(f"{path}/pages/epoch={epoch}").select(doc).distinct()
+        have = spark.read.schema(batch.schema).parquet(f"{path}/pages").join(touched, doc, "left_semi").dropDuplicates([doc, "page"])
+        whole = have.groupBy(doc).agg(F.count("*").alias("n")).join(expected, doc).where("n >= n_pages").select(doc)
+        linearize(have.join(whole, doc, "left_semi"), doc).write.mode("overwrite").parquet(f"{path}/documents/epoch={epoch}")
+
+    pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -31,7 +61,7 @@ def stream_tests(pages: DataFrame, path: str, checkpoint: str, seed: int = 42) -
     """Tests of new pages: each micro-batch is parsed once and gives its tests; a page's tests don't depend on others."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        page_tests(parse_pages(batch), seed).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        page_tests(written_once(parse_pages(batch), "parsed"), seed).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
