@@ -18,7 +18,7 @@ import corpus_pipeline
 from foliospark.llm import chat, common, decontamination, jaccard, licenses, lines, mixing, quality, registry, sharding, tokens, toxicity
 
 from . import brute
-from .conftest import near_copy  # noqa: F401
+from .conftest import DOCS
 
 # 1: n-gram Jaccard join
 
