@@ -1,0 +1,268 @@
+"""Parsed pages, the tests made of them and anchor texts, against plain Python over the whole sf0.01 tables and over
+pages written for what those tables lack (tables, headers, asides, formulas, comments)."""
+
+from __future__ import annotations
+
+import re
+from hashlib import md5
+from html import escape
+from html.parser import HTMLParser
+
+import pytest
+from foliospark.functions import html
+from foliospark.operators import layout, testgen
+from foliospark.plans import catalogue
+from pyspark.sql import functions as F
+
+SF = "/root/testdata/sf0.01"
+EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+HEADS = {f"h{n}" for n in range(1, 7)}
+MADE = [
+    "<html lang='bn-IN'><body><header>Top of <b>the</b> page</header><div class='x main-col'>loose text one two three<!-- c --><h2>A heading here</h2>"
+    "<table border=1 title='a \"q\" & b'><tr><th>Name</th><th>Size</th><th></th></tr><tr><td>al|pha</td><td>10</td><td>zz</td></tr><tr><td>beta</td><td></td></tr><tr><td>gamma</td><td>30</td><td>yy</td><td>extra</td></tr><tr><td>delta &lt;</td><td>44</td></tr></table>"
+    "<p>Some <i>italic words</i> and <em>more of them</em>, <em>third one</em>, <i>fourth one</i>, <strong>bold</strong></p><aside>An aside with <b>bold aside</b></aside>tail text</div><footer>Page 3 of 10</footer></body></html>",
+    "<body><p>Formula \\(a + b\\) and \\[ x^2 \n + 1 \\] and $$y = 3$$ and $$q$$</p><math><mi>x</mi><mo>=</mo><mn>1</mn></math><span class='a KaTeX-b'>e^{i}</span><img src=x></body>",
+    "<body><table><tr><td>only</td></tr></table><table></table><table><tr><th>h1</th><th>h2</th></tr><tr><th>h3</th><th>h4</th></tr></table>"
+    "<table><tr><td>out<table><tr><td>inner</td><td>cell</td></tr><tr><td>more</td><td>cells</td></tr></table></td></tr><tr><td>last</td></tr></table><img></body>",
+    "<body><img src='a.png'><p>few</p></body>",
+    "<p>no body at all, though some text <b>unclosed <i>and nested</p> on it goes<p>second paragraph of more than twenty<p>a third paragraph of more than twenty",
+    "<html lang=''><body><header>only</header><aside><div class=main-col>gone with its aside</div></aside>x\n\n\n\n\ny<br>z<template>hidden</template></b></p></body>",
+    "",
+    None,
+]
+
+
+class Flat(HTMLParser):
+    """Elements as (tag, attributes, ids of what they stand in), and pieces as (ids of what they stand in, kind, value)."""
+
+    def __init__(self, text: str | None):
+        super().__init__(convert_charrefs=True)
+        self.tags: list[tuple[str, list, tuple]] = []
+        self.pieces: list[list] = []
+        self.path: tuple[int, ...] = ()
+        self.feed(text or "")
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.pieces.append([self.path, "element", len(self.tags)])
+        self.tags.append((tag, list(dict(attrs).items()), self.path))
+        if tag not in EMPTY:
+            self.path += (len(self.tags) - 1,)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in EMPTY:
+            self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        open_ones = [k for k, i in enumerate(self.path) if self.tags[i][0] == tag]
+        if open_ones:
+            self.path = self.path[: open_ones[-1]]
+
+    def handle_data(self, data):
+        mine = [p for p in self.pieces[-1:] if p[0] == self.path and p[1] == "text"]
+        if mine:
+            mine[0][2] += data
+        else:
+            self.pieces.append([self.path, "text", data])
+
+    def handle_comment(self, data):
+        self.pieces.append([self.path, "comment", data])
+
+    def strings(self, i: int) -> list[str]:
+        below = lambda path: path[path.index(i) + 1 :]
+        return [v for path, kind, v in self.pieces if kind == "text" and i in path and not any(self.tags[k][0] in ("script", "style", "template") for k in below(path))]
+
+    def text(self, i: int, separator: str = "") -> str:
+        return separator.join(x.strip() for x in self.strings(i) if x.strip())
+
+    def under(self, i: int, *tags: str) -> list[int]:
+        return [k for k, (tag, _, path) in enumerate(self.tags) if i in path and tag in tags]
+
+    def kids(self, i: int) -> list[tuple[str, int | str]]:
+        return [(kind, v) for path, kind, v in self.pieces if path and path[-1] == i]
+
+    def markup(self, i: int) -> str:
+        tag, attrs, _ = self.tags[i]
+        quoted = lambda v: escape(v or "", quote=False).replace('"', "&quot;")
+        start = tag + "".join(f' {k}="{quoted(v)}"' for k, v in attrs)
+        if tag in EMPTY:
+            return f"<{start}/>"
+        shown = {"element": self.markup, "text": lambda x: escape(x, quote=False), "comment": lambda x: f"<!--{x}-->"}
+        return f"<{start}>" + "".join(shown[kind](v) for kind, v in self.kids(i)) + f"</{tag}>"
+
+    def main(self, without: set[int] = frozenset()) -> int | None:
+        left = [i for i, t in enumerate(self.tags) if not without & {i, *t[2]}]
+        return next((i for i in left if "main-col" in (dict(self.tags[i][1]).get("class") or "").split()), next((i for i in left if self.tags[i][0] == "body"), None))
+
+    def shown(self, markdown: bool) -> str:
+        gone = {i for i, t in enumerate(self.tags) if t[0] in ("header", "aside")}
+        main, blocks = self.main(gone), []
+        keep = Flat("")
+        keep.tags, keep.pieces = self.tags, [p for p in self.pieces if not gone & {*p[0], *([p[2]] if p[1] == "element" else [])}]
+        for kind, v in keep.kids(main) if main is not None else []:
+            if kind == "text":
+                blocks.append(v.strip())
+            elif kind == "element" and self.tags[v][0] == "table":
+                blocks.append(keep.as_markdown(v) if markdown else keep.markup(v))
+            elif kind == "element":
+                blocks.append(keep.text(v, "\n"))
+        return re.sub("\n\n\n+", "\n\n", "\n\n".join(x for x in blocks if x)).strip()
+
+    def rows(self, table: int) -> list[list[int]]:
+        return [self.under(row, "td", "th") for row in self.under(table, "tr")]
+
+    def as_markdown(self, table: int) -> str:
+        lines = ["| " + " | ".join(self.text(c).replace("|", "\\|") for c in row) + " |" for row in self.rows(table)]
+        rule = "| " + " | ".join("---" for _ in (self.rows(table) or [[]])[0]) + " |"
+        return "\n".join([lines[0], rule, *lines[1:]]) if lines else self.markup(table)
+
+    def about(self) -> tuple[str, bool, bool]:
+        first = next((dict(a).get("lang") or "" for t, a, _ in self.tags if t == "html"), "")
+        main = self.main()
+        if main is None:
+            return first[:2].lower() or "en", False, False
+        n = len(self.text(main))
+        return first[:2].lower() or "en", n > 0 and 2 * sum(len(self.text(t)) for t in self.under(main, "table")) > n, bool(self.under(main, "img")) and n < 100
+
+
+def digits(*parts) -> str:
+    return md5("|".join(map(str, (42, *parts))).encode()).hexdigest()
+
+
+def made_tests(pdf: str, page: int, raw: str | None) -> list[tuple]:
+    """(id, type, page, what it says): the six families of one page."""
+    f, out = Flat(raw), []
+    chrome = lambda i: any(f.tags[k][0] in ("header", "footer", "aside") for k in f.tags[i][2])
+    free = [(i, f.tags[i][0], f.text(i)) for i in range(len(f.tags)) if not chrome(i)]
+    body = [(i, x) for i, tag, x in free if tag in {"p", "li"} | HEADS]
+
+    def add(kind: str, short: str, content: str, seq, **says) -> None:
+        name = md5(f"{content}|{seq}".encode()).hexdigest()[:8]
+        out.append((f"{pdf}_p{page}_{short}_{name}", kind, page, tuple(sorted((k, v) for k, v in says.items() if v is not None))))
+
+    for i, x in sorted((p for p in body if len(p[1]) >= 15), key=lambda p: (digits("tp", pdf, page, p[0]), p[0]))[:5]:
+        add("text_presence", "tp", x[:200], i, text=x[:200], max_diffs=max(3, len(x[:200]) // 50))
+    for i, (tag, _, _) in enumerate(f.tags):
+        if tag in ("header", "footer", "aside") and len(f.text(i)) >= 3:
+            add("text_absence", "ta", f.text(i), i, text=f.text(i), max_diffs=0)
+    long = [x[:150] for _, x in body if len(x) >= 20]
+    for k in range(1, min(3, len(long) - 1) + 1):
+        i = int(digits("oi", pdf, page, k)[:8], 16) % (len(long) - 1)
+        j = i + 1 + int(digits("oj", pdf, page, k)[:8], 16) % (len(long) - 1 - i)
+        add("order", "ord", f"{long[i]}|{long[j]}", k, before=long[i], after=long[j])
+    formulas = [f.text(i) for i, t in enumerate(f.tags) if t[0] == "math"]
+    formulas += [f.text(i) for i, t in enumerate(f.tags) if any("mathjax" in c.lower() or "katex" in c.lower() for c in (dict(t[1]).get("class") or "").split())]
+    whole = next(("".join(f.strings(i)) for i, t in enumerate(f.tags) if t[0] == "body"), "")
+    formulas += [x.strip() for a, b in (("\\(", "\\)"), ("\\[", "\\]"), ("$$", "$$")) for x in re.findall(re.escape(a) + "(.+?)" + re.escape(b), whole, re.S)]
+    for k, x in enumerate(formulas):
+        if len(x) >= 3:
+            add("math", "math", x, k, latex=x)
+    italic = sorted(((i, x) for i, tag, x in free if tag in ("em", "i") and len(x) >= 5), key=lambda p: (digits("it", pdf, page, p[0]), p[0]))[:3]
+    styled = [(i, x, "bold") for i, tag, x in free if tag in ("strong", "b") and len(x) >= 3] + [(i, x, "italic") for i, x in italic]
+    for i, x, kind in styled + [(i, x, f"heading_{tag}") for i, tag, x in free if tag in HEADS and len(x) >= 3]:
+        add("formatting", "fmt", x, i, text=x, format_type=kind)
+    for t, table in enumerate(i for i, x in enumerate(f.tags) if x[0] == "table"):
+        rows = f.rows(table)
+        while rows and not rows[-1]:
+            rows.pop()
+        if len(rows) < 2 or not rows[0]:
+            continue
+        heads = [any(f.tags[c][0] == "th" for c in row) for row in rows]
+        width = max(map(len, rows))
+        grid = [[f.text(c) for c in row] + [""] * (width - len(row)) for row in rows]
+        at = lambda r, c: (grid[r][c] or None) if 0 <= r < len(grid) and 0 <= c < width else None  # noqa: E731, B023
+        usable = [r for r in range(len(rows)) if not heads[r]] or list(range(len(rows)))
+        picked = sorted(usable, key=lambda r: digits("tr", pdf, page, t, r))[:3]  # noqa: B023
+        for r in picked:
+            for c in sorted(range(width), key=lambda c: digits("tc", pdf, page, t, c))[:2]:  # noqa: B023
+                top = at(heads.index(True), c) if True in heads and not heads[r] else None
+                near = {"up": at(r - 1, c), "down": at(r + 1, c), "left": at(r, c - 1), "right": at(r, c + 1), "top_heading": top}
+                if len(grid[r][c]) >= 2 and any(near.values()):
+                    add("table", f"tbl{t}", grid[r][c], f"{t}.{r}.{c}", cell=grid[r][c], max_diffs=0, **near)
+    return sorted(out)
+
+
+def as_made(rows) -> list[tuple]:
+    says = ("text", "max_diffs", "cell", "up", "down", "left", "right", "top_heading", "before", "after", "latex", "format_type")
+    return sorted((r.id, r.type, r.page, tuple(sorted((k, r[k]) for k in says if r[k] is not None))) for r in rows)
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    return [(r.page_id, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+
+
+def test_tests_of_all_pages(spark, pages):
+    want = sorted(t for i, raw in pages for t in made_tests("site", i, raw))
+    assert as_made(catalogue.gen_tests(spark, SF).collect()) == want
+    assert as_made(catalogue.gen_presence(spark, SF).collect()) == [t for t in want if t[1] == "text_presence"]
+    assert as_made(catalogue.gen_formatting(spark, SF).collect()) == [t for t in want if t[1] == "formatting"]
+
+
+def test_formatting_check_of_all_pages(spark, pages):
+    plain = lambda x: " ".join(x.lower().split())
+    want = []
+    for i, raw in pages:
+        shown = plain(Flat(raw).shown(False))
+        want += [(t[0], i, dict(t[3])["format_type"], plain(dict(t[3])["text"]) in shown) for t in made_tests("site", i, raw) if t[1] == "formatting"]
+    assert sorted(tuple(r) for r in catalogue.formatting_check(spark, SF).collect()) == sorted(want)
+
+
+def test_main_text_of_all_pages(spark, pages):
+    got = {r.page: tuple(r)[1:] for r in catalogue.html_main_text(spark, SF).collect()}
+    assert got == {i: ((f := Flat(raw)).shown(False), f.shown(True), *f.about()[1:]) for i, raw in pages}
+
+
+def test_pages_written_for_the_rest(spark):
+    rows = spark.createDataFrame([("made", i, x) for i, x in enumerate(MADE)], "pdf_name string, page int, html string")
+    parsed = html.parse_pages(rows).cache()
+    for r in parsed.collect():
+        f, p = Flat(r.html), r.page_parts
+        assert (p.main_html, p.main_markdown, p.lang, p.is_table, p.is_diagram) == (f.shown(False), f.shown(True), *f.about())
+    want = sorted(t for i, x in enumerate(MADE) for t in made_tests("made", i, x))
+    assert as_made(testgen.page_tests(parsed).collect()) == want
+    assert {t[1] for t in want} == {"text_presence", "text_absence", "order", "math", "formatting", "table"}
+    parsed.unpersist()
+
+
+def shortened(x: str) -> str:
+    x = x.strip()
+    for raw, shown in (("[", "\\["), ("]", "\\]"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        x = x.replace(raw, shown)
+    if len(x) <= 250:
+        return x
+    return (x[:122].rpartition(" ")[0] or x[:122]) + " ... " + (x[-122:].partition(" ")[2] or x[-122:])
+
+
+@pytest.mark.parametrize("budget", [19, 600, 4000, 10**6])
+def test_anchor_texts_of_all_pages(spark, budget):
+    k = F.col("doc_id")
+    texts = catalogue.docs(spark, SF).select(F.lit("d").alias("pdf_name"), (k % 40).cast("int").alias("page"), k.cast("int").alias("idx"), "text", (k * 13 % 600).cast("double").alias("x"), (k * 7 % 800).cast("double").alias("y"))
+    boxes = layout.merge_boxes(catalogue._boxes(spark, SF))
+    sizes = texts.select("pdf_name", "page").distinct().select("pdf_name", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+    got = layout.anchor_text(sizes, boxes, texts, budget) if budget != 4000 else catalogue.anchor_text(spark, SF)
+    by_page = {r.page: "" for r in sizes.collect()}
+    pictures, words = boxes.collect(), [r for r in texts.collect() if r.text and shortened(r.text)]
+    for page in by_page:
+        mine, says = [b for b in pictures if b.page == page], [t for t in words if t.page == page]
+        items = [(0, b.idx, b.x0, b.y0, f"[Image {b.x0:.0f}x{b.y0:.0f} to {b.x1:.0f}x{b.y1:.0f}]\n") for b in mine]
+        items += [(1, t.idx, t.x, t.y, f"[{t.x:.0f}x{t.y:.0f}]{shortened(t.text)}\n") for t in says]
+        edges = {(0, min(mine, key=lambda b: (o(b), b.idx)).idx) for o in (lambda b: b.x0, lambda b: -b.x1, lambda b: b.y0, lambda b: -b.y1) if mine}
+        edges |= {(1, min(says, key=lambda t: (o(t), t.idx)).idx) for o in (lambda t: t.x, lambda t: -t.x, lambda t: t.y, lambda t: -t.y) if says}
+        head = "Page dimensions: 612.0x792.0\n"
+        if budget < 20:
+            kept = []
+        elif len(head) + sum(len(x[4]) for x in items) <= budget:
+            kept = sorted(items)
+        else:
+            kept = [x for x in items if x[:2] in edges]
+            room = budget - len(head) - sum(len(x[4]) for x in kept)
+            for x in sorted((x for x in items if x[:2] not in edges), key=lambda x: (digits("d", page, *x[:2]), x)):
+                room -= len(x[4])
+                if room < 0:
+                    break
+                kept.append(x)
+            kept.sort(key=lambda x: (x[2], x[3], x[0], x[1]))
+        by_page[page] = head + "".join(x[4] for x in kept)
+    assert {r.page: r.anchor for r in got.collect()} == by_page
