@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, jaccard, licenses, lines, mixing, quality, sharding, tokens, toxicity
+from . import chat, decontamination, jaccard, licenses, lines, mixing, quality, sharding, tokens, toxicity, trie
 
 QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
+    "op13_prefix_trie": trie.op13_prefix_trie,
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_decontamination": decontamination.op3_decontamination,
@@ -17,6 +18,7 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
 }
 ORACLES: dict[str, str] = {
+    "op13_prefix_trie": trie.OP13_SQL,
     "op1_ngram_jaccard": jaccard.OP1_SQL,
     "op5_quality": quality.OP5_SQL,
     "op6_chat": chat.OP6_SQL,
