@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import argparse
 import functools
+from pathlib import Path
 
 from .plans import jobs
 from .session import get_session
 from .sources import providers
 
-TEMPLATE = "Read the page and answer in YAML."
+#: What is asked for a page where no template is given.
+TEMPLATES = {"yaml": "Read the page and answer in YAML.", "html": "Rebuild the page as one HTML document and answer with it alone, in a fenced html block."}
 
 
 def main(args: list[str] | None = None) -> None:
@@ -19,7 +21,7 @@ def main(args: list[str] | None = None) -> None:
         "make-tests": ("html", "out"), "evaluate": ("tests", "texts"), "sft": ("images", "out", "--html", "--yaml"), "rl": ("tests", "images", "out"),
         "html-to-yaml": ("html", "out"), "yaml-to-html": ("yaml", "out"), "translate": ("yaml", "out"), "linearize": ("results", "out"), "log": ("log",),
         "count-pages": ("pdfs", "out"), "sample": ("counts", "target", "out"), "balance": ("counts", "cap", "out"), "coverage": ("counts", "done", "--log"),
-        "generate": ("requests", "out", "--url", "--model", "--token"), "run-all": ("requests", "out", "--url", "--model", "--token"), "render": ("html", "out"),
+        "generate": ("requests", "out", "--url", "--model", "--token", "--template", "--kind", "--batch"), "run-all": ("requests", "out", "--url", "--model", "--token", "--template", "--batch"), "render": ("html", "out"),
     }.items():
         job = sub.add_parser(name)
         for x in takes:
@@ -33,9 +35,9 @@ def main(args: list[str] | None = None) -> None:
         jobs.evaluate.by_type(done).show()
         jobs.evaluate.failures(done).select("id", "type", "error").show(truncate=False)
     elif a.job == "sft":
-        print(jobs.prepare_sft(spark, a.out, TEMPLATE, a.images, a.html, a.yaml), "examples")
+        print(jobs.prepare_sft(spark, a.out, TEMPLATES["yaml"], a.images, a.html, a.yaml), "examples")
     elif a.job == "rl":
-        print(jobs.prepare_rl(spark, a.tests, a.images, a.out, TEMPLATE), "examples")
+        print(jobs.prepare_rl(spark, a.tests, a.images, a.out, TEMPLATES["yaml"]), "examples")
     elif a.job == "html-to-yaml":
         jobs.html_to_yaml(spark, a.html, a.out)
     elif a.job == "yaml-to-html":
@@ -58,11 +60,15 @@ def main(args: list[str] | None = None) -> None:
     elif a.job in ("generate", "run-all"):
         requests = spark.read.parquet(a.requests)
         source = functools.partial(providers.Endpoint, a.url, a.model, a.token or "") if a.url else providers.Stub
+        kind = "html" if a.job == "run-all" else a.kind or "yaml"
+        template = Path(a.template).read_text() if a.template else TEMPLATES[kind]
+        policy, batch = providers.Policy(staggered=bool(a.url)), int(a.batch or 64)
         if a.job == "generate":
-            good, bad = jobs.generate(requests, [], TEMPLATE, a.out, source, providers.Policy(staggered=bool(a.url)))
+            good, bad = jobs.generate(requests, [], template, f"{a.out}/answers", source, policy, kind, batch=batch)
+            jobs.keep_pages(good, bad, a.out, kind)
             print(good.count(), "pages,", bad.count(), "failed")
         else:
-            jobs.run_all(spark, requests, TEMPLATE, a.out, source).show()
+            jobs.run_all(spark, requests, template, a.out, source, policy=policy, batch=batch).show()
     elif a.job == "render":
         pages = jobs.readers.read_html(spark, a.html).selectExpr("stem", "html", "cast(null as int) width", "cast(null as int) height")
         jobs.render.render_manifest(jobs.render.render_pages(pages), a.out).groupBy("error").count().show()

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import geometry
 from ..functions.html import inject_viewport, page_document, parse_pages
 from ..functions.html import html_of_completion as html_answer
 from ..functions.tables import sentences_to_html, text_to_html
 from ..functions.text import build_prompt, page_key
 from ..functions.yamlio import format_yaml, parse_yaml_page, yaml_of_completion
 from ..operators import datasets, evaluate, pages, progress, sampling, testgen, translation
+from ..schemas import schema
 from ..sources import pdf, providers, readers, render, sinks
 
 KEY = ("pdf_name", "page")
@@ -98,32 +101,87 @@ def linearize(spark: SparkSession, results: str, out: str) -> None:
     sinks.write_by_document(pages.linearize(rows), out, "text")
 
 
-def generate(requests: DataFrame, done: list[DataFrame], template: str, out: str, open_provider: Callable[[], providers.Provider] = providers.Stub, policy: providers.Policy = providers.Policy(), kind: str = "yaml", partitions: int = 4, at_once: int = 2) -> tuple[DataFrame, DataFrame]:
+#: What is kept of an answer that tells whether its page must be asked for again.
+ANSWERED = "answer string, error string, pdf_name string, page int"
+
+
+def answer_in_batches(todo: DataFrame, ask: Callable[[DataFrame], DataFrame], out: str, batch: int, partitions: int, stopped: Callable[[], bool] = lambda: False) -> None:
+    """ask(rows) of todo added to the folder `out`, `batch` rows at a time: a stream over todo's rows, written as small
+    files first, whose micro-batches are committed one by one. A run that is killed keeps all batches before the one
+    under way, and an executor that is lost asks its rows of that batch again, no others. A batch replaces its own folder,
+    so one that runs again is there once. After each batch, stopped() says whether the rest is left out."""
+    spark, n = todo.sparkSession, -(-batch // partitions)
+    at, run = f"{sinks.shared_folder(todo.sparkSession)}/requests-{uuid.uuid4().hex}", uuid.uuid4().hex
+    rows = sinks.written_once(todo, "todo")
+    files = -(-rows.count() // n)
+    if not files:
+        return
+    rows.repartition(files).write.parquet(f"{at}/rows")
+
+    def write(part: DataFrame, epoch: int) -> None:
+        if not stopped():
+            ask(part.repartition(partitions)).write.mode("overwrite").parquet(f"{out}/run={run}/epoch={epoch}")
+        if stopped():
+            raise RuntimeError("the run has stopped")
+
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", partitions).parquet(f"{at}/rows")
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if not stopped():
+            raise
+
+
+def answers(spark: SparkSession, path: str, shape: T.StructType) -> DataFrame:
+    """All answers of all runs below a folder; none where it isn't there yet."""
+    if not sinks.exists(spark, path):
+        return spark.createDataFrame([], shape)
+    return spark.read.schema(shape).parquet(path).select(*shape.names)
+
+
+def generate(requests: DataFrame, done: list[DataFrame], template: str, out: str, open_provider: Callable[[], providers.Provider] = providers.Stub, policy: providers.Policy = providers.Policy(), kind: str = "yaml", partitions: int = 4, at_once: int = 2, batch: int = 64) -> tuple[DataFrame, DataFrame]:
     """(pages, dead letters) for the requests (pdf_name, page, anchor, width) that no output in `done` and no good answer
     in the folder `out` has. `partitions` providers work at a time, each on `at_once` pages. An answer without a page is
     an error like a failed call.
 
-    Answers are added to `out` before they are told apart, so a page is asked for once, however often the results are
-    read; a rerun asks again for what failed."""
-    spark = requests.sparkSession
-    shape = "answer string, error string, pdf_name string, page int"
-    try:
-        before = spark.read.parquet(out)
-    except AnalysisException:  # nothing there yet
-        before = spark.createDataFrame([], shape)
+    Answers are added to `out`, `batch` of them at a time, before they are told apart, so a page is asked for once,
+    however often the results are read; a rerun asks again for what failed or wasn't asked. A call with a price stops the
+    run: what was answered by then is kept, CostIncurred is raised."""
+    spark, spec = requests.sparkSession, schema(ANSWERED)
+    before = answers(spark, out, spec)
     todo = pages.todo(requests, *done, before.where("error is null")).withColumn("prompt", build_prompt(F.col("anchor"), template))
-    got = providers.complete(todo.repartition(partitions), open_provider, policy, at_once)
     answer: Column = yaml_of_completion(F.col("answer")) if kind == "yaml" else html_answer(F.col("answer"))
-    got = got.withColumn(kind, answer).withColumn("error", F.when(F.col("error").isNull() & F.col(kind).isNull(), F.lit("no page in the answer")).otherwise(F.col("error")))
-    if kind == "html":
-        got = got.withColumn("html", inject_viewport(F.col("html"), F.col("width")))
-    got.withColumn("asked_at", F.current_timestamp()).write.mode("append").parquet(out)
-    rows = spark.read.schema(T.StructType([*got.schema.fields, T.StructField("asked_at", T.TimestampType())])).parquet(out).join(requests.select(*KEY).distinct(), list(KEY), "left_semi")
+
+    def ask(part: DataFrame) -> DataFrame:
+        got = providers.complete(part, open_provider, policy, at_once, flag.flag).withColumn(kind, answer)
+        got = got.withColumn("error", F.when(F.col("error").isNull() & F.col(kind).isNull(), F.lit("no page in the answer")).otherwise(F.col("error")))
+        if kind == "html":
+            got = got.withColumn("html", inject_viewport(F.col("html"), F.col("width")))
+        return got.withColumn("asked_at", F.current_timestamp())
+
+    with providers.RunFlag(spark) as flag:
+        shape = ask(todo).schema
+        answer_in_batches(todo, ask, out, batch, partitions, lambda: flag.why is not None)
+    if flag.why is not None:
+        raise providers.CostIncurred(flag.why)
+    rows = answers(spark, out, shape).join(requests.select(*KEY).distinct(), list(KEY), "left_semi")
     for d in done:
         rows = rows.join(d.select(*KEY).distinct(), list(KEY), "left_anti")
     last = Window.partitionBy(*KEY).orderBy(F.col("error").isNotNull(), F.desc("asked_at"))
     rows = rows.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "asked_at")
-    return pages.split_errors(rows.select(*got.columns))
+    return pages.split_errors(rows)
+
+
+def keep_pages(good: DataFrame, bad: DataFrame, out: str, kind: str) -> None:
+    """Pages of `generate` as texts and sidecars below `out`, and its failures as dead letters in `out`/failed; pages that
+    an earlier run has written aren't written again."""
+    spark = good.sparkSession
+    rows = good.select(F.concat_ws("_page_", "pdf_name", "page").alias("stem"), kind, "page", F.concat("pdf_name", F.lit(".pdf")).alias("source"), "width", geometry.a4_height(F.col("width")).alias("height"), "provider", "total_tokens")
+    if sinks.exists(spark, f"{out}/sidecars"):
+        rows = rows.join(spark.read.schema("stem string").json(f"{out}/sidecars"), "stem", "left_anti")
+    with_sidecar(sinks.written_once(rows, "pages"), out, kind)
+    sinks.append_dead_letters(bad.select(F.current_timestamp().alias("ts"), *KEY, F.col("error").alias("reason")), f"{out}/failed")
 
 
 def count_pages(spark: SparkSession, path: str, open_engine: Callable[[], pdf.PdfEngine] = pdf.Offline) -> DataFrame:
@@ -156,15 +214,13 @@ def with_sidecar(rows: DataFrame, out: str, page: str = "yaml") -> None:
     sinks.write_jsonl(rows.drop(page), f"{out}/sidecars", mode="append")
 
 
-def run_all(spark: SparkSession, requests: DataFrame, template: str, out: str, open_provider: Callable[[], providers.Provider], open_renderer: Callable[[], render.Renderer] = render.Blank, policy: providers.Policy = providers.Policy(), seed: int = 42) -> DataFrame:
-    """HTML pages from a provider, their images and their tests, below `out`; what an earlier run has made isn't made
-    again. Returns (step, rows): what is there now."""
-    good, bad = generate(requests, [], template, f"{out}/answers", open_provider, policy, kind="html")
+def run_all(spark: SparkSession, requests: DataFrame, template: str, out: str, open_provider: Callable[[], providers.Provider], open_renderer: Callable[[], render.Renderer] = render.Blank, policy: providers.Policy = providers.Policy(), seed: int = 42, batch: int = 64) -> DataFrame:
+    """HTML pages from a provider, with sidecars, their images and their tests, below `out`; what an earlier run has made
+    isn't made again. `template` must ask for HTML. Returns (step, rows): what is there now."""
+    good, bad = generate(requests, [], template, f"{out}/answers", open_provider, policy, kind="html", batch=batch)
+    keep_pages(good, bad, out, "html")
     pages_ = good.select(F.concat_ws("_page_", "pdf_name", "page").alias("stem"), *KEY, "html", "width")
-    try:
-        made = spark.read.parquet(f"{out}/images").select("stem").distinct()
-    except AnalysisException:  # nothing there yet
-        made = spark.createDataFrame([], "stem string")
+    made = answers(spark, f"{out}/images", render.RENDERED).select("stem").distinct()
     todo = pages_.join(made, "stem", "left_anti").select("stem", "html", "width", F.lit(None).cast("int").alias("height"))
     images = render.render_manifest(render.render_pages(todo, open_renderer=open_renderer), f"{out}/images")
     tests = testgen.page_tests(sinks.written_once(parse_pages(pages_), "parsed"), seed)

@@ -12,6 +12,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..schemas import schema
 from .pdf import blank_png
 
+#: Height over width of an A4 page (a fixed value).
+A4 = 1.414
 RENDERED = schema("stem string, kind string, width int, height int, content binary, error string")
 
 
@@ -26,20 +28,20 @@ class Blank:
         if not html:
             raise ValueError("empty page")
         if kind == "png":
-            return blank_png(width, height or width)
+            return blank_png(width, height or round(width * A4))
         return b"%PDF-1.4\n1 0 obj <</Type /Page /MediaBox [0 0 595 842]>> endobj\n%%EOF\n"
 
 
 def render_pages(pages: DataFrame, kind: str = "png", open_renderer: Callable[[], Renderer] = Blank, width: int = 1288) -> DataFrame:
-    """RENDERED of pages (stem, html, width, height; nulls: `width`, and as high as the page is). One renderer, such as a
-    headless browser, is opened for a partition; a page that fails is a row with an error."""
+    """RENDERED of pages (stem, html, width, height; nulls: `width`, and the height of an A4 page of that width). One
+    renderer, such as a headless browser, is opened for a partition; a page that fails is a row with an error."""
     kinds = to_arrow_schema(RENDERED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = open_renderer()
         for batch in batches:
             for r in batch.to_pylist():
-                row = {"stem": r["stem"], "kind": kind, "width": r["width"] or width, "height": r["height"], "content": None, "error": None}
+                row = {"stem": r["stem"], "kind": kind, "width": (w := r["width"] or width), "height": r["height"] or round(w * A4), "content": None, "error": None}
                 try:
                     row["content"] = render(r["html"] or "", row["width"], r["height"], kind)
                 except Exception as e:  # noqa: BLE001  a page that fails doesn't stop the others

@@ -28,6 +28,12 @@ def written_once(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that path, in whatever store Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def json_line(*columns: str | Column) -> Column:
     """One JSON object; null fields are left out."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "true"})
