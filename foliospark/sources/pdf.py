@@ -1,9 +1,8 @@
-"""PDF files behind a replaceable engine: page counts, layout, page images. The offline engine reads the objects of plain
-PDF files itself: page sizes and the texts and images that content streams place; its page images are blank."""
+"""PDF files behind a replaceable engine: page counts, layout, page images. The offline engine reads page sizes and the
+texts and images that pages place itself; its page images are blank."""
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schemas import schema
+from . import pdfread
 
 COUNTS = schema("path string, stem string, n_pages int, error string")
 LAYOUT = schema("path string, stem string, page int, mediabox struct<x0:double,y0:double,x1:double,y1:double>, text_elements array<struct<text:string,x:double,y:double>>, image_elements array<struct<name:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>>>, error string")
@@ -42,60 +42,30 @@ def blank_png(width: int, height: int) -> bytes:
 
 
 class Offline:
-    """Reads uncompressed objects and Flate streams; files whose objects are packed or encrypted need another engine."""
+    """Reads files through sources/pdfread.py, each parsed once; its page images are blank. What can't be read, such as an
+    encrypted file, is an error."""
 
-    _NUMBER = rb"[-+]?\d*\.?\d+"
+    def __init__(self) -> None:
+        self._content: bytes | None = None
 
-    def _objects(self, content: bytes) -> dict[int, bytes]:
-        if not content.startswith(b"%PDF"):
-            raise ValueError("not a PDF file")
-        return {int(m[1]): m[2] for m in re.finditer(rb"(\d+) 0 obj(.*?)endobj", content, re.DOTALL)}
-
-    def _page_objects(self, content: bytes) -> tuple[dict[int, bytes], list[bytes]]:
-        objects = self._objects(content)
-        return objects, [x for _, x in sorted(objects.items()) if re.search(rb"/Type\s*/Page(?![a-zA-Z])", x)]
+    def _open(self, content: bytes) -> tuple[pdfread.File, list[dict]]:
+        if content is not self._content:
+            file = pdfread.File(content)
+            self._content, self._file = content, (file, file.pages())
+        return self._file
 
     def pages(self, content: bytes) -> int:
-        return len(self._page_objects(content)[1])
-
-    def _box(self, content: bytes, page: bytes) -> tuple[float, ...]:
-        found = re.search(rb"/MediaBox\s*\[([^\]]*)\]", page) or re.search(rb"/MediaBox\s*\[([^\]]*)\]", content)
-        numbers = [float(x) for x in re.findall(self._NUMBER, found[1])] if found else []
-        return tuple(numbers[:4]) if len(numbers) >= 4 else (0.0, 0.0, 612.0, 792.0)
-
-    def _stream(self, objects: dict[int, bytes], page: bytes) -> bytes:
-        out = []
-        for ref in re.findall(rb"(\d+) 0 R", (re.search(rb"/Contents\s*(\[[^\]]*\]|\d+ 0 R)", page) or [b"", b""])[1]):
-            body = re.search(rb"stream\r?\n(.*?)\r?\nendstream", objects.get(int(ref), b""), re.DOTALL)
-            if body:
-                out.append(zlib.decompress(body[1]) if b"/FlateDecode" in objects[int(ref)] else body[1])
-        return b"\n".join(out)
+        return len(self._open(content)[1])
 
     def layout(self, content: bytes, page: int) -> dict:
-        objects, pages = self._page_objects(content)
-        box, texts, images = self._box(content, pages[page - 1]), [], []
-        x = y = 0.0
-        matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
-        number = self._NUMBER
-        for m in re.finditer(rb"((?:" + number + rb"\s+){6})(cm|Tm)\b|((?:" + number + rb"\s+){2})(Td|TD)\b|\(((?:[^()\\]|\\.)*)\)\s*Tj|/(\w+)\s+Do\b", self._stream(objects, pages[page - 1]), re.DOTALL):
-            if m[1]:
-                six = tuple(float(n) for n in m[1].split())
-                if m[2] == b"Tm":
-                    x, y = six[4], six[5]
-                else:
-                    matrix = six
-            elif m[3]:
-                dx, dy = (float(n) for n in m[3].split())
-                x, y = x + dx, y + dy
-            elif m[6]:
-                a, _, _, d, e, f = matrix
-                images.append({"name": m[6].decode(), "bbox": dict(zip(("x0", "y0", "x1", "y1"), (e, f, e + a, f + d), strict=True))})
-            else:
-                texts.append({"text": re.sub(rb"\\(.)", rb"\1", m[5]).decode("latin-1"), "x": x, "y": y})
-        return {"mediabox": dict(zip(("x0", "y0", "x1", "y1"), box, strict=True)), "text_elements": texts, "image_elements": images}
+        file, pages = self._open(content)
+        own, placed = pages[page - 1], pdfread.Placed(file)
+        placed.run(file.body(own), file.get(own.get("Resources")) or {}, pdfread.State())
+        return {"mediabox": dict(zip(("x0", "y0", "x1", "y1"), file.box(own), strict=True)), "text_elements": placed.texts, "image_elements": placed.images}
 
     def raster(self, content: bytes, page: int, longest: int) -> tuple[int, int, bytes]:
-        x0, y0, x1, y1 = self._box(content, self._page_objects(content)[1][page - 1])
+        file, pages = self._open(content)
+        x0, y0, x1, y1 = file.box(pages[page - 1])
         width, height = fitted(x1 - x0, y1 - y0, longest)
         return width, height, blank_png(width, height)
 
