@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 # Weights of the test types; others weigh 1.
 TYPE_WEIGHTS = {"table": 2.0, "text_presence": 1.0, "text_absence": 1.5, "order": 1.5, "math": 2.0, "formatting": 0.5}
 
@@ -54,9 +56,9 @@ def without_zero(df: DataFrame, col: str = "advantage") -> DataFrame:
     return df.where(F.abs(col) >= 1e-8)
 
 
-def moving_average(df: DataFrame, value: str, order: str, n: int, *by: str) -> DataFrame:
-    """df with the mean of the last n values."""
-    return df.withColumn("moving_avg", F.avg(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(1 - n, 0)))
+def moving_average(df: DataFrame, value: str, order: str, n: int, *by: str, chunk: int = ranks.CHUNK) -> DataFrame:
+    """df with moving_avg, the mean of the last n values; a group is cut into chunks that share n - 1 rows."""
+    return ranks.moving(df, "moving_avg", F.avg(value), n, [order], *by, chunk=chunk)
 
 
 def step_metrics(df: DataFrame, *prompt: str) -> DataFrame:

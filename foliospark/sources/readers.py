@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_stem
 from ..schemas import PAGE_TEST
+from .sinks import written_once
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
@@ -52,6 +53,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) of one log file in its order."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where("line <> ''").withColumn("line_no", F.col("line_no").cast("long"))
+    """(line_no, line) of a log in its order, without empty lines; several files follow one another by path.
+
+    Each split of a file is read by its own task. Lines are written once with the place of their split; how many lines
+    the splits before it have, a row for each split, makes their numbers."""
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    lines = written_once(lines, "log")
+    splits = lines.groupBy("file", "block").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.join(splits, ["file", "block"]).select((F.col("place") + F.col("shift")).alias("line_no"), F.col("value").alias("line")).where("line <> ''")
