@@ -107,7 +107,7 @@ def _swept(capacity: int, alone: bool, fresh: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, rows = TaskContext.get().partitionId(), [(b.column(k).to_numpy() for k in range(3)) for b in batches if b.num_rows]
+        part, rows = TaskContext.get().partitionId(), [tuple(c.to_numpy() for c in b.columns) for b in batches if b.num_rows]
         if not rows:
             return
         sizes, kinds, keys = (np.concatenate(x) for x in zip(*rows, strict=True))
