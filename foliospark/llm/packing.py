@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ def _cut(path: str, end: int, spaced: bool, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, key = _borrow(path, spaced, 2), TaskContext.get().partitionId() << 33
+        encoder, key, press = _borrow(path, spaced, 2), TaskContext.get().partitionId() << 33, zstandard.ZstdCompressor(level=1)
         tail, step = end.to_bytes(2, "little"), 2 * capacity
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
@@ -43,7 +44,7 @@ def _cut(path: str, end: int, spaced: bool, capacity: int):
                     raw += tail
                     for k, a in enumerate(range(0, len(raw), step)):
                         ids = raw[a : a + step]
-                        rows.append((key, id_, k, a // 2, len(ids) // 2, ids))
+                        rows.append((key, id_, k, a // 2, len(ids) // 2, press.compress(ids)))
                         key += 1
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
         _give_back()
@@ -53,7 +54,7 @@ def _cut(path: str, end: int, spaced: bool, capacity: int):
 
 def cut_pieces(df: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, spaced: bool = False) -> DataFrame:
     """(key, id, piece, start, length, ids): the ids of every whole text and `end`, cut into pieces of `capacity`, ids as
-    16-bit numbers. key tells the pieces of one write apart. A null text is an empty one."""
+    16-bit numbers in a zstandard frame. key tells the pieces of one write apart. A null text is an empty one."""
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(_cut(tokenizer, end, spaced, capacity), PIECES)
 
@@ -238,7 +239,7 @@ SEQUENCES = "sequence_id long, length int, parts array<struct<id:long,piece:int,
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (sequence_id, offset, id, piece, start, length, ids) in the order of sequences and offsets, put together."""
     kind = pa.struct([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("offset", pa.int32())])
-    now, parts, ids, rows = None, [], [], []
+    now, parts, ids, rows, open_ = None, [], [], [], zstandard.ZstdDecompressor()
 
     def out() -> pa.RecordBatch:
         cols = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.list_(kind), pa.binary()], strict=True)]
@@ -258,7 +259,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         yield out()
                 now, parts, ids = seq, [], []
             parts.append({"id": id_, "piece": piece, "start": start, "length": length, "offset": offset})
-            ids.append(raw)
+            ids.append(open_.decompress(raw))
     if parts:
         done()
     if rows:
