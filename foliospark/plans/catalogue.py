@@ -402,8 +402,11 @@ def train_val_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, sf: str) -> DataFrame:
+    return _log_of(table(spark, sf, "events"))
+
+
+def _log_of(e: DataFrame) -> DataFrame:
     """A progress log made of events: a session starts every 5000 lines."""
-    e = table(spark, sf, "events")
     stamp = F.date_format("ts", "'['yyyy-MM-dd HH:mm:ss']'")
     page = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(" page "), F.col("event_id").cast("string"))
     n = F.col("event_id").cast("string")
@@ -641,19 +644,29 @@ def translation_record(spark: SparkSession, sf: str) -> DataFrame:
 # Streams: each is read as one, up to what is there, and gives what a batch would.
 
 
+def _events_stream(spark: SparkSession, sf: str) -> DataFrame:
+    from ..streaming import jobs
+
+    return jobs.stream_parquet(spark, sf, table(spark, sf, "events").schema, pattern="events.parquet")
+
+
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_throughput(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows that the watermark has closed, and those still open when all is read."""
     from ..streaming import jobs
 
-    stream = jobs.stream_parquet(spark, sf, table(spark, sf, "events").schema, pattern="events.parquet")
-    return jobs.counted(jobs.throughput(stream, late="400 days"), "throughput", f"{sinks.shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+    at = f"{sinks.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    jobs.stream_throughput(_events_stream(spark, sf), at, f"{at}/checkpoint", late="400 days")
+    closed = spark.read.schema("window_start timestamp_ntz, event_type string, n long").parquet(f"{at}/closed").select("window_start", "event_type", "n")
+    return closed.unionByName(jobs.open_windows(spark, f"{at}/checkpoint"))
 
 
 @query(f"SELECT kind, count(*) AS n FROM (SELECT {_KIND} AS kind FROM events) WHERE kind IS NOT NULL GROUP BY kind")
 def log_counts(spark: SparkSession, sf: str) -> DataFrame:
     from ..streaming import jobs
 
-    return jobs.log_counts(_log(spark, sf).select("line_no", "line"))
+    counts = jobs.log_counts(_log_of(_events_stream(spark, sf)).select("line_no", "line"))
+    return jobs.counted(counts, "counts", f"{sinks.shared_folder(spark)}/stream-{uuid.uuid4().hex}")
 
 
 @query("SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1")
@@ -661,6 +674,5 @@ def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The events table read as a stream of files, counted until all that is there is read."""
     from ..streaming import jobs
 
-    stream = jobs.stream_parquet(spark, sf, table(spark, sf, "events").schema, pattern="events.parquet")
-    counts = stream.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
+    counts = _events_stream(spark, sf).groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
     return jobs.counted(counts, "counts", f"{sinks.shared_folder(spark)}/stream-{uuid.uuid4().hex}")
