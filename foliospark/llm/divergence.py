@@ -40,12 +40,10 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_WORD).split()
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs): the counts of a task, in parts where they are many."""
-    groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-    held = 0
+def _counted(most: int):
+    """(lang, source, term, n, docs): the counts of a task, in parts where it holds more than `most` words."""
 
-    def out() -> Iterator[pa.RecordBatch]:
+    def out(groups: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, docs) in groups.items():
             terms = list(n)
             for at in range(0, len(terms), ROWS):
@@ -54,20 +52,25 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.repeat(lang, k), pa.repeat(source, k), pa.array(some, pa.binary()).cast(pa.string()), pa.array([n[t] for t in some], pa.int64()), pa.array([docs[t] for t in some], pa.int64())], ["lang", "source", "term", "n", "docs"])
         groups.clear()
 
-    for batch in batches:
-        langs, sources, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())
-        for lang, source, text in zip(langs, sources, texts, strict=True):
-            found = words(text.as_py())
-            if found:
-                n, docs = groups.setdefault((lang, source), (Counter(), Counter()))
-                held -= len(n)
-                n.update(found)
-                docs.update(set(found))
-                held += len(n)
-                if held > HELD:
-                    yield from out()
-                    held = 0
-    yield from out()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held = 0
+        for batch in batches:
+            langs, sources, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())
+            for lang, source, text in zip(langs, sources, texts, strict=True):
+                found = words(text.as_py())
+                if found:
+                    n, docs = groups.setdefault((lang, source), (Counter(), Counter()))
+                    held -= len(n)
+                    n.update(found)
+                    docs.update(set(found))
+                    held += len(n)
+                    if held > most:
+                        yield from out(groups)
+                        held = 0
+        yield from out(groups)
+
+    return run
 
 
 def shares(counts: np.ndarray, total: int, kept: int) -> np.ndarray:
@@ -89,7 +92,7 @@ PENDING = 1_000_000
 VECTOR = "chunk int, lang string, source string, kept long, total long, places binary, counts binary"
 
 
-def _vectors(least_docs: int):
+def _vectors(least_docs: int, pending: int):
     """Of rows (chunk, lang, source, term, n, docs) in the order of chunks: for each language and chunk with kept words,
     a row without source (places: the words, in UTF-8 order, joined by line ends; counts: the language's) and a row for
     each source that has some (places: which, counts: how often)."""
@@ -139,9 +142,9 @@ def _vectors(least_docs: int):
                 part = batch.slice(a, b - a)
                 held.append(pa.Table.from_arrays(part.columns[1:], part.schema.names[1:]))
                 rows += b - a
-                if rows > PENDING:
+                if rows > pending:
                     held = [_added(held)]
-                    rows = min(held[0].num_rows, PENDING // 2)
+                    rows = min(held[0].num_rows, pending // 2)
         if held:
             yield from chunk_rows(int(now), _added(held))
 
@@ -162,8 +165,8 @@ PAIR = "lang string, source string, item string, value long"
 class Tile:
     """The pairs of two blocks of groups of a language over a span of chunks."""
 
-    def __init__(self, lang: str, i: int, j: int, span: int):
-        self.lang, self.i, self.j, self.first = lang, i, j, span == 0
+    def __init__(self, side: int, lang: str, i: int, j: int, span: int):
+        self.side, self.lang, self.i, self.j, self.first = side, lang, i, j, span == 0
         self.groups: dict[int, tuple[str, int, int]] = {}
         self.none: dict[int, int] = {}
         self.chunk, self.size, self.got = -1, 0, {}
@@ -187,7 +190,7 @@ class Tile:
     def partners(self) -> Iterator[tuple[int, list[int]]]:
         slots = sorted(self.groups)
         for a in slots:
-            if a // SIDE == self.i and (others := [b for b in slots if b // SIDE == self.j and b > a]):
+            if a // self.side == self.i and (others := [b for b in slots if b // self.side == self.j and b > a]):
                 yield a, others
 
     def add_up(self) -> None:
@@ -215,21 +218,25 @@ class Tile:
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, [pa.string()] * 3 + [pa.int64()], strict=True)], ["lang", "source", "item", "value"])
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of TILE, a tile's together: its groups (chunk -1), then its vectors in the order of chunks."""
-    key, tile = None, None
-    for batch in batches:
-        for *at, chunk, slot, source, kept, total, size, places, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if at != key:
-                if tile:
-                    yield tile.given()
-                key, tile = at, Tile(*at)
-            if chunk < 0:
-                tile.group(slot, source, kept, total)
-            else:
-                tile.vector(chunk, slot, size, places, counts)
-    if tile:
-        yield tile.given()
+def _tiles(side: int):
+    """Of rows of TILE, a tile's together, its groups (chunk -1) before its vectors in the order of chunks: its pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tile = None, None
+        for batch in batches:
+            for *at, chunk, slot, source, kept, total, size, places, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != key:
+                    if tile:
+                        yield tile.given()
+                    key, tile = at, Tile(side, *at)
+                if chunk < 0:
+                    tile.group(slot, source, kept, total)
+                else:
+                    tile.vector(chunk, slot, size, places, counts)
+        if tile:
+            yield tile.given()
+
+    return run
 
 
 SCORED = "lang string, block int, chunk int, slot int, source string, kept long, total long, size long, places binary, counts binary"
@@ -276,9 +283,9 @@ def divergences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     c = lambda name: F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
     docs = docs.select(c(lang_col).alias("lang"), c(source_col).alias("source"), c(text_col).alias("text"))
     chunks = min(MOST_CHUNKS, max(LEAST_CHUNKS, docs.count() // CHUNK_DOCS))
-    rows = docs.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
+    rows = docs.mapInArrow(_counted(HELD), "lang string, source string, term string, n long, docs long")
     rows = rows.select(F.pmod(F.xxhash64("lang", "term"), F.lit(chunks)).cast("int").alias("chunk"), "*")
-    vectors = ws.save(rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_vectors(least_docs), VECTOR), "vectors", repeats=False)
+    vectors = ws.save(rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_vectors(least_docs, PENDING), VECTOR), "vectors", repeats=False)
 
     kept = vectors.where("source is null").groupBy("lang").agg(F.sum("kept").alias("kept"), F.sum("total").alias("lang_total"))
     totals = vectors.where("source is not null").groupBy("lang", "source").agg(F.sum("total").alias("total"))
@@ -298,7 +305,7 @@ def divergences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     placed = vectors.where("source is not null").withColumnRenamed("kept", "size").drop("total").join(groups, ["lang", "source"])
     tiles = placed.select("*", other).select("lang", i, j, F.floor(F.col("chunk") / SPAN).cast("int").alias("span"), "chunk", "slot", null.cast("string").alias("source"), null.cast("long").alias("kept"), null.cast("long").alias("total"), "size", "places", "counts")
     key = ["lang", "i", "j", "span"]
-    pairs = heads.unionByName(tiles).repartition(*key).sortWithinPartitions(*key, "chunk", "slot").mapInArrow(_tiles, PAIR)
+    pairs = heads.unionByName(tiles).repartition(*key).sortWithinPartitions(*key, "chunk", "slot").mapInArrow(_tiles(SIDE), PAIR)
     pairs = pairs.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
     # Words: a language's vectors go to each of its blocks.
