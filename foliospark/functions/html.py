@@ -247,6 +247,7 @@ def html_of_completion(c: Column) -> Column:
 def viewport_css(width: Column) -> Column:
     height = F.bround(width * 1.414).cast("int").cast("string")
     w = width.cast("string")
+    # The injected style's text.
     return F.concat(
         F.lit("\n<style>\n  /* Injected viewport constraints */\n  html { margin: 0 !important; padding: 0 !important; }\n  body {\n    width: "), w,
         F.lit("px !important;\n    min-height: "), height,

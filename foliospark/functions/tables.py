@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import SPACES, WS, is_blank, strip
 
-#: A header row, a separator row, one or more data rows. A dot stops at line ends as Python's does.
+# A header row, a separator row, one or more data rows. A dot stops at line ends as Python's does.
 BLOCK = r"((?-s)\|[^\n]+\|\n\|[-| :]+\|\n(?:\|[^\n]+\|\n?)+)"
 SEPARATOR = r"^\|[-| :]+\|$"
 

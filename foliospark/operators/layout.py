@@ -2,52 +2,81 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.geometry import fixed
 from ..functions.text import clean_anchor, stable_order
+from ..schemas import schema
 from .sampling import first_fitting
 
 KEY = ("pdf_name", "page")
-
-
+MERGED = schema("pdf_name string, page int, idx int, name string, x0 double, y0 double, x1 double, y1 double")
+
+
+def _groups(boxes: list[tuple], tolerance: float) -> list[list[int]]:
+    """Which of a page's boxes (x0, y0, x1, y1) belong together, by their first. A sweep over x compares only boxes whose
+    x ranges come within reach; a box without a coordinate stays alone."""
+    root = list(range(len(boxes)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    whole = [i for i, b in enumerate(boxes) if None not in b]
+    active: list[int] = []
+    for i in sorted(whole, key=lambda i: boxes[i][0]):
+        x0, y0, _, y1 = boxes[i]
+        active = [j for j in active if x0 - boxes[j][2] <= tolerance]
+        for j in active:
+            if max(y0, boxes[j][1]) - min(y1, boxes[j][3]) <= tolerance:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+        active.append(i)
+    out: dict[int, list[int]] = {}
+    for i in range(len(boxes)):
+        out.setdefault(find(i), []).append(i)
+    return list(out.values())
+
+
+def _merged(page: list[tuple], tolerance: float) -> list[tuple]:
+    boxes = [r[4:] for r in page]
+    known = lambda f, k, some: f((boxes[i][k] for i in some if boxes[i][k] is not None), default=None)
+    return [(*page[some[0]][:3], "+".join(page[i][3] for i in some), known(min, 0, some), known(min, 1, some), known(max, 2, some), known(max, 3, some)) for some in _groups(boxes, tolerance)]
 
 
 def merge_boxes(boxes: DataFrame, tolerance: float = 0.5) -> DataFrame:
     """(pdf_name, page, idx, name, x0, y0, x1, y1): boxes of a page with gaps of at most `tolerance` in both axes are one,
     through any number of others; names are joined by + in order, idx is the first member's.
 
-    A page's boxes are one group: pages are small."""
-    schema = "pdf_name string, page int, idx int, name string, x0 double, y0 double, x1 double, y1 double"
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx").reset_index(drop=True)
-        root = list(range(len(pdf)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        # Sweep over x: only boxes whose x ranges come within reach are compared.
-        order, active = pdf["x0"].argsort(kind="stable").tolist(), []
-        x0, y0, x1, y1 = (pdf[c].tolist() for c in ("x0", "y0", "x1", "y1"))
-        for i in order:
-            active = [j for j in active if x0[i] - x1[j] <= tolerance]
-            for j in active:
-                if max(y0[i], y0[j]) - min(y1[i], y1[j]) <= tolerance:
-                    a, b = sorted((find(i), find(j)))
-                    root[b] = a
-            active.append(i)
-        pdf["_root"] = [find(i) for i in range(len(pdf))]
-        out = pdf.groupby("_root", sort=True).agg(pdf_name=("pdf_name", "first"), page=("page", "first"), idx=("idx", "first"), name=("name", "+".join), x0=("x0", "min"), y0=("y0", "min"), x1=("x1", "max"), y1=("y1", "max"))
-        return out.reset_index(drop=True)
-
-    return boxes.select(*KEY, "idx", F.coalesce("name", F.lit("")).alias("name"), "x0", "y0", "x1", "y1").groupBy(*KEY).applyInPandas(merge, schema)
+    Pages stream through in Arrow batches; one page's boxes are held at a time."""
+    kinds = [f.type for f in to_arrow_schema(MERGED)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], MERGED.names)
+
+        page: list[tuple] = []
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if page and row[:2] != page[0][:2]:
+                    out += _merged(page, tolerance)
+                    page = []
+                page.append(row)
+            if out:
+                yield given(out)
+        if page:
+            yield given(_merged(page, tolerance))
+
+    rows = boxes.select("pdf_name", F.col("page").cast("int").alias("page"), F.col("idx").cast("int").alias("idx"), F.coalesce("name", F.lit("")).alias("name"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY, "idx").mapInArrow(run, MERGED)
 
 
 def anchor_text(pages: DataFrame, images: DataFrame, texts: DataFrame, budget: int = 4000, seed: int = 42) -> DataFrame:

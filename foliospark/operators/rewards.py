@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import ranks
+from . import evaluate, ranks
 
 # Weights of the test types; others weigh 1.
 TYPE_WEIGHTS = {"table": 2.0, "text_presence": 1.0, "text_absence": 1.5, "order": 1.5, "math": 2.0, "formatting": 0.5}
@@ -45,6 +45,14 @@ def rewards(results: DataFrame, *by: str, strategy: str = "proportional", weight
     return results.groupBy(*by).agg(STRATEGIES[strategy](F.col("passed"), F.col("type"), weights).alias("reward"))
 
 
+def completion_rewards(completions: DataFrame, tests: DataFrame, strategy: str = "proportional", weights: dict[str, float] | None = None) -> DataFrame:
+    """(pdf_name, page, gen_id, reward): each completion (pdf_name, page, gen_id, text) against the stored tests (PAGE_TEST)
+    of its page, the same for all completions of a page; one whose page has no tests has the strategy's reward for none."""
+    key = ["pdf_name", "page", "gen_id"]
+    found = evaluate.evaluate(evaluate.join_tests(completions.withColumnRenamed("text", "ocr_text"), tests)).select(*key, "type", "passed")
+    return rewards(completions.select(*key).join(found, key, "left"), *key, strategy=strategy, weights=weights)
+
+
 def advantages(df: DataFrame, *prompt: str, reward: str = "reward") -> DataFrame:
     """df with advantage: the reward less its group's mean over the population deviation; 0 where that is under 1e-8."""
     w = Window.partitionBy(*prompt)

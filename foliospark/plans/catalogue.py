@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, html, match, sentences, tables, text, yamlio
 from ..operators import datasets, evaluate, layout, pages, progress, rewards, sampling, search, testgen, translation
-from ..sources import sinks
+from ..sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -258,6 +258,25 @@ def step_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", F.round("reward_mean", 6).alias("reward_mean"), F.round("reward_std", 6).alias("reward_std"), "num_generations")
 
 
+@query(f"""WITH l AS (SELECT doc_id, text, {_LINES} AS l FROM documents WHERE len({_LINES}) > 0),
+g AS (SELECT doc_id, unnest([0, 1, 2]) AS gen_id, unnest([text, left(text, (length(text) // 2)::INT), array_to_string(list_reverse(l), chr(10))]) AS gen, l[1] AS first, l[-1] AS last FROM l),
+n AS (SELECT doc_id, gen_id, {norm('gen')} AS h, {norm('first')} AS a, {norm('last')} AS b FROM g)
+SELECT doc_id::VARCHAR AS pdf_name, gen_id::INT AS gen_id, (contains(h, a)::INT + contains(h, b)::INT + 1.5 * (NOT contains(h, b))::INT + 1.5 * (strpos(h, a) > 0 AND strpos(h, b) > 0 AND strpos(h, a) < strpos(h, b))::INT)::DOUBLE / 5.0::DOUBLE AS reward FROM n""")
+def completion_rewards(spark: SparkSession, sf: str) -> DataFrame:
+    """Three answers for each document, all against the document's four tests, which are stored as JSON lines."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    rows = docs(spark, sf).select(F.col("doc_id").cast("string").alias("pdf_name"), F.lit(1).alias("page"), "text", lines.alias("l")).where(F.size("l") > 0)
+    first, last, none = F.element_at("l", 1), F.element_at("l", -1), F.lit(None).cast("string")
+    test = lambda kind, text=none, before=none, after=none: F.struct(F.lit(kind).alias("type"), text.alias("text"), before.alias("before"), after.alias("after"))
+    made = [test("text_presence", first), test("text_presence", last), test("text_absence", last), test("order", before=first, after=last)]
+    tests = rows.select(F.concat("pdf_name", F.lit(".pdf")).alias("pdf"), "page", F.posexplode(F.array(*made)).alias("k", "t")).select(F.concat_ws("_", "pdf", "k").alias("id"), "pdf", "page", "t.*", F.lit(0).alias("max_diffs"))
+    at = f"{sinks.shared_folder(spark)}/tests-{uuid.uuid4().hex}"
+    sinks.write_jsonl(tests, at)
+    gens = F.array(F.col("text"), F.left("text", F.floor(F.length("text") / 2).cast("int")), F.array_join(F.reverse("l"), "\n"))
+    answers = rows.select("pdf_name", "page", F.posexplode(gens).alias("gen_id", "text"))
+    return rewards.completion_rewards(answers, readers.read_tests(spark, at), "weighted").select("pdf_name", "gen_id", "reward")
+
+
 @query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 4) AS moving_avg FROM events")
 def moving_reward(spark: SparkSession, sf: str) -> DataFrame:
     out = rewards.moving_average(table(spark, sf, "events"), "value", "event_id", 10, "event_type")
