@@ -675,7 +675,7 @@ def stream_throughput(spark: SparkSession, sf: str) -> DataFrame:
     from ..streaming import jobs
 
     at = f"{sinks.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    jobs.stream_throughput(_events_stream(spark, sf), at, f"{at}/checkpoint", late="400 days")
+    jobs.stream_throughput(_events_stream(spark, sf), at, f"{at}/checkpoint", late="400 days", shares=1)
     closed = spark.read.schema("window_start timestamp_ntz, event_type string, n long").parquet(f"{at}/closed").select("window_start", "event_type", "n")
     return closed.unionByName(jobs.open_windows(spark, f"{at}/checkpoint"))
 

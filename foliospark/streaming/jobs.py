@@ -215,7 +215,8 @@ class WindowCount(StatefulProcessor):
         pass
 
 
-#: Shares of a window's events that are counted apart, so that a window that most events are in isn't one task's.
+#: Shares of a window's events that are counted apart, so that a window that most events are in isn't one task's; one is
+#: enough where windows have few events.
 SHARES = 16
 
 
@@ -224,7 +225,7 @@ def _windows(rows: DataFrame, kind: str) -> DataFrame:
     return rows.groupBy(start.alias("window_start"), F.col("_kind").alias(kind)).agg(F.sum("_n").alias("n"))
 
 
-def stream_throughput(events: DataFrame, path: str, checkpoint: str, ts: str = "ts", late: str = "10 minutes", every: str = "1 hour", kind: str = "event_type") -> None:
+def stream_throughput(events: DataFrame, path: str, checkpoint: str, ts: str = "ts", late: str = "10 minutes", every: str = "1 hour", kind: str = "event_type", shares: int = SHARES) -> None:
     """Events by tumbling window and type, each window once: when the watermark (the latest event so far, less `late`)
     passes its end, its count goes to `path`/closed and its state is freed; events of windows that are closed go to
     `path`/late. Events without a time are in no window. Windows still open are in open_windows."""
@@ -232,7 +233,7 @@ def stream_throughput(events: DataFrame, path: str, checkpoint: str, ts: str = "
     time = F.window("_ts", every)
     rows = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late).withColumn("_w", time)
     flat = [f.name for f in events.schema if isinstance(f.dataType, AtomicType)]
-    rows = rows.select(*own, F.col(kind).alias("_kind"), F.unix_millis("_w.start").alias("_start"), F.unix_millis("_w.end").alias("_end"), F.pmod(F.xxhash64(*flat), F.lit(SHARES)).cast("int").alias("_share"))
+    rows = rows.select(*own, F.col(kind).alias("_kind"), F.unix_millis("_w.start").alias("_start"), F.unix_millis("_w.end").alias("_end"), F.pmod(F.xxhash64(*flat), F.lit(shares)).cast("int").alias("_share"))
     shape = StructType([*events.schema.fields, StructField("_kind", events.schema[kind].dataType), StructField("_start", LongType()), StructField("_n", LongType())])
 
     def write(batch: DataFrame, epoch: int) -> None:
