@@ -567,7 +567,7 @@ def test_pipeline_stage_by_stage(spark, sf):
 
 
 def test_registry_names():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))

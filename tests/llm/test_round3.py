@@ -8,7 +8,6 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
-import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -20,20 +19,6 @@ from foliospark.llm import divergence, packing, registry, trie
 TOKENIZER = "word_bpe_49k.json"
 
 
-@pytest.mark.parametrize("name", ["op12_source_divergence", "op13_prefix_trie"])
-def test_sql(spark, name):
-    """Each against its SQL."""
-    sf = "/root/testdata/sf0.001"
-    got = registry.QUERIES[name](spark, sf)
-    duck = duckdb.connect()
-    for t in ("documents", "conversations"):
-        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    want = duck.execute(registry.ORACLES[name])
-    names = [d[0] for d in want.description]
-    assert sorted(names) == sorted(got.columns)
-    assert sorted(map(repr, (tuple(r[c] for c in names) for r in got.collect()))) == sorted(map(repr, want.fetchall()))
-
-
 # 11: best-fit packing
 
 
