@@ -265,8 +265,7 @@ def as_rows(convs):
     return [(c, (None if k == 0 else k * 2), *turn) for c, turns in convs for k, turn in enumerate(turns)]
 
 
-@pytest.mark.parametrize("blocks", [1, 3, 40])
-@pytest.mark.parametrize("copies", [0, 90])
+@pytest.mark.parametrize(("blocks", "copies"), [(1, 0), (3, 90), (40, 90)])
 def test_trie(spark, blocks, copies):
     """Groups of copies and a common beginning that lie in many blocks, empty and null turns, nested beginnings."""
     convs = conversations(random.Random(blocks + copies), 120, copies)
