@@ -20,7 +20,7 @@ from .common import Scratch
 
 #: Edits allowed, as a share of an item's characters.
 ERROR_RATE = 0.06
-#: Items with fewer characters than this are found only without edits and as whole words.
+#: A match of an item with fewer characters than this begins and ends at bounds of words; its budget is that of all items.
 LEAST_CHARS = 30
 #: Characters of items that one pass holds in each task; a larger benchmark is gone through in several passes.
 PASS_CHARS = 4_000_000
@@ -46,6 +46,27 @@ def budget(item: str, rate: float) -> int:
     return int(len(item) * rate)
 
 
+def anchored(eq: dict[str, int], m: int, text: str, ends: set[int], k: int) -> tuple[int, int] | None:
+    """(distance, end) of the first best match of a pattern of m characters with at most k edits that begins where text
+    begins and ends at one of `ends`."""
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    pv, mv, score, found = full, 0, m, None
+    for j, c in enumerate(text):
+        e = eq.get(c, 0)
+        xv = e | mv
+        xh = (((e & pv) + pv) ^ pv) | e
+        ph, mh = mv | ~(xh | pv) & full, pv & xh
+        if ph & top:
+            score += 1
+        elif mh & top:
+            score -= 1
+        ph, mh = ph << 1 & full | 1, mh << 1 & full  # the text's characters before the match cost too
+        pv, mv = mh | ~(xv | ph) & full, ph & xv
+        if score <= k and j + 1 in ends and (found is None or score < found[0]):
+            found = score, j + 1
+    return found
+
+
 def joined(text: str, at: int) -> bool:
     """Whether the characters before and at `at` belong to one word."""
     return 0 < at < len(text) and all((c.isalnum() or c == "_" or unicodedata.category(c)[0] == "M") and not _UNSPACED.match(c) for c in text[at - 1 : at + 1])
@@ -82,12 +103,12 @@ class Pattern:
 
 
 class Matcher:
-    """All items of a pass: finds, in a normalised text, the best match of each item within its budget. Items of fewer
-    than `least_chars` characters have none and match whole words only."""
+    """All items of a pass: finds, in a normalised text, the best match of each item within its budget. Matches of items
+    of fewer than `least_chars` characters begin and end at bounds of words."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float, least_chars: int = 0):
         self.least = least_chars
-        self.items = [(i, t, budget(t, rate) if len(t) >= least_chars else 0, Pattern(t)) for i, t in items]
+        self.items = [(i, t, budget(t, rate), Pattern(t)) for i, t in items]
         where: dict[str, list[tuple[int, int]]] = {}
         for x, (_, t, k, _) in enumerate(self.items):
             for at, piece in pieces(t, k):
@@ -98,6 +119,20 @@ class Matcher:
         if where:
             self.machine.make_automaton()
 
+    def _words(self, x: int, text: str, at: int) -> tuple[int, int] | None:
+        """The best match of item x that begins within its budget of `at` and stands between bounds of words."""
+        _, item, k, pattern = self.items[x]
+        found = None
+        for lo in range(max(0, at - k), min(len(text), at + k + 1)):
+            if joined(text, lo):
+                continue
+            part = text[lo : lo + len(item) + k]
+            ends = {n for n in range(max(1, len(item) - k), len(part) + 1) if not joined(text, lo + n)}
+            hit = anchored(pattern.eq, pattern.m, part, ends, k)
+            if hit and (found is None or (hit[0], lo + hit[1]) < found):
+                found = hit[0], lo + hit[1]
+        return found
+
     def __call__(self, text: str) -> list[tuple[int, int, int]]:
         """(item id, distance, end) for each item found."""
         if not self.items:
@@ -110,8 +145,8 @@ class Matcher:
                     continue
                 _, item, k, pattern = self.items[x]
                 if len(item) < self.least:
-                    if not joined(text, end + 1 - len(item)) and not joined(text, end + 1):
-                        best[x] = 0, end + 1
+                    if (hit := self._words(x, text, end + 1 - upto)) and hit < best.get(x, (k + 1, 0)):
+                        best[x] = hit
                     continue
                 # Where the item begins if nothing before the piece was edited; a match begins and ends within k of that.
                 part = (end + 1 - upto) // SPAN
@@ -163,8 +198,8 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     match ends. Texts are lower-cased and white space runs count as one space; whole texts are searched.
 
     The items are gathered in passes of at most PASS_CHARS characters each, however large the benchmark is; there is
-    no shuffle of documents. Null or empty texts and items match nothing; items of fewer than `least_chars` characters
-    match without edits and as whole words only. Items with equal ids (or null ids) are separate patterns, of which the best match is
+    no shuffle of documents. Null or empty texts and items match nothing; matches of items of fewer than `least_chars`
+    characters begin and end at bounds of words. Items with equal ids (or null ids) are separate patterns, of which the best match is
     reported. Ties go to the first end. Repeated rows are reported as often as they occur; other columns are ignored; rows with a null id are reported with a null id."""
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     found, ws = [], Scratch(df.sparkSession, "items")
@@ -177,7 +212,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
 def clean_documents(df: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of df that hold no item: the filter runs where the rows are, without a join. A short item, even of one
-    word, takes all rows that hold it as whole words."""
+    word, takes all rows that hold it between bounds of words."""
     rate, least = options.pop("error_rate", ERROR_RATE), options.pop("least_chars", LEAST_CHARS)
     item_col, item_text = options.pop("item_col", "item_id"), options.pop("item_text_col", "text")
     at = df.columns.index(text_col)

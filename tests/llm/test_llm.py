@@ -151,6 +151,16 @@ def distance(p: str, t: str) -> int:
     return best
 
 
+def whole_distance(p: str, t: str) -> int:
+    prev = list(range(len(p) + 1))
+    for j, c in enumerate(t, 1):
+        cur = [j]
+        for i, x in enumerate(p):
+            cur.append(min(prev[i] + (x != c), prev[i + 1] + 1, cur[i] + 1))
+        prev = cur
+    return prev[-1]
+
+
 def test_matcher_finds_all_within_budget():
     rng = random.Random(3)
     for _ in range(60):
@@ -181,6 +191,37 @@ def test_contamination_on_tables(spark, sf, empty, clashing):
     assert decontamination.contamination(docs, none).count() == 0
 
 
+def test_short_items_have_their_budget_between_word_bounds():
+    rng = random.Random(13)
+    found = 0
+    for _ in range(150):
+        items = [(i, x) for i in range(3) if (x := decontamination.normal("".join(rng.choice("abcd, ") for _ in range(rng.randint(9, 29)))))]
+        text = "".join(rng.choice("abcd, ") for _ in range(20))
+        for _ in range(3):
+            s = list(rng.choice(items)[1])
+            for _ in range(rng.randint(0, 4)):
+                k, o = rng.randrange(len(s)), rng.random()
+                s[k : k + (o < 0.6)] = [] if o < 0.3 and len(s) > 1 else [rng.choice("abcd, ")]
+            text += rng.choice(["", " "]) + "".join(s) + rng.choice(["", " "]) + "".join(rng.choice("abcd, ") for _ in range(10))
+        text = decontamination.normal(text)
+        cuts = [x for x in range(len(text) + 1) if not decontamination.joined(text, x)]
+        want = {}
+        for i, x in items:
+            k = decontamination.budget(x, 0.12)
+            some = [(whole_distance(x, text[a:b]), b) for a in cuts for b in cuts if a < b and abs(b - a - len(x)) <= k]
+            if some and min(some)[0] <= k:
+                want[i] = min(some)[0]
+        got = decontamination.Matcher(items, 0.12, 30)(text)
+        assert {i: d for i, d, _ in got} == want
+        for i, d, e in got:
+            assert any(whole_distance(dict(items)[i], text[a:e]) == d for a in cuts if a < e) and e in cuts
+        found += sum(d > 0 for d in want.values())
+    assert found > 20
+    match = decontamination.Matcher([(1, "the quick brown fox jumps ov")], 0.06, 30)
+    assert match("see the quick brown fax jumps ov here") == [(1, 1, 32)]
+    assert match("the quick brown fax jumps over") == [] and match("") == []
+
+
 def test_short_items_match_exactly_as_whole_words(spark):
     bench = spark.createDataFrame([(1, "What is  Entropy?"), (2, "cat"), (3, "\u718a\u732b\u5403\u4ec0\u4e48"), (4, " "), (5, "is sand, or")], "item_id long, text string")
     rows = [(1, "Q: what is entropy? A: none"), (2, "what is entropy, then"), (3, "concatenate cats"), (4, "A CAT."), (5, "\u4f60\u77e5\u9053\u718a\u732b\u5403\u4ec0\u4e48\u5417"), (6, "his sand, or this"), (7, "cats, or cat"), (8, "what is entropx?")]
