@@ -2,7 +2,9 @@
 
 Cutoffs aren't fixed: each (language, source) has its own, read from quantile sketches of its documents. A sketch is a
 histogram of relative-error buckets (each GAMMA times the last); histograms add up, so tasks merge theirs in any order
-with the same result, and a language's sketch is the sum of its sources'. The filter is a join with the thresholds."""
+with the same result, and a language's sketch is the sum of its sources'. To a group's sketch come PRIOR_ROWS rows spread
+as its language's, so a small group leans on its language and a large one on itself, without a size where rules switch.
+The filter is a join with the thresholds."""
 
 from __future__ import annotations
 
@@ -20,8 +22,10 @@ from .shingles import WordHashes, mix
 
 #: Buckets grow by this factor: a quantile is within 1 percent.
 GAMMA, LEAST = 1.02, 1e-4
-#: Documents that a group needs for thresholds of its own; below, its language's hold, then those of all.
-GROUP_ROWS = 100
+#: Rows that a group's sketch gets from its language's, and a language's from that of all.
+PRIOR_ROWS = 25
+#: A language's groups meet its sketch in this many parts, so that one task doesn't meet all groups of a large one.
+PARTS = 16
 SYMBOLS = "#*$%&|<>"
 
 
@@ -91,42 +95,62 @@ def sketches(values: DataFrame, groups: list[str], metrics: tuple[str, ...]) ->
 
 
 def quantiles(sketch: DataFrame, groups: list[str], at: dict[str, float]) -> DataFrame:
-    """(groups, metric, rows, one column for each entry of `at`) from sketches: the least bucket end that a share of rows reaches."""
+    """(groups, metric, one column for each entry of `at`) from sketches: the least bucket end that a share of rows, in
+    whole percent, reaches."""
     by = Window.partitionBy(*groups, "metric")
     up = sketch.withColumn("upto", F.sum("n").over(by.orderBy("bucket"))).withColumn("rows", F.sum("n").over(by))
     value = F.when(F.col("bucket") == -(1 << 20), 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bucket") + 1))
-    return up.groupBy(*groups, "metric").agg(F.first("rows").alias("rows"), *[F.min(F.when(F.col("upto") >= F.col("rows") * q, value)).alias(k) for k, q in at.items()])
+    return up.groupBy(*groups, "metric").agg(*[F.min(F.when(F.col("upto") * 100 >= F.col("rows") * round(100 * q), value)).alias(k) for k, q in at.items()])
+
+
+def blended(fine: DataFrame) -> DataFrame:
+    """(lang, source, metric, bucket, n): each group's sketch with PRIOR_ROWS rows of its language's, which has PRIOR_ROWS
+    rows of all. Counts aren't divided but multiplied by the other sizes, so they stay whole (to 10^12 rows each)."""
+    big = lambda c: F.col(c).cast("decimal(38,0)")
+    known = lambda a, b: a["lang"].eqNullSafe(b["l"]) & (a["metric"] == b["m"])
+    whole = fine.groupBy("metric", "bucket").agg(F.sum("n").alias("n_all"))
+    whole = whole.withColumn("all_rows", F.sum("n_all").over(Window.partitionBy("metric")))
+    counts = fine.groupBy("lang", "metric", "bucket").agg(F.sum("n").alias("n_lang"))
+    counts = counts.select(F.col("lang").alias("l"), F.col("metric").alias("m"), F.col("bucket").alias("b"), "n_lang")
+    langs = fine.groupBy("lang", "metric").agg(F.sum("n").alias("lang_rows")).join(whole, "metric")
+    langs = langs.join(counts, known(langs, counts) & (langs["bucket"] == counts["b"]), "left")
+    prior = langs.select(
+        F.col("lang").alias("l"),
+        F.col("metric").alias("m"),
+        "bucket",
+        ((F.coalesce(big("n_lang"), F.lit(0)) * big("all_rows") + PRIOR_ROWS * big("n_all")) * PRIOR_ROWS).cast("decimal(38,0)").alias("w"),
+        F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"),
+    )
+    groups = fine.select("lang", "source", "metric").distinct().withColumn("of", F.pmod(F.xxhash64("source"), F.lit(PARTS)).cast("int"))
+    theirs = groups.join(prior, known(groups, prior) & (groups["of"] == prior["part"])).select("lang", "source", "metric", "bucket", "w")
+    scale = langs.groupBy("lang", "metric").agg(((F.max(big("lang_rows")) + PRIOR_ROWS) * F.max(big("all_rows"))).cast("decimal(38,0)").alias("scale"))
+    scale = scale.select(F.col("lang").alias("l"), F.col("metric").alias("m"), "scale", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    own = fine.withColumn("of", F.pmod(F.xxhash64("source"), F.lit(PARTS)).cast("int"))
+    own = own.join(scale, known(own, scale) & (own["of"] == scale["part"]))
+    own = own.select("lang", "source", "metric", "bucket", (big("n") * F.col("scale")).cast("decimal(38,0)").alias("w"))
+    return own.unionAll(theirs).groupBy("lang", "source", "metric", "bucket").agg(F.sum("w").cast("decimal(38,0)").alias("n"))
 
 
 def thresholds(values: DataFrame, ws: Scratch) -> DataFrame:
     """(lang, source, one pair of bounds for each metric) for every (lang, source) of values."""
     fine = ws.save(sketches(values, ["lang", "source"], METRICS), "sketch")
     at = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
-    own = quantiles(fine, ["lang", "source"], at)
-    lang = quantiles(fine.groupBy("lang", "metric", "bucket").agg(F.sum("n").alias("n")), ["lang"], at)
-    whole = quantiles(fine.groupBy("metric", "bucket").agg(F.sum("n").alias("n")), [], at)
-    q = ("rows", *at)
-    pick = own.select("lang", "source", "metric", F.struct(*q).alias("own"))
-    lang = lang.select(F.col("lang").alias("l"), F.col("metric").alias("m"), F.struct(*q).alias("of_lang"))
-    pick = pick.join(lang, pick["lang"].eqNullSafe(lang["l"]) & (pick["metric"] == lang["m"])).drop("l", "m")
-    pick = pick.join(whole.select("metric", F.struct(*q).alias("of_all")), "metric")
-    use = F.when(F.col("own.rows") >= GROUP_ROWS, F.col("own")).when(F.col("of_lang.rows") >= GROUP_ROWS, F.col("of_lang")).otherwise(F.col("of_all"))
-    pick = pick.select("lang", "source", "metric", use.alias("q"))
+    q = quantiles(blended(fine), ["lang", "source"], at)
     bounds = []
     for r in RULES:
-        scale = F.greatest(F.col("q.q90") - F.col("q.q50") if r.low else F.col("q.q50") - F.col("q.q10"), F.lit(r.spread)) * r.reach
-        value = F.col("q.q50") - scale if r.low else F.col("q.q50") + scale
+        scale = F.greatest(F.col("q90") - F.col("q50") if r.low else F.col("q50") - F.col("q10"), F.lit(r.spread)) * r.reach
+        value = F.col("q50") - scale if r.low else F.col("q50") + scale
         bounds.append(F.max(F.when(F.col("metric") == r.metric, value)).alias(f"{r.metric}_{'low' if r.low else 'high'}"))
-    return ws.save(pick.groupBy("lang", "source").agg(*bounds), "thresholds")
+    return ws.save(q.groupBy("lang", "source").agg(*bounds), "thresholds")
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_words: int = 50, most_repeats: int = 50) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_rules) of every row.
 
     base_failed: fewer than `least_words` words, or over `most_repeats` percent of them repeated. The sketches are of
-    the rows that pass; a row is kept if it passes and no metric is beyond the threshold of its language and source. A
-    language and source with fewer than GROUP_ROWS passing rows takes its language's thresholds, and a language with
-    fewer takes those of all rows; so a verdict can change when a group grows to that size.
+    the rows that pass; a row is kept if it passes and no metric is beyond the threshold of its language and source. Every
+    language and source has thresholds of its own: of its passing rows and PRIOR_ROWS rows spread as its language's, which
+    has as many spread as all. A group without passing rows needs none.
     Null texts have no words; null languages and sources are groups like others; a null id stays null; repeated rows
     count and come back as often; other columns are ignored; an empty table gives an empty one."""
     ws = Scratch(df.sparkSession, "quality")
@@ -176,17 +200,27 @@ WITH w AS (
   ON symbol_ratio, mean_word_chars, dup_line_ratio, repeat_ratio INTO NAME metric VALUE x
 ), b AS (
   SELECT lang, source, metric, CASE WHEN x < 1e-4 THEN 0 ELSE pow(1.02::DOUBLE, floor(ln(x) / ln(1.02::DOUBLE)) + 1) END AS x FROM x
-), own AS (
-  SELECT lang, source, metric, list_sort(list(x)) AS s FROM b GROUP BY ALL
+), fine AS (
+  SELECT lang, source, metric, x, count(*)::HUGEINT AS n FROM b GROUP BY ALL
 ), of_lang AS (
-  SELECT lang, metric, list_sort(list(x)) AS s FROM b GROUP BY ALL
+  SELECT lang, metric, x, sum(n) AS n FROM fine GROUP BY ALL
 ), of_all AS (
-  SELECT metric, list_sort(list(x)) AS s FROM b GROUP BY ALL
+  SELECT metric, x, sum(n) AS n FROM fine GROUP BY ALL
+), langs AS (
+  SELECT lang, metric, sum(n) AS c FROM fine GROUP BY ALL
+), whole AS (
+  SELECT metric, sum(n) AS c FROM fine GROUP BY ALL
+), prior AS (
+  SELECT g.lang, g.metric, a.x, coalesce(l.n, 0) * t.c + 25 * a.n AS w, (g.c + 25) * t.c AS scale FROM langs g JOIN of_all a ON g.metric = a.metric JOIN whole t ON g.metric = t.metric
+  LEFT JOIN of_lang l ON g.lang IS NOT DISTINCT FROM l.lang AND g.metric = l.metric AND a.x = l.x
 ), s AS (
-  SELECT own.lang, own.source, own.metric, CASE WHEN len(own.s) >= 100 THEN own.s WHEN len(g.s) >= 100 THEN g.s ELSE a.s END AS s
-  FROM own JOIN of_lang g ON own.lang IS NOT DISTINCT FROM g.lang AND own.metric = g.metric JOIN of_all a ON own.metric = a.metric
+  SELECT g.lang, g.source, g.metric, p.x, coalesce(f.n, 0) * p.scale + 25 * p.w AS w FROM (SELECT DISTINCT lang, source, metric FROM fine) g
+  JOIN prior p ON g.lang IS NOT DISTINCT FROM p.lang AND g.metric = p.metric
+  LEFT JOIN fine f ON g.lang IS NOT DISTINCT FROM f.lang AND g.source IS NOT DISTINCT FROM f.source AND g.metric = f.metric AND p.x = f.x
+), up AS (
+  SELECT lang, source, metric, x, sum(w) OVER (PARTITION BY lang, source, metric ORDER BY x) AS upto, sum(w) OVER (PARTITION BY lang, source, metric) AS n FROM s
 ), q AS (
-  SELECT lang, source, metric, s[ceil(len(s) * 0.1::DOUBLE)::INT] AS q10, s[ceil(len(s) * 0.5::DOUBLE)::INT] AS q50, s[ceil(len(s) * 0.9::DOUBLE)::INT] AS q90 FROM s
+  SELECT lang, source, metric, min(x) FILTER (upto * 100 >= n * 10) AS q10, min(x) FILTER (upto * 100 >= n * 50) AS q50, min(x) FILTER (upto * 100 >= n * 90) AS q90 FROM up GROUP BY ALL
 ), k AS (
   SELECT lang, source, max(CASE WHEN metric = 'symbol_ratio' THEN q50 + 5 * greatest(q50 - q10, 0.02) END) AS sh, max(CASE WHEN metric = 'mean_word_chars' THEN q50 + 10 * greatest(q50 - q10, 0.15) END) AS mh,
     max(CASE WHEN metric = 'mean_word_chars' THEN q50 - 10 * greatest(q90 - q50, 0.15) END) AS ml, max(CASE WHEN metric = 'dup_line_ratio' THEN q50 + 5 * greatest(q50 - q10, 0.1) END) AS dh,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -327,18 +328,39 @@ def test_quality_base(spark, corpus, sf):
     assert quality.quality(corpus).count() == corpus.count()
 
 
-@pytest.mark.parametrize("size", [99, 100])
-def test_quality_groups_have_thresholds_from_a_hundred_rows(spark, size):
+@pytest.mark.parametrize("size", [5, 24, 60, 99, 100, 140])
+def test_quality_groups_lean_on_their_language_the_less_the_larger_they_are(spark, size):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and text is not null").orderBy("doc_id").collect()]
     texts = [t for t in texts if (m := measured(t))[0] >= 50 and 10 * m[4] < m[0]][:150]
     rows = [(i, t, "en", "plain") for i, t in enumerate(texts)]
     rows += [(1000 + i, re.sub(r"(\S)(?=\s|$)", r"\1#", texts[i % len(texts)]), "en", "own") for i in range(size)]
     got = [r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect() if r.doc_id >= 1000]
     assert len(texts) > 110 and not any(r.base_failed for r in got)
-    if size < quality.GROUP_ROWS:  # the language's hold: most of its rows have few symbols
+    if size < quality.PRIOR_ROWS / 2:  # most rows of the blend are the language's, which have few symbols
         assert all("symbol_ratio high" in r.failed_rules for r in got)
-    else:
-        assert sum("symbol_ratio high" in r.failed_rules for r in got) < 20 and sum(r.kept for r in got) > 70  # the texts hold some junk
+    elif size > quality.PRIOR_ROWS:
+        assert sum("symbol_ratio high" in r.failed_rules for r in got) < 20 and sum(r.kept for r in got) > size / 2  # the texts hold some junk
+
+
+def test_quality_blend_against_weighted_quantiles(spark):
+    """Each group's quantiles equal those of its rows, its language's and all, weighed as documented."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["en", "de", None]), rng.choice(["a", "a", "a", "b", "c", None]), rng.choice([0.0, 0.5, 1.0, 2.0, 4.0]) * rng.choice([1.0, 1.0, 3.0])) for _ in range(400)] + [("xx", "only", 7.0)]
+    fine = quality.sketches(spark.createDataFrame(rows, "lang string, source string, x double"), ["lang", "source"], ("x",))
+    got = {(r["lang"], r["source"]): r for r in quality.quantiles(quality.blended(fine), ["lang", "source"], {"q10": 0.1, "q50": 0.5, "q90": 0.9}).collect()}
+    assert set(got) == {r[:2] for r in rows}
+    end = lambda x: 0.0 if x < quality.LEAST else quality.GAMMA ** (math.floor(math.log(x) / math.log(quality.GAMMA)) + 1)
+    for (lang, source), r in got.items():
+        of_lang = [y[2] for y in rows if y[0] == lang]
+        weight = Counter()
+        for y in rows:
+            weight[end(y[2])] += Fraction(25 * 25, (len(of_lang) + 25) * len(rows))
+            weight[end(y[2])] += Fraction(25, len(of_lang) + 25) if y[0] == lang else 0
+            weight[end(y[2])] += y[:2] == (lang, source)
+        for k, q in (("q10", Fraction(1, 10)), ("q50", Fraction(1, 2)), ("q90", Fraction(9, 10))):
+            upto, total = 0, sum(weight.values())
+            want = next(x for x in sorted(weight) if (upto := upto + weight[x]) >= q * total)
+            assert abs(r[k] - want) < 1e-9 * max(1, want)
 
 
 def test_quality_verdicts_follow_the_labels(spark):
