@@ -66,12 +66,16 @@ def clean_anchor(c: Column, most: int = 250) -> Column:
     for raw, shown in (("[", r"\["), ("]", r"\]"), ("\n", r"\n"), ("\r", r"\r"), ("\t", r"\t")):
         x = F.replace(x, F.lit(raw), F.lit(shown))
     half = most // 2 - 3
-    start, end = F.left(x, F.lit(half)), F.right(x, F.lit(half))
-    head = F.regexp_extract(start, r"(?s)^(.*) [^ ]*$", 1)
-    tail = F.regexp_extract(end, r"(?s)^[^ ]* (.*)$", 1)
-    head = F.when(F.contains(start, F.lit(" ")) & (head != ""), head).otherwise(start)
-    tail = F.when(F.contains(end, F.lit(" ")) & (tail != ""), tail).otherwise(end)
-    return F.when(F.length(x) > most, F.concat(head, F.lit(" ... "), tail)).otherwise(x)
+
+    def cut(x: Column) -> Column:
+        start, end = F.left(x, F.lit(half)), F.right(x, F.lit(half))
+        head = F.regexp_extract(start, r"(?s)^(.*) [^ ]*$", 1)
+        tail = F.regexp_extract(end, r"(?s)^[^ ]* (.*)$", 1)
+        head = F.when(F.contains(start, F.lit(" ")) & (head != ""), head).otherwise(start)
+        tail = F.when(F.contains(end, F.lit(" ")) & (tail != ""), tail).otherwise(end)
+        return F.when(F.length(x) > most, F.concat(head, F.lit(" ... "), tail)).otherwise(x)
+
+    return F.get(F.transform(F.array(x), cut), F.lit(0))  # the escaped text is made once, however often it is named
 
 
 def detect_script(c: Column) -> Column:

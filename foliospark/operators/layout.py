@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.geometry import fixed
-from ..functions.text import clean_anchor, stable_order
+from ..functions.text import clean_anchor, stable_order, strip
 from ..schemas import schema
-from .sampling import first_fitting
 
 KEY = ("pdf_name", "page")
 MERGED = schema("pdf_name string, page int, idx int, name string, x0 double, y0 double, x1 double, y1 double")
@@ -89,21 +88,23 @@ def anchor_text(pages: DataFrame, images: DataFrame, texts: DataFrame, budget: i
         return pages.select(*KEY, F.col("head").alias("anchor"))
     n = lambda c: fixed(F.col(c), 0)
     shown = F.concat(F.lit("[Image "), n("x0"), F.lit("x"), n("y0"), F.lit(" to "), n("x1"), F.lit("x"), n("y1"), F.lit("]\n"))
-    by_edges = lambda df, edges: [F.row_number().over(Window.partitionBy(*KEY).orderBy(*(o if isinstance(o, list) else [o]))) == 1 for o in edges]
-    a = images.select(*KEY, F.lit(0).alias("kind"), "idx", F.col("x0").alias("x"), F.col("y0").alias("y"), shown.alias("s"), "x0", "y0", "x1", "y1")
-    e = by_edges(a, [[F.asc("x0"), "idx"], [F.desc("x1"), "idx"], [F.asc("y0"), "idx"], [F.desc("y1"), "idx"]])
-    a = a.withColumn("edge", e[0] | e[1] | e[2] | e[3]).drop("x0", "y0", "x1", "y1")
-    b = texts.withColumn("_c", clean_anchor(F.col("text"))).where("_c <> ''")
-    b = b.select(*KEY, F.lit(1).alias("kind"), "idx", "x", "y", F.concat(F.lit("["), n("x"), F.lit("x"), n("y"), F.lit("]"), F.col("_c"), F.lit("\n")).alias("s"))
-    e = by_edges(b, [[F.asc("x"), "idx"], [F.desc("x"), "idx"], [F.asc("y"), "idx"], [F.desc("y"), "idx"]])
-    b = b.withColumn("edge", e[0] | e[1] | e[2] | e[3])
-    every = pages.join(a.unionByName(b), list(KEY))
-    every = every.withColumn("_n", F.length("s")).withColumn("_all", F.length("head") + F.sum("_n").over(Window.partitionBy(*KEY)))
-    every = every.withColumn("_edges", F.length("head") + F.coalesce(F.sum(F.when(F.col("edge"), F.col("_n"))).over(Window.partitionBy(*KEY)), F.lit(0)))
-    fits = F.col("_all") <= budget
-    whole = every.where(fits).withColumn("_o", F.struct(F.col("kind").cast("double").alias("p"), F.col("idx").cast("double").alias("q"), F.lit(0).alias("r"), F.lit(0).alias("t")))
-    tight = every.where(~fits)
-    rest = first_fitting(tight.where(~F.col("edge")), "_n", F.lit(budget) - F.col("_edges"), [stable_order(*KEY, "kind", "idx", seed=seed), "kind", "idx"], *KEY)
-    some = tight.where("edge").unionByName(rest).withColumn("_o", F.struct(F.col("x").cast("double").alias("p"), F.col("y").cast("double").alias("q"), F.col("kind").alias("r"), F.col("idx").cast("int").alias("t")))
-    rows = whole.unionByName(some).groupBy(*KEY).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_o", "s"))), lambda x: x["s"]), "").alias("_t"))
-    return pages.join(rows, list(KEY), "left").select(*KEY, F.concat("head", F.coalesce("_t", F.lit(""))).alias("anchor"))
+    a = images.select(*KEY, F.lit(0).alias("kind"), "idx", F.col("x0").alias("x"), F.col("y0").alias("y"), "x1", "y1", shown.alias("s"))
+    b = texts.where(strip(F.col("text")) != "").select(*KEY, F.lit(1).alias("kind"), "idx", "x", "y", F.col("x").alias("x1"), F.col("y").alias("y1"), F.concat(F.lit("["), n("x"), F.lit("x"), n("y"), F.lit("]"), clean_anchor(F.col("text")), F.lit("\n")).alias("s"))
+    every = a.unionByName(b).withColumn("o", stable_order(*KEY, "kind", "idx", seed=seed))
+    every = every.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("kind", "idx", "x", "y", "x1", "y1", "o", "s"))).alias("_e"))
+    edge = lambda kind, pick, side, sign: pick(F.transform(F.filter("_e", lambda e: e["kind"] == kind), lambda e: F.struct(e[side].alias("p"), (e["idx"] * sign).alias("q"))))["q"] * sign
+    ends = [F.array(edge(k, F.array_min, "x", 1), edge(k, F.array_max, "x1", -1), edge(k, F.array_min, "y", 1), edge(k, F.array_max, "y1", -1)) for k in (0, 1)]
+    size = lambda e: F.coalesce(F.length(e["s"]), F.lit(0))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda t, e: t + size(e))
+    rows = every.withColumn("_ends", F.array(*ends)).withColumn("_edges", F.filter("_e", lambda e: F.array_contains(F.col("_ends")[e["kind"]], e["idx"])))
+    rest = F.filter("_e", lambda e: ~F.array_contains(F.col("_ends")[e["kind"]], e["idx"]))
+    rows = pages.join(rows, list(KEY), "left").withColumn("_all", F.length("head") + total(F.coalesce("_e", F.array())))
+    rows = rows.withColumn("_rest", F.when(F.col("_all") > budget, F.array_sort(F.transform(rest, lambda e: F.struct(e["o"].alias("o"), e["kind"].alias("kind"), e["idx"].alias("idx"), e["x"].alias("x"), e["y"].alias("y"), e["s"].alias("s"))))))
+    # How many of the rest come before the first that overflows.
+    start = F.struct((F.length("head") + total("_edges")).alias("upto"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+    more = lambda t, e: F.struct((t["upto"] + size(e)).alias("upto"), (t["n"] + F.when(t["open"] & (t["upto"] + size(e) <= budget), 1).otherwise(0)).alias("n"), (t["open"] & (t["upto"] + size(e) <= budget)).alias("open"))
+    fit = F.slice("_rest", F.lit(1), F.aggregate("_rest", start, more)["n"])
+    placed = lambda c: F.transform(c, lambda e: F.struct(e["x"].cast("double").alias("x"), e["y"].cast("double").alias("y"), e["kind"].alias("kind"), e["idx"].cast("int").alias("idx"), e["s"].alias("s")))
+    joined = lambda c: F.array_join(F.transform(c, lambda e: e["s"]), "")
+    text = F.when(F.col("_all") > budget, joined(F.array_sort(F.concat(placed("_edges"), placed(fit))))).otherwise(joined(F.col("_e")))
+    return rows.select(*KEY, F.concat("head", F.coalesce(text, F.lit(""))).alias("anchor"))
