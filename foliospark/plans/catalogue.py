@@ -293,18 +293,18 @@ def gen_tests(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def gen_presence(spark: SparkSession, sf: str) -> DataFrame:
-    return testgen.presence_tests(testgen.nodes(parsed(spark, sf)))
+    return testgen.presence_tests(parsed(spark, sf))
 
 
 @query()
 def gen_formatting(spark: SparkSession, sf: str) -> DataFrame:
-    return testgen.formatting_tests(testgen.nodes(parsed(spark, sf)))
+    return testgen.formatting_tests(parsed(spark, sf))
 
 
 @query()
 def formatting_check(spark: SparkSession, sf: str) -> DataFrame:
     p = sinks.written_once(parsed(spark, sf), "parsed")
-    tests = testgen.formatting_tests(testgen.nodes(p)).withColumnRenamed("page", "p")
+    tests = testgen.formatting_tests(p).withColumnRenamed("page", "p")
     ocr = evaluate.with_normal(p.select(F.col("page").alias("p"), F.col("page_parts.main_html").alias("ocr_text")))
     return evaluate.evaluate(tests.join(ocr, "p").withColumnRenamed("p", "page")).select("id", "page", "format_type", "passed")
 
