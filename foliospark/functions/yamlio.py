@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 import yaml
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..schemas import schema
 from .text import strip
@@ -147,13 +149,37 @@ def parse_page(raw: str | None) -> tuple:
     return (*_record(parsed), None)
 
 
-@F.pandas_udf(schema(RESPONSE))
-def parse_response(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in batches:
-        yield pd.DataFrame([parse_answer(x) for x in s], columns=[*FIELDS, "natural_text"]).astype({"rotation_correction": "Int32"})
+#: Characters of answers that are parsed before their records are handed on (one answer at least).
+AT_ONCE = 1 << 20
 
 
-@F.pandas_udf(schema(RESPONSE + ", error string"))
-def parse_yaml_page(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in batches:
-        yield pd.DataFrame([parse_page(x) for x in s], columns=[*FIELDS, "natural_text", "error"]).astype({"rotation_correction": "Int32"})
+def _parsed(batches: Iterator[pa.Array], parse: Callable[[str | None], tuple], kind: T.StructType) -> Iterator[pa.Array]:
+    """The records of all texts, some at a time, so that a batch's texts and records never stand side by side as objects."""
+    made = to_arrow_type(kind)
+    for batch in batches:
+        rows: list[tuple] = []
+        room = AT_ONCE
+        for x in batch:
+            raw = x.as_py()
+            rows.append(parse(raw))
+            room -= len(raw or "")
+            if room <= 0:
+                yield _records(rows, made)
+                rows, room = [], AT_ONCE
+        if rows or not len(batch):
+            yield _records(rows, made)
+
+
+def _records(rows: list[tuple], kind: pa.StructType) -> pa.Array:
+    columns = zip(*rows, strict=True) if rows else [()] * kind.num_fields
+    return pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
+
+
+@F.arrow_udf(schema(RESPONSE))
+def parse_response(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from _parsed(batches, parse_answer, schema(RESPONSE))
+
+
+@F.arrow_udf(schema(RESPONSE + ", error string"))
+def parse_yaml_page(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from _parsed(batches, parse_page, schema(RESPONSE + ", error string"))
