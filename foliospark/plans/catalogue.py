@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +44,9 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
-def parsed(spark: SparkSession, sf: str) -> DataFrame:
+def parsed(spark: SparkSession, sf: str, **only: Collection[str]) -> DataFrame:
     rows = table(spark, sf, "pages").select(F.lit("site").alias("pdf_name"), F.col("page_id").cast("int").alias("page"), "html")
-    return html.parse_pages(rows)
+    return html.parse_pages(rows, **only)
 
 
 # Keys and text.
@@ -293,7 +293,7 @@ def gen_tests(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def gen_presence(spark: SparkSession, sf: str) -> DataFrame:
-    return testgen.presence_tests(parsed(spark, sf))
+    return testgen.presence_tests(parsed(spark, sf, parts=("nodes",), tags=html.BODY_TAGS))
 
 
 @query()
@@ -311,12 +311,12 @@ def formatting_check(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT page_id::INT AS page, coalesce(nullif(lower(left(regexp_extract(html, '<html[^>]* lang=\"([^\"]*)\"', 1), 2)), ''), 'en') AS lang FROM pages")
 def html_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    return parsed(spark, sf).select("page", "page_parts.lang")
+    return parsed(spark, sf, parts=("lang",)).select("page", "page_parts.lang")
 
 
 @query()
 def html_main_text(spark: SparkSession, sf: str) -> DataFrame:
-    return parsed(spark, sf).select("page", F.col("page_parts.main_html").alias("text"), F.col("page_parts.main_markdown").alias("markdown"), "page_parts.is_table", "page_parts.is_diagram")
+    return parsed(spark, sf, parts=("main_html", "main_markdown", "is_table", "is_diagram")).select("page", F.col("page_parts.main_html").alias("text"), F.col("page_parts.main_markdown").alias("markdown"), "page_parts.is_table", "page_parts.is_diagram")
 
 
 _HEX = "('0x' || left(md5('42|{}|' || doc_id || '|' || k), 8))::BIGINT"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+
 import pyarrow as pa
-from foliospark.functions import yamlio
+from foliospark.functions import html, yamlio
 
 
 def test_answers_are_parsed_in_pieces():
@@ -17,3 +19,31 @@ def test_answers_are_parsed_in_pieces():
     assert [r["primary_language"] for r in rows] == ["en"] * 400 + [None, None, "no", None]
     assert [r["error"] for r in rows[400:]] == ["empty page", "empty page", None, "not a record"]
     assert len(got) >= 4
+
+
+def test_pages_are_handed_on_in_pieces():
+    """Unclosed paragraphs nest, so what is taken from a page may be many times the page; pieces are bounded by that."""
+    page = "<html lang='de'><body>" + "".join(f"<p>paragraph {i} of a page" for i in range(200)) + "</body></html>"
+    htmls = [page] * 100 + [None]
+    got = list(html._pieces(pa.array(htmls), html.page_of))
+    assert [x for _, pages in got for x in pages] == [html.page_of(h) for h in htmls]
+    assert [at for at, _ in got] == [sum(len(p) for _, p in got[:k]) for k in range(len(got))]
+    assert max(sum(len(n["text"]) for x in pages for n in x["nodes"]) for _, pages in got) < 2 << 20
+
+
+def test_trees_go_without_the_collector():
+    gc.collect()
+    gc.disable()
+    try:
+        html.page_of("<body><div><p>one<p>two</div><aside><b>x</b></aside></body>")
+        assert not any(isinstance(x, html.Node) for x in gc.get_objects())
+    finally:
+        gc.enable()
+
+
+def test_parts_are_those_of_the_whole():
+    page = "<html lang='de'><body><header>top</header><h2>Head</h2><p>some <b>bold</b> text<table><tr><td>a<td>b</tr></table><math>x</math><aside>y</aside></body></html>"
+    whole = html.page_of(page)
+    for k in whole:
+        assert html.page_of(page, parts=(k,)) == {k: whole[k]}
+    assert html.page_of(page, parts=("nodes",), tags=frozenset(("b",)))["nodes"] == [n for n in whole["nodes"] if n["tag"] == "b"]
