@@ -15,6 +15,8 @@ from ..functions.text import allowed_diffs, clip, stable_order, strip
 from ..schemas import PAGE_TEST
 
 KEY = ("pdf_name", "page")
+#: Tags that formatting tests are made of.
+FORMATTED = ("strong", "b", "em", "i", *HEADINGS)
 
 
 #: What a family says about a test before it has its id; `seq` tells equal contents apart.

@@ -298,12 +298,12 @@ def gen_presence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def gen_formatting(spark: SparkSession, sf: str) -> DataFrame:
-    return testgen.formatting_tests(parsed(spark, sf))
+    return testgen.formatting_tests(parsed(spark, sf, parts=("nodes",), tags=testgen.FORMATTED))
 
 
 @query()
 def formatting_check(spark: SparkSession, sf: str) -> DataFrame:
-    p = sinks.written_once(parsed(spark, sf), "parsed")
+    p = sinks.written_once(parsed(spark, sf, parts=("nodes", "main_html"), tags=testgen.FORMATTED), "parsed")
     tests = testgen.formatting_tests(p).withColumnRenamed("page", "p")
     ocr = evaluate.with_normal(p.select(F.col("page").alias("p"), F.col("page_parts.main_html").alias("ocr_text")))
     return evaluate.evaluate(tests.join(ocr, "p").withColumnRenamed("p", "page")).select("id", "page", "format_type", "passed")
