@@ -52,10 +52,18 @@ def evaluate(pairs: DataFrame, ocr_col: str = "ocr_text") -> DataFrame:
     return staged.withColumn("passed", passed).drop("_native", NORMAL)
 
 
-def join_tests(texts: DataFrame, tests: DataFrame, key: tuple[str, ...] = ("pdf_name", "page")) -> DataFrame:
-    """Every text of a page with every test of it; tests name their page by pdf and page."""
+def join_tests(texts: DataFrame, tests: DataFrame, key: tuple[str, ...] = ("pdf_name", "page"), outer: bool = False) -> DataFrame:
+    """Every text of a page with every test of it; tests name their page by pdf and page. With `outer`, a text without
+    tests has one row too, and `tested` tells it apart.
+
+    A page's tests meet its texts as one array, so a text travels once, and its normal form is made after that."""
     named = tests.select(*[f.name for f in PAGE_TEST if f.name != "page"], strip_pdf(F.col("pdf")).alias("pdf_name"), F.coalesce("page", F.lit(0)).alias("page"))
-    return with_normal(texts).join(named, list(key))
+    columns = [c for c in named.columns if c not in key]
+    arrays = named.groupBy(*key).agg(F.collect_list(F.struct(*columns)).alias("_tests"))
+    rows = with_normal(texts.join(arrays, list(key), "left" if outer else "inner"))
+    if outer:
+        return rows.select("*", F.col("_tests").isNotNull().alias("tested"), F.inline_outer("_tests")).drop("_tests")
+    return rows.select("*", F.inline("_tests")).drop("_tests")
 
 
 def score(results: DataFrame, *by: str) -> DataFrame:

@@ -49,8 +49,9 @@ def completion_rewards(completions: DataFrame, tests: DataFrame, strategy: str =
     """(pdf_name, page, gen_id, reward): each completion (pdf_name, page, gen_id, text) against the stored tests (PAGE_TEST)
     of its page, the same for all completions of a page; one whose page has no tests has the strategy's reward for none."""
     key = ["pdf_name", "page", "gen_id"]
-    found = evaluate.evaluate(evaluate.join_tests(completions.withColumnRenamed("text", "ocr_text"), tests)).select(*key, "type", "passed")
-    return rewards(completions.select(*key).join(found, key, "left"), *key, strategy=strategy, weights=weights)
+    pairs = evaluate.join_tests(completions.select(*key, F.col("text").alias("ocr_text")), tests, outer=True)
+    results = evaluate.evaluate(pairs).select(*key, "type", F.when(F.col("tested"), F.col("passed")).alias("passed"))
+    return rewards(results, *key, strategy=strategy, weights=weights)
 
 
 def advantages(df: DataFrame, *prompt: str, reward: str = "reward") -> DataFrame:

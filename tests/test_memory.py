@@ -5,7 +5,10 @@ from __future__ import annotations
 import gc
 
 import pyarrow as pa
-from foliospark.functions import html, yamlio
+from foliospark.functions import html, text, yamlio
+from foliospark.operators import rewards
+from foliospark.schemas import PAGE_TEST
+from pyspark.sql import functions as F
 
 
 def test_answers_are_parsed_in_pieces():
@@ -47,3 +50,10 @@ def test_parts_are_those_of_the_whole():
     for k in whole:
         assert html.page_of(page, parts=(k,)) == {k: whole[k]}
     assert html.page_of(page, parts=("nodes",), tags=frozenset(("b",)))["nodes"] == [n for n in whole["nodes"] if n["tag"] == "b"]
+
+
+def test_tests_meet_a_completion_once(spark):
+    """One join of answers with their page's tests, and no second one for answers without any."""
+    answers = spark.createDataFrame([("d", 1, 0, "alpha")], "pdf_name string, page int, gen_id int, text string")
+    plan = rewards.completion_rewards(answers, spark.createDataFrame([], PAGE_TEST))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
