@@ -10,7 +10,8 @@ SPACES = r" \t\n\x0B\f\r\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{202
 WS = f"[{SPACES}]"
 #: The same as plain characters, and what a run of white space needs to be more than one space.
 _CHARS = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
-_RUN = f" {{2}}{WS}*| ?[{SPACES[1:]}]{WS}*"
+#: Most characters are in one of three ranges, which are asked before the many members of the class.
+_RUN = f" {{2}}{WS}*| ?[[^ -~\\xA1-\\x{{167F}}\\x{{3001}}-\\x{{10FFFF}}]&&[{SPACES[1:]}]]{WS}*"
 
 
 def strip(c: Column) -> Column:

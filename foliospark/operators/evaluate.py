@@ -19,7 +19,7 @@ EVALUATORS: dict[str, tuple[tuple[str, ...], Callable[[Column, Column], Column]]
     "text_absence": (("text",), lambda ocr, h: exact(ocr, F.col("text"), h)),
     "table": (("cell",), lambda ocr, h: cell_near(ocr, *[F.col(c) for c in ("cell", "up", "down", "left", "right", "top_heading")], h)),
     "order": (("before", "after"), lambda ocr, h: in_order(ocr, F.col("before"), F.col("after"), h)),
-    "math": (("latex",), lambda ocr, h: formula(ocr, F.col("latex"))),
+    "math": (("latex",), lambda ocr, h: F.when(F.col("latex").isNotNull(), formula(ocr, F.col("latex")))),
     "formatting": (("text",), lambda ocr, h: exact(ocr, F.col("text"), h)),
 }
 FUZZY = ("text_presence", "text_absence")
@@ -46,10 +46,12 @@ def evaluate(pairs: DataFrame, ocr_col: str = "ocr_text") -> DataFrame:
     error = F.when(~known, F.concat(F.lit("Unknown test type: "), F.coalesce("type", F.lit("")))).otherwise(lacks)
     staged = pairs.withColumns({"error": error, "_native": F.coalesce(native, F.lit(False))})
     edits = F.col("type").isin(*FUZZY) & ~F.col("_native") & (F.coalesce("max_diffs", F.lit(0)) > 0) & (F.length(h) > 0)
-    needle = normalize_text(F.col("text"))
-    found = F.coalesce(within_edits(F.when(edits, h), F.when(edits, needle), F.col("max_diffs")), F.col("_native"))
+    # The search gets its texts as columns of their own, null where exact search has decided: rows wait for it without the page's text.
+    staged = staged.withColumns({"_text": F.when(edits, h), "_needle": F.when(edits, normalize_text(F.col("text")))})
+    searched = F.coalesce(within_edits("_text", "_needle", "max_diffs"), F.col("_native"))
+    found = F.when(F.col("_text").isNull(), F.col("_native")).otherwise(searched)
     passed = F.when(F.col("error").isNotNull(), False).when(F.col("type") == "text_absence", ~found).otherwise(found)
-    return staged.withColumn("passed", passed).drop("_native", NORMAL)
+    return staged.withColumn("passed", passed).drop("_native", "_text", "_needle", NORMAL)
 
 
 def join_tests(texts: DataFrame, tests: DataFrame, key: tuple[str, ...] = ("pdf_name", "page"), outer: bool = False) -> DataFrame:

@@ -57,3 +57,21 @@ def test_tests_meet_a_completion_once(spark):
     answers = spark.createDataFrame([("d", 1, 0, "alpha")], "pdf_name string, page int, gen_id int, text string")
     plan = rewards.completion_rewards(answers, spark.createDataFrame([], PAGE_TEST))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_runs_of_white_space_in_all_code_points(spark):
+    """The normal form is Python's of every character that there is."""
+    texts = ["".join(f"A{chr(c)}b  {chr(c)} " for c in range(at, at + 4096) if not 0xD800 <= c < 0xE000) for at in [*range(0, 0x4000, 4096), 0xD000, 0xE000, 0x1F000]]
+    letters = "".join(c for c in texts[0] if ord(c) < 128 and c.isascii())
+    rows = spark.createDataFrame([(letters,), *[(t,) for t in texts]], "t string").select("t", text.normalize_text(F.col("t")).alias("n"), F.lower("t").alias("l"))
+    for r in rows.collect():
+        assert r.n == " ".join(r.l.split())
+
+
+def test_rows_wait_for_the_search_without_the_page(spark):
+    """Only texts that the search needs are on its way."""
+    tests = spark.createDataFrame([tuple({"id": "1", "type": "text_presence", "pdf": "d.pdf", "page": 1, "text": "alpha", "max_diffs": 1}.get(f.name) for f in PAGE_TEST)], PAGE_TEST)
+    answers = spark.createDataFrame([("d", 1, 0, "alpha")], "pdf_name string, page int, gen_id int, text string")
+    plan = rewards.completion_rewards(answers, tests)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("ArrowEvalPython") :].splitlines()[1]
+    assert "ocr_normal" not in below.split("AS _text")[0].rsplit("CASE WHEN", 1)[0] and "ocr_text" not in below.split(",")[0]
