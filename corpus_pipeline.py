@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm.common import Scratch
+from foliospark.llm.common import Scratch, keep_batches_small
 from foliospark.llm.decontamination import clean_documents
 from foliospark.llm.jaccard import one_per_group
 from foliospark.llm.mixing import mixed_rows
@@ -17,6 +17,7 @@ from foliospark.llm.toxicity import remove_toxic
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose clauses score as toxic go; the grammar is learned from the labelled ones."""
+    keep_batches_small(spark)  # whole rows go through Python as the result is written
     return remove_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -27,6 +28,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item within its edit budget go."""
+    keep_batches_small(spark)
     return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, freed
 
 #: Edits allowed, as a share of an item's characters.
 ERROR_RATE = 0.06
@@ -167,6 +167,7 @@ class Matcher:
 
 
 def _scan(items: list[tuple[int, str]], rate: float, least: int):
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = Matcher(items, rate, least)
         for batch in batches:
@@ -218,6 +219,7 @@ def clean_documents(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
     at = df.columns.index(text_col)
 
     def keep(held: list[tuple[int, str]]):
+        @freed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             match = Matcher(held, rate, least)
             for batch in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, free_name
+from .common import Scratch, free_name, freed
 
 #: Labelled rows that the grammar is learned from: all of them up to this many, beyond that a random part of about this size.
 MAX_LABELLED = 12_000
@@ -204,6 +204,7 @@ def _patterns(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
 
 
+@freed
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each pattern of toxic texts with a hash of its neighbours: copies of a text add nothing."""
     for batch in batches:
@@ -226,6 +227,7 @@ def _pairs(seen: set[tuple[str, int]]) -> pa.RecordBatch:
 
 
 def _clean_counts(wanted: frozenset[str]):
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         total = 0
@@ -244,6 +246,7 @@ def _clean_counts(wanted: frozenset[str]):
 
 
 def _features(patterns: dict[str, float]):
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = Grammar(patterns)
         for batch in batches:
@@ -320,6 +323,7 @@ def score_toxicity(df: DataFrame, grammar: Grammar, text_col: str = "text", scor
     at, schema = df.columns.index(text_col), T.StructType([*df.schema.fields, T.StructField(score_col, T.DoubleType())])
     patterns, weights = grammar.patterns, grammar.weights
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = Grammar(patterns, weights)
         for batch in batches:
