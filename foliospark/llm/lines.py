@@ -27,6 +27,8 @@ BANDS = PASSES * BINS // ROWS
 #: Characters whose shingles are hashed at once: as many as a core's cache holds.
 AT_ONCE = 50_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: What a step to the right adds to the minimum that an empty bin takes.
+_FAR = np.uint64(0x9E3779B97F4A7C15)
 #: Odd factors that make PASSES hashes of one.
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 _P, _P2 = np.uint64(0x100000001B3), np.uint64(0x100000001B3**2 & 0xFFFFFFFFFFFFFFFF)
@@ -54,15 +56,18 @@ def line_id(line: str) -> int:
 def grams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, lines they are of) of all CHARS-character shingles; a shorter line is one shingle."""
     padded = [x.ljust(CHARS, "\0") for x in lines]
-    size = np.array([len(x) for x in padded])
+    size = np.fromiter(map(len, padded), np.int64, len(padded))
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    two = codes[:-1] * _P + codes[1:]
-    h = (two[:-3] * _P2 + two[2:-1]) * _P + codes[4:]
-    good = np.ones(len(codes), bool)
-    ends = np.cumsum(size)
+    two = codes[:-1] * _P
+    two += codes[1:]
+    h = two[:-3] * _P2
+    h += two[2:-1]
+    h *= _P
+    h += codes[4:]
+    good = np.ones(len(h), bool)
+    ends = np.cumsum(size)[:-1]
     for k in range(1, CHARS):
         good[ends - k] = False
-    good = good[: len(h)]
     return mix(h[good]), np.repeat(np.arange(len(lines)), size - CHARS + 1)
 
 
@@ -91,25 +96,43 @@ def in_parts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         yield at, len(sizes)
 
 
+def filled(low: np.ndarray) -> None:
+    """An empty bin takes the minimum of the next one to its right that has one, marked by the distance; `low` is (lines, BINS)."""
+    gone = low == _EMPTY
+    rows = np.flatnonzero(gone.any(1))
+    if not len(rows):
+        return
+    bins = np.arange(BINS, dtype=np.int16)
+    at = np.where(gone[rows], np.int16(2 * BINS), bins)
+    at = np.minimum.accumulate(at[:, ::-1], 1)[:, ::-1]
+    at = np.where(at < BINS, at, at[:, :1] + np.int16(BINS))  # round the end, to the first
+    far = (at - bins).astype(np.uint64)
+    own = at.astype(np.int64)
+    own[own >= BINS] -= BINS
+    far *= _FAR
+    low[rows] = np.take_along_axis(low[rows], own, 1) + far
+
+
 def band_keys(lines: list[str]) -> np.ndarray:
     """(lines, bands) keys of the lines' MinHash signatures."""
     n = len(lines)
     h, of = grams(lines)
-    of = of * BINS
+    of *= BINS
+    x, high = np.empty_like(h), np.empty_like(h)  # made once: most of the time would go to memory that comes and goes
     out = []
     for factor in _FACTORS[:PASSES]:
-        x = h * factor
+        np.multiply(h, factor, out=x)
         low = np.full(n * BINS, _EMPTY)
-        high = x >> np.uint64(32)  # its product with BINS names the bin, and orders the values of a bin
+        np.right_shift(x, np.uint64(32), out=high)  # its product with BINS names the bin, and orders the values of a bin
         high *= np.uint64(BINS)
-        np.minimum.at(low, of + (high >> np.uint64(32)).view(np.int64), (high << np.uint64(32)) | (x & np.uint64(0xFFFFFFFF)))
+        at = (high >> np.uint64(32)).view(np.int64)
+        at += of
+        high <<= np.uint64(32)
+        x &= np.uint64(0xFFFFFFFF)
+        high |= x
+        np.minimum.at(low, at, high)
         low = low.reshape(n, BINS)
-        for _ in range(BINS):  # an empty bin takes its right neighbour's minimum, marked by the distance
-            gone = low == _EMPTY
-            if not gone.any():
-                break
-            next_ = np.roll(low, -1, 1)
-            low = np.where(gone & (next_ != _EMPTY), next_ + np.uint64(0x9E3779B97F4A7C15), low)
+        filled(low)
         out.append(low)
     sig = np.concatenate(out, 1).reshape(n, -1, ROWS)
     key = np.zeros(sig.shape[:2], np.uint64)
@@ -203,10 +226,13 @@ def shared(xs: list[str], ys: list[str], of: np.ndarray) -> tuple[np.ndarray, np
     right, m = marked_sets(ys)
     n = n[of]
     begin = np.concatenate(([0], np.cumsum(np.bincount((left >> np.uint64(56)).astype(np.int64), minlength=len(xs)))))[of]
-    pair = np.repeat(np.arange(len(ys)), n)
-    at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + begin[pair]
-    both = np.concatenate(((left[at] & np.uint64((1 << 56) - 1)) | (pair.astype(np.uint64) << np.uint64(56)), right))
-    both.sort()
+    pair = np.repeat(np.arange(len(ys), dtype=np.uint64) << np.uint64(56), n)
+    at = np.arange(len(pair)) + np.repeat(begin - np.cumsum(n) + n, n)
+    own = left[at]
+    own &= np.uint64((1 << 56) - 1)
+    own |= pair
+    both = np.concatenate((own, right))
+    both.sort(kind="stable")  # two sorted runs are merged
     twice = both[1:][both[1:] == both[:-1]]
     return n, m, np.bincount((twice >> np.uint64(56)).astype(np.int64), minlength=len(ys))
 

@@ -9,7 +9,7 @@ import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
-from foliospark.llm import common
+from foliospark.llm import common, grouping, lines
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,29 @@ def test_a_worker_gives_back_what_a_task_has_freed():
         after = held()
         assert most - before > 150
     assert after - before < 60
+
+
+def test_band_keys_work_as_one_block():
+    """The bins that short lines leave empty are filled at once, not a step of all bins for each empty one."""
+    low = np.full((200, lines.BINS), lines._EMPTY)
+    for i in range(200):
+        low[i, (7 * i + np.arange(i % 5 + 1) ** 2) % lines.BINS] = np.arange(i % 5 + 1) + 1000 * i
+    want = low.copy()
+    for _ in range(lines.BINS):
+        right = np.roll(want, -1, 1)
+        want = np.where((want == lines._EMPTY) & (right != lines._EMPTY), right + lines._FAR, want)
+    lines.filled(low)
+    assert (low == want).all()
+
+
+def test_large_groups_take_no_call_each(monkeypatch):
+    """20,000 groups of over `small` members between the first and the last are linked to their leaders at once."""
+    calls = []
+    unique = np.unique
+    monkeypatch.setattr(grouping.np, "unique", lambda *a, **k: calls.append(1) or unique(*a, **k))
+    key = np.repeat(np.arange(20_000) << 20, 6)
+    v = np.tile(np.array([2, 4, 6, 8, 8, 10]), 20_000)  # five vertices each, one twice
+    got = grouping.groups(4, 1)(key, v)
+    pair = got.column("key").is_null().to_numpy(zero_copy_only=False)
+    assert pair.sum() == 80_000 and (~pair).sum() == 100_000
+    assert len(calls) < 10
